@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from larder.functions.calendar import as_col
 
 
+def non_zero(x: Column) -> Column:
+    """The value, or NULL when it is zero: a safe denominator."""
+    return F.when(x != 0, x)
+
+
 def smape(actual, forecast) -> Column:
     """Mean symmetric absolute percentage error; a day with both values zero counts as no error."""
     y, f = as_col(actual), as_col(forecast)
@@ -18,13 +23,13 @@ def smape(actual, forecast) -> Column:
 def wape(actual, forecast) -> Column:
     """Absolute error as a share of demand; NULL when there was no demand."""
     y, f = as_col(actual), as_col(forecast)
-    return 100.0 * F.sum(F.abs(f - y)) / F.nullif(F.sum(F.abs(y)), F.lit(0.0))
+    return 100.0 * F.sum(F.abs(f - y)) / non_zero(F.sum(F.abs(y)))
 
 
 def mase(actual, forecast, scale) -> Column:
     """Mean absolute error over the in-sample seasonal error ``scale`` (one value per group)."""
     y, f = as_col(actual), as_col(forecast)
-    return F.avg(F.abs(f - y)) / F.nullif(F.max(as_col(scale)), F.lit(0.0))
+    return F.avg(F.abs(f - y)) / non_zero(F.max(as_col(scale)))
 
 
 def bias(actual, forecast) -> Column:

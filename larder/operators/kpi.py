@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from larder.functions.accuracy import non_zero
 from larder.functions.stock import improvement_pct
 from larder.operators.quality import require_columns
 from larder.settings import BASELINE, CANDIDATE
@@ -176,7 +177,7 @@ def both_strategies(per_sku: DataFrame, columns, baseline: str = BASELINE, candi
 
 def indexed(comparison: DataFrame, keys=HEADLINE_KEYS) -> DataFrame:
     """KPIs with the baseline at 100."""
-    ratio = 100.0 * F.col("candidate") / F.nullif("baseline", F.lit(0.0))
+    ratio = 100.0 * F.col("candidate") / non_zero(F.col("baseline"))
     return comparison.filter(F.col("key").isin(*keys)).select(
         "key", "metric", F.lit(100.0).alias("baseline_indexed"), ratio.alias("candidate_indexed")
     )
@@ -212,7 +213,7 @@ def interpolate(points: DataFrame, curve: DataFrame, x: str, measures: list[str]
     out = {}
     for m in measures:
         y0, y1 = F.col(f"_lo.{m}"), F.col(f"_hi.{m}")
-        sloped = y0 + (F.col("_x") - x0) * (y1 - y0) / F.nullif(x1 - x0, F.lit(0.0))
+        sloped = y0 + (F.col("_x") - x0) * (y1 - y0) / non_zero(x1 - x0)
         out[f"at_{m}"] = F.when(x0.isNotNull() & x1.isNotNull(), F.when(x0 == x1, y0).otherwise(sloped))
     found = near.withColumns(out).select("_row.*", *out)
     sizes = curve.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")) if keys else None

@@ -12,6 +12,7 @@ from collections.abc import Callable
 from itertools import product
 from statistics import NormalDist
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -246,6 +247,30 @@ def holt_winters(state: DataFrame, horizon: int, s: Settings = Settings()) -> Da
 
 # -- registry -------------------------------------------------------------------------------------
 
+def naive_pair(state: DataFrame, horizon: int, s: Settings = Settings()) -> DataFrame:
+    """Naive and seasonal naive from one pass over the decision rows."""
+    m = s.seasonal_period
+    rows = horizon_rows(at_decisions(state), horizon)
+    place = F.pmod(F.datediff("forecast_date", "last_date") - 1, F.lit(m)).cast("int") + 1
+    options = F.array(
+        F.struct(F.lit(NAIVE).alias("model"), F.col("last_units").alias("predicted_demand"), F.col("sd_step").alias("sigma")),
+        F.struct(F.lit(SEASONAL).alias("model"), F.try_element_at("cycle", place).alias("predicted_demand"), F.col("sd_season").alias("sigma")),
+    )
+    rows = rows.select("as_of", "sku", "step", "forecast_date", "mase_scale", "n", F.inline(options))
+    rows = rows.filter((F.col("model") == NAIVE) | (F.col("n") >= m))
+    return with_interval(rows, s).select(*FORECAST_COLUMNS)
+
+
+def croston_pair(state: DataFrame, horizon: int, s: Settings = Settings()) -> DataFrame:
+    """Both Croston variants from one fold."""
+    options = F.array(
+        F.struct(F.lit(CROSTON).alias("model"), F.col("rate").alias("predicted_demand")),
+        F.struct(F.lit(CROSTON_SBA).alias("model"), (F.col("rate") * (1.0 - s.croston_alpha / 2.0)).alias("predicted_demand")),
+    )
+    rows = croston_parameters(state, s).select("*", F.inline(options))
+    return with_interval(horizon_rows(rows, horizon), s).select(*FORECAST_COLUMNS)
+
+
 #: A model takes (state, horizon, settings) and returns forecast rows.  Add your own entry to use it.
 Model = Callable[[DataFrame, int, Settings], DataFrame]
 UNIVARIATE: dict[str, Model] = {
@@ -257,12 +282,23 @@ UNIVARIATE: dict[str, Model] = {
 }
 
 
+def shared_passes(models: dict[str, Model]) -> list[Model]:
+    """The built-in pairs run together when both are asked for; every other model on its own."""
+    left = dict(models)
+    passes = []
+    for first, second, both in ((NAIVE, SEASONAL, naive_pair), (CROSTON, CROSTON_SBA, croston_pair)):
+        if left.get(first) is UNIVARIATE[first] and left.get(second) is UNIVARIATE[second]:
+            del left[first], left[second]
+            passes.append(both)
+    return passes + list(left.values())
+
+
 def forecast_all(
     sales: DataFrame, origins: Column, horizon: int, s: Settings = Settings(), models: dict[str, Model] | None = None,
 ) -> DataFrame:
     """Every model on every series at every decision date."""
     state = series_state(sales, origins, s)
-    parts = [fn(state, horizon, s) for fn in (UNIVARIATE if models is None else models).values()]
+    parts = [fn(state, horizon, s) for fn in shared_passes(UNIVARIATE if models is None else models)]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -291,7 +327,7 @@ def total_demand(forecast: DataFrame, days: int) -> DataFrame:
 # -- boosted trees --------------------------------------------------------------------------------
 
 
-def boosted_stages(frame: DataFrame, s: Settings, n_sku: int):
+def boosted_stages(s: Settings, n_sku: int):
     """Unfitted MLlib pipeline on the fixed feature order.
 
     Day of week and SKU code are categorical while every category fits a split bin; beyond
@@ -321,18 +357,19 @@ MAX_SKU_BINS = 512
 def fit_boosted(sales: DataFrame, s: Settings = Settings(), codes: DataFrame | None = None, estimate_sigma: bool = True):
     """Fit one model over all SKUs and estimate each SKU's error on the held-out last days.
 
-    Returns (fitted pipeline, ``sku, sigma`` table).  Runs Spark jobs: one count of the SKUs, and
-    the MLlib fits.
+    Returns (fitted pipeline, ``sku, sigma`` table).  Runs Spark jobs: the largest SKU code, the
+    cut-off date and the MLlib fits.
     """
     from larder.operators.features import engineer, feature_matrix
     from larder.operators.ordered import sku_codes
 
     codes = sku_codes(sales) if codes is None else codes
-    n_sku = codes.count()
-    rows = feature_matrix(engineer(sales, s, codes), s)
-    if rows.isEmpty():
+    # Boosting reads its input once per round; keep the matrix close, spilling to disk when it is large.
+    rows = feature_matrix(engineer(sales, s, codes), s).persist(StorageLevel.MEMORY_AND_DISK)
+    n_sku = rows.agg(F.max("sku_code")).first()[0]
+    if n_sku is None:
         raise ValueError("no training rows are left after dropping undefined lags; the history is too short")
-    pipeline = boosted_stages(rows, s, n_sku)
+    pipeline = boosted_stages(s, int(n_sku) + 1)
     model = pipeline.fit(rows)
     checked = rows
     probe = model

@@ -57,9 +57,9 @@ def rolling_origins(sales: DataFrame, folds: int, horizon: int, min_train_days:
 def tiled_origins(as_of, first_date, lookback_days: int, s: Settings = Settings()) -> Column:
     """Array of replay origins one horizon apart, those before enough history left out."""
     n = max(1, -(-lookback_days // s.horizon_days))
-    origins = F.array(*[F.date_sub(as_col(as_of), s.horizon_days * k) for k in range(n, 0, -1)])
+    origins = [F.date_sub(as_col(as_of), s.horizon_days * k) for k in range(n, 0, -1)]
     earliest = F.date_add(as_col(first_date), s.min_history_days)
-    return F.filter(origins, lambda o: o >= earliest)
+    return F.array_compact(F.array(*[F.when(o >= earliest, o) for o in origins]))
 
 
 def recent_history(sales: DataFrame, days: int, as_of=None) -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larder.functions.accuracy import bias, coverage, mase, smape, wape
-from larder.operators.features import future_features, origin_array
+from larder.functions.accuracy import bias, coverage, mase, non_zero, smape, wape
+from larder.operators.features import future_features, origin_array, weather_series
 from larder.operators.models import (
     BOOSTED, UNIVARIATE, Model, at_decisions, boosted, fit_boosted, forecast_all, series_state,
 )
@@ -17,11 +17,12 @@ from larder.settings import Settings
 METRICS = ("sMAPE", "MASE", "WAPE", "bias")
 
 
-def with_actuals(forecast: DataFrame, sales: DataFrame) -> DataFrame:
-    """Forecast rows beside what was sold; days without an observation drop out."""
+def with_actuals(forecast: DataFrame, sales: DataFrame, first: Column) -> DataFrame:
+    """Forecast rows beside what was sold from ``first`` on; days without an observation drop out.
+
+    Only forecast days matter, so the date filter reaches the scan before the join shuffles.
+    """
     seen = sales.select("sku", F.col("date").alias("forecast_date"), F.col("units_sold").cast("double").alias("actual"))
-    # Only forecast days matter: the filter reaches the scan before the join shuffles.
-    first = forecast.agg(F.min("forecast_date")).scalar()
     return forecast.join(seen.filter(F.col("forecast_date") >= first), ["sku", "forecast_date"])
 
 
@@ -40,6 +41,10 @@ def score(scored: DataFrame, horizon: int) -> DataFrame:
     return per.filter(F.col("days") == horizon).drop("days")
 
 
+def first_origin(origins: DataFrame) -> Column:
+    return origins.agg(F.min("origin")).scalar()
+
+
 def numbered(rows: DataFrame, origins: DataFrame) -> DataFrame:
     """Attach the fold number; the origins table has one row per fold."""
     return rows.join(F.broadcast(origins.select("fold", F.col("origin").alias("as_of"))), "as_of")
@@ -54,7 +59,7 @@ def backtest_predictions(
     origins = rolling_origins(sales, folds, horizon)
     panel = sales if skus is None else sales.join(skus.select("sku"), "sku", "left_semi")
     forecast = forecast_all(panel, origin_array(origins), horizon, s, models)
-    return numbered(with_actuals(forecast, panel), origins)
+    return numbered(with_actuals(forecast, panel, first_origin(origins)), origins)
 
 
 def run_backtest(sales: DataFrame, s: Settings = Settings(), **kw) -> DataFrame:
@@ -75,10 +80,9 @@ def boosted_backtest(sales: DataFrame, s: Settings = Settings(), folds: int | No
         scale = at_decisions(series_state(history, at, s))
         promos = sales.select("sku", "date", "promo") if "promo" in sales.columns else None
         weather = sales.select("sku", "date", "temp_c")
-        from larder.operators.features import weather_series
-
         future = future_features(history, at, horizon, s, promos, weather_series(weather))
-        parts.append(numbered(with_actuals(boosted(model, sigma, future, s, scale), sales), origins))
+        forecast = boosted(model, sigma, future, s, scale)
+        parts.append(numbered(with_actuals(forecast, sales, F.lit(row["origin"])), origins))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -120,7 +124,7 @@ def replay_accuracy(sales: DataFrame, as_of, lookback_days: int = 28, s: Setting
     origins = tiled_origins(F.lit(as_of), first, lookback_days, s)
     chosen = {"Seasonal Naive": UNIVARIATE["Seasonal Naive"]} if models is None else models
     forecast = forecast_all(sales, origins, s.horizon_days, s, chosen)
-    return with_actuals(forecast, sales)
+    return with_actuals(forecast, sales, F.date_sub(F.lit(as_of), lookback_days + s.horizon_days))
 
 
 def daily_accuracy(scored: DataFrame) -> DataFrame:
@@ -140,7 +144,7 @@ def daily_accuracy(scored: DataFrame) -> DataFrame:
 
 def accuracy_headline(daily: DataFrame) -> DataFrame:
     """One row: net and per-SKU error of a daily accuracy table, and its worst date."""
-    total = F.nullif(F.sum("actual_units"), F.lit(0.0))
+    total = non_zero(F.sum("actual_units"))
     worst = F.max_by(F.struct("date", "error_units"), F.struct("abs_error_units", -F.unix_date("date")))
     row = daily.agg(
         F.count(F.lit(1)).alias("days"), F.min("date").alias("start"), F.max("date").alias("end"),

@@ -48,20 +48,25 @@ def choose_models(
 
 
 def route(state: DataFrame, choices: DataFrame, horizon: int, s: Settings = Settings(), models: dict[str, Model] | None = None) -> DataFrame:
-    """Forecasts of the univariate models on the SKUs routed to them; what a model cannot serve falls
-    back to seasonal naive.  SKUs routed to the global model are left to the caller."""
+    """Forecasts of the univariate models on the SKUs routed to them.
+
+    Seasonal naive is computed for every routed SKU and used where the chosen model has nothing to
+    say (too short a history, or a model that returned no row); ``fallback`` marks those.  SKUs
+    routed to the global model are left to the caller.
+    """
     registry = UNIVARIATE if models is None else models
-    parts = []
+    routed = state.join(choices.select("sku", F.col("model_name").alias("_model")), "sku").filter(F.col("_model").isin(*registry))
+    out = seasonal_naive(routed, horizon, s).withColumn("fallback", F.lit(True))
     for name, fn in registry.items():
-        mine = choices.filter(F.col("model_name") == name).select("sku")
-        parts.append(fn(state.join(mine, "sku", "left_semi"), horizon, s).withColumn("fallback", F.lit(False)))
-    served = parts[0]
-    for part in parts[1:]:
-        served = served.unionByName(part)
-    ours = choices.filter(F.col("model_name").isin(*registry)).select("sku")
-    missing = ours.join(served.select("sku").distinct(), "sku", "left_anti")
-    backup = seasonal_naive(state.join(missing, "sku", "left_semi"), horizon, s).withColumn("fallback", F.lit(True))
-    return served.unionByName(backup)
+        if fn is not UNIVARIATE[SEASONAL]:
+            own = fn(routed.filter(F.col("_model") == name), horizon, s)
+            out = out.unionByName(own.withColumn("fallback", F.lit(False)))
+    key = ["as_of", "sku", "step"]
+    rest = [c for c in out.columns if c not in key]
+    best = out.groupBy(*key).agg(F.min_by(F.struct(*rest), "fallback").alias("r")).select(*key, "r.*")
+    chosen = choices.select("sku", F.col("model_name").alias("_model"))
+    planned = (F.col("_model") == SEASONAL) & (F.col("model") == SEASONAL)
+    return best.join(chosen, "sku").withColumn("fallback", F.col("fallback") & ~planned).select(*FORECAST_COLUMNS, "fallback")
 
 
 def forecast(

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larder.functions.accuracy import zero_share
+from larder.functions.accuracy import non_zero, zero_share
 from larder.functions.calendar import calendar_columns
 from larder.operators.quality import require_columns
 from larder.settings import Settings
@@ -67,9 +67,9 @@ def economics(skus: DataFrame, overrides: DataFrame, s: Settings = Settings()) -
     # A pack size or shelf life of zero means "not set".
     resolved = {
         "unit_cost": F.coalesce("set_unit_cost", F.lit(s.default_unit_cost)).cast("double"),
-        "pack_size": F.coalesce(F.nullif("set_pack_size", F.lit(0)), F.lit(s.default_pack)).cast("int"),
+        "pack_size": F.coalesce(non_zero(F.col("set_pack_size")), F.lit(s.default_pack)).cast("int"),
         "min_order_quantity": F.coalesce("set_min_order_quantity", F.lit(s.default_min_order)).cast("int"),
-        "shelf_life_days": F.coalesce(F.nullif("set_shelf_life_days", F.lit(0)), "shelf_life_days").cast("int"),
+        "shelf_life_days": F.coalesce(non_zero(F.col("set_shelf_life_days")), "shelf_life_days").cast("int"),
     }
     cost = F.col("unit_cost")
     derived = {
