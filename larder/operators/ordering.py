@@ -18,6 +18,7 @@ from larder.functions.stock import (
     STOCKOUT_RISK, WASTE_RISK, expected_demand, floor_zero, inventory_position, risk_class, safety_stock,
     stockout_probability, usable_life, whole, worse_risk,
 )
+from larder.operators.settled import settled
 from larder.settings import Settings
 
 # Policy names as reported.
@@ -98,14 +99,16 @@ def policy_input_violations(df: DataFrame) -> DataFrame:
 
 def with_levels(df: DataFrame, levels: Levels) -> DataFrame:
     """Position, protection period, policy levels and the unconstrained quantity."""
-    placed = df.withColumns(
+    placed = settled(
+        df,
         {
             "inventory_position": inventory_position("on_hand", "on_order"),
             "protection_period_days": protection_days(),
             "mean_daily_forecast": mean_forecast(),
-        }
+        },
     )
-    placed = placed.withColumns(
+    placed = settled(
+        placed,
         {
             "policy": F.lit(levels.name),
             "expected_demand_protection": levels.expected,
@@ -113,10 +116,10 @@ def with_levels(df: DataFrame, levels: Levels) -> DataFrame:
             "target_stock": levels.target,
             "reorder_point": levels.reorder,
             "should_order": levels.should_order,
-        }
+        },
     )
     raw = F.when(F.col("should_order"), floor_zero(F.col("target_stock") - F.col("inventory_position"))).otherwise(0.0)
-    return placed.withColumn("raw_order_quantity", raw)
+    return settled(placed, {"raw_order_quantity": raw})
 
 
 def shelf_life_cap(s: Settings = Settings()) -> Column:
@@ -141,12 +144,11 @@ def constrain(df: DataFrame, s: Settings = Settings(), enforce_shelf_life: bool
     enforce = s.shelf_life_cap if enforce_shelf_life is None else enforce_shelf_life
     pack, least = F.col("pack_size").cast("double"), F.col("min_order_quantity").cast("double")
     most = s.max_days_of_supply * F.col("mean_daily_forecast")
-    steps = df.withColumn("q_life", F.least("raw_order_quantity", shelf_life_cap(s)) if enforce else F.col("raw_order_quantity"))
-    steps = steps.withColumn("q_supply", F.when(most > 0, F.least(F.col("q_life"), most)).otherwise(F.col("q_life")))
-    steps = steps.withColumn("q_pack", in_packs(F.col("q_supply"), pack, s.pack_rounding))
-    steps = steps.withColumn(
-        "recommended_order_quantity", F.when(F.col("q_pack") > 0, F.greatest(F.col("q_pack"), least)).otherwise(0.0)
-    )
+    steps = settled(df, {"q_life": F.least("raw_order_quantity", shelf_life_cap(s)) if enforce else F.col("raw_order_quantity")})
+    steps = settled(steps, {"q_supply": F.when(most > 0, F.least(F.col("q_life"), most)).otherwise(F.col("q_life"))})
+    steps = settled(steps, {"q_pack": in_packs(F.col("q_supply"), pack, s.pack_rounding)})
+    final = F.when(F.col("q_pack") > 0, F.greatest(F.col("q_pack"), least)).otherwise(0.0)
+    steps = settled(steps, {"recommended_order_quantity": final})
     usable = usable_life("shelf_life_days", s.usable_fraction)
     notes = {
         "shelf_life_cap": ("raw_order_quantity", "q_life", F.concat(
@@ -164,7 +166,7 @@ def constrain(df: DataFrame, s: Settings = Settings(), enforce_shelf_life: bool
         for name, (a, b, text) in notes.items()
     ])
     made = F.filter(changes, lambda x: F.abs(x["before"] - x["after"]) > 1e-9)
-    return steps.withColumn("adjustments", made).drop("q_life", "q_supply", "q_pack")
+    return settled(steps, {"adjustments": made}).drop("q_life", "q_supply", "q_pack")
 
 
 def assess(df: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -172,7 +174,8 @@ def assess(df: DataFrame, s: Settings = Settings()) -> DataFrame:
     usable = usable_life("shelf_life_days", s.usable_fraction)
     before_expiry = expected_demand("daily_forecast", F.col("lead_time_days") + usable)
     mean, qty = F.col("mean_daily_forecast"), F.col("recommended_order_quantity")
-    out = df.withColumns(
+    out = settled(
+        df,
         {
             "expected_demand_horizon": F.aggregate("daily_forecast", F.lit(0.0), lambda acc, x: acc + x),
             "days_of_cover": F.when(mean > 0, F.col("on_hand") / mean),
@@ -181,11 +184,12 @@ def assess(df: DataFrame, s: Settings = Settings()) -> DataFrame:
             "projected_waste_units": floor_zero(F.col("inventory_position") + qty - before_expiry),
             "order_value": qty * F.col("unit_cost"),
             "expected_shortfall_units": floor_zero(F.col("expected_demand_protection") - F.col("inventory_position")),
-        }
+        },
     )
     stock = F.col("inventory_position") + qty
     waste_share = F.when(stock > 0, F.col("projected_waste_units") / stock).otherwise(0.0)
-    out = out.withColumns(
+    out = settled(
+        out,
         {
             "stockout_risk": risk_class("stockout_probability", STOCKOUT_RISK),
             "waste_risk": risk_class(waste_share, WASTE_RISK),
@@ -193,9 +197,9 @@ def assess(df: DataFrame, s: Settings = Settings()) -> DataFrame:
                 F.col("stockout_probability") * F.col("expected_shortfall_units") * F.col("stockout_cost_per_unit"),
             "projected_waste_cost": F.col("projected_waste_units") * F.col("waste_cost_per_unit"),
             "order_required": qty > 0,
-        }
+        },
     )
-    return out.withColumn("risk", worse_risk("stockout_risk", "waste_risk"))
+    return settled(out, {"risk": worse_risk("stockout_risk", "waste_risk")})
 
 
 def recommend(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.functions.accuracy import bias, coverage, mase, non_zero, smape, wape
@@ -103,8 +103,12 @@ def summarise_metrics(records: DataFrame, by: str = "model") -> DataFrame:
 
 
 def improvement_vs_benchmark(table: DataFrame, benchmark: str = "Seasonal Naive", metric: str = "sMAPE") -> DataFrame:
-    """Percent change against one row; a missing benchmark fails at run time."""
-    base = table.agg(F.max(F.when(F.col("model") == benchmark, F.col(metric)))).scalar()
+    """Percent change against one row; a missing benchmark fails at run time.
+
+    ``table`` has one row per model, which is all the unpartitioned window sees.
+    """
+    everything = Window.partitionBy(F.lit(1))
+    base = F.max(F.when(F.col("model") == benchmark, F.col(metric))).over(everything)
     missing = F.raise_error(F.lit(f"benchmark {benchmark!r} is not in the table")).cast("double")
     base = F.when(base.isNull(), missing).otherwise(base)
     return table.withColumn("vs_benchmark", F.bround((F.col(metric) - base) / base * 100.0, 1))

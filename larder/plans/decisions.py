@@ -62,7 +62,8 @@ def decision_rows(
     ``forecasts`` rows: as_of, sku, daily_forecast, sigma, model and optionally the scenario
     columns.  Stock missing for a SKU counts as zero and negative stock is clipped.
     """
-    rows = forecasts.join(stock.select("sku", "on_hand", "on_order"), "sku", "left")
+    keys = ["sku", "as_of"] if "as_of" in stock.columns else ["sku"]
+    rows = forecasts.join(stock.select(*keys, "on_hand", "on_order"), keys, "left")
     rows = rows.join(economics.select("sku", *ECONOMICS_COLUMNS), "sku")
     level = F.lit(s.service_level)
     if segments is not None:

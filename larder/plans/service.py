@@ -13,6 +13,7 @@ from larder.operators.models import (
     BOOSTED, CROSTON, FORECAST_COLUMNS, SEASONAL, UNIVARIATE, Model, boosted, fit_boosted, seasonal_naive, series_state,
 )
 from larder.operators.segments import rule_choices, segment_skus, validated_choices
+from larder.operators.settled import settled
 from larder.operators.slices import (
     Scenario, closure_rule, history_as_of, scenario_features, scenario_forecast, with_scenarios,
 )
@@ -124,7 +125,7 @@ def daily_arrays(forecast_rows: DataFrame, keys=("as_of", "sku")) -> DataFrame:
     point = F.array_sort(F.collect_list(F.struct("step", "predicted_demand")))
     extra = [F.first(c).alias(c) for c in ("model", "sigma") if c in forecast_rows.columns]
     per = forecast_rows.groupBy(*keys).agg(point.alias("p"), *extra)
-    return per.withColumn("daily_forecast", F.transform("p", lambda x: x["predicted_demand"])).drop("p")
+    return settled(per, {"daily_forecast": F.transform("p", lambda x: x["predicted_demand"])}).drop("p")
 
 
 __all__ = [
