@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from checks import panels as P
 from checks.q_features import cdf_sql, month_origins, quantile_sql
 from checks.q_models import DESCRIBE, backtest_blocks, brand, segs
-from checks.registry import block, query
+from checks.registry import block, half_even, query
 from larder.functions import stock
 from larder.operators import explain, features, models, ordering, slices
 from larder.plans import decisions, service
@@ -186,7 +186,7 @@ def l8(spark, d):
 
 
 def r1(c: str, n: int = 1) -> str:
-    return f"round_even({c}, {n})"
+    return half_even(c, n)
 
 
 TABLE_SQL = f"""SELECT sku, as_of, {r1('on_hand')} AS on_hand, {r1('on_order')} AS on_order, {r1('pos')} AS inventory_position, {r1('horizon_demand')} AS forecast_demand_horizon,
@@ -289,7 +289,7 @@ UPLIFT = [slices.Scenario(), slices.Scenario("Event", demand_uplift_pct=20.0, cu
  g AS (SELECT *, CASE WHEN q3 > 0 THEN greatest(q3, min_order_quantity) ELSE 0 END AS q FROM e),
  m AS (SELECT sku, scenario, unnest(['Inventory position', 'Expected demand over protection period', 'Safety stock', 'Target stock', 'Raw order', 'Recommended order', 'Order value (£)']) AS measure,
  unnest([pos, expected, safety, target, raw, q, q * unit_cost]) AS v FROM g)
- SELECT x.sku, x.measure, CAST(printf('%.1f', x.v) AS DOUBLE) AS base_case, 'Event' AS scenario, CAST(printf('%.1f', y.v) AS DOUBLE) AS scenario_value FROM m x JOIN m y ON x.sku = y.sku AND x.measure = y.measure AND x.scenario = 'Base case' AND y.scenario = 'Event'""",
+ SELECT x.sku, x.measure, {half_even('x.v')} AS base_case, 'Event' AS scenario, {half_even('y.v')} AS scenario_value FROM m x JOIN m y ON x.sku = y.sku AND x.measure = y.measure AND x.scenario = 'Base case' AND y.scenario = 'Event'""",
        ["dec"], doubles=["base_case", "scenario_value"])
 def l22(spark, d):
     state = models.series_state(brand(spark, d), F.array(F.lit("2001-06-01").cast("date")), S)

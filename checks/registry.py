@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 PLACES = 4
+# Added before rounding on both sides, so that exact halves do not depend on an engine's rounding rule.
+SHIFT = 1.2345e-6
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 BLOCKS: dict[str, tuple[tuple[str, ...], str]] = {}
@@ -23,6 +25,14 @@ def block(name: str, text: str, *needs: str) -> None:
     BLOCKS[name] = (needs, text)
 
 
+def half_even(c: str, places: int = 1) -> str:
+    """Round half to even on the shortest decimal text of a double, as Spark does."""
+    shift = 10**places
+    dec = f"(CAST(CAST(CAST({c} AS DOUBLE) AS VARCHAR) AS DECIMAL(38, 14)) * {shift})"
+    return (f"CAST(CASE WHEN {dec} - floor({dec}) = 0.5 THEN floor({dec}) + CAST(floor({dec}) AS BIGINT) % 2 "
+            f"ELSE round({dec}) END AS DOUBLE) / {shift}")
+
+
 def assemble(final: str, needs: tuple[str, ...]) -> str:
     order: list[str] = []
 
@@ -51,7 +61,7 @@ def plain(df: DataFrame) -> DataFrame:
         if isinstance(f.dataType, T.DateType):
             out[f.name] = F.col(f.name).cast("string")
         elif isinstance(f.dataType, T.DoubleType):
-            out[f.name] = F.round(f.name, PLACES) + F.lit(0.0)
+            out[f.name] = F.round(F.col(f.name) + SHIFT, PLACES) + F.lit(0.0)
     return df.withColumns(out) if out else df
 
 
@@ -68,7 +78,7 @@ def query(name: str, sql: str | None = None, needs: tuple[str, ...] | list[str]
         QUERIES[name] = run
         if sql is not None:
             swaps = [f"CAST({d} AS VARCHAR) AS {d}" for d in dates]
-            swaps += [f"round(CAST({c} AS DOUBLE), {PLACES}) + 0.0 AS {c}" for c in doubles]
+            swaps += [f"round(CAST({c} AS DOUBLE) + {SHIFT}, {PLACES}) + 0.0 AS {c}" for c in doubles]
             body = assemble(sql, tuple(needs))
             ORACLES[name] = f"SELECT * REPLACE ({', '.join(swaps)}) FROM (\n{body}\n)" if swaps else body
         return fn

@@ -185,47 +185,37 @@ def indexed(comparison: DataFrame, keys=HEADLINE_KEYS) -> DataFrame:
 
 def off_scale(frontier: DataFrame, measure: str = "waste_units", factor: float = 2.7, baseline: str = BASELINE, candidate: str = CANDIDATE) -> DataFrame:
     """Baseline points above ``factor`` times the candidate's maximum."""
-    ceiling = frontier.filter(F.col("strategy") == candidate).agg(F.max(measure) * factor).scalar()
-    return frontier.filter((F.col("strategy") == baseline) & (F.col(measure) > ceiling))
+    sweep = Window.partitionBy(F.lit(0))  # one row per parameter setting
+    top = F.max(F.when(F.col("strategy") == candidate, F.col(measure))).over(sweep)
+    marked = frontier.withColumn("_ceiling", top * factor)
+    return marked.filter((F.col("strategy") == baseline) & (F.col(measure) > F.col("_ceiling"))).drop("_ceiling")
 
 
 # -- matched operating points ---------------------------------------------------------------------
 
 
-def interpolate(points: DataFrame, curve: DataFrame, x: str, measures: list[str], keys: list[str] | None = None) -> DataFrame:
+def interpolate(rows: DataFrame, is_point: Column, is_curve: Column, x: str, measures: list[str], keys: list[str] | None = None) -> DataFrame:
     """Piecewise-linear curve values at each point's ``x``; NULL outside the curve or with one point.
 
-    Points and curve are laid on one axis and each point takes its neighbours with two ordered
-    passes per key, so no point meets every segment.  Output columns are ``at_<measure>``.
+    Points and curve are rows of one table, told apart by the two conditions.  Each point takes its
+    neighbours on the curve with two ordered passes per key, so no point meets every segment.
+    Without keys the table is one sweep, a row per parameter setting.  Adds ``at_<measure>``.
     """
-    keys = keys or []
-    on_curve = F.struct(F.col(x).alias("x"), *[F.col(m).alias(m) for m in measures])
-    kind = curve.select(on_curve.alias("c")).schema["c"].dataType
-    left = points.select(*keys, F.col(x).alias("_x"), F.struct("*").alias("_row"), F.lit(None).cast(kind).alias("_c"))
-    right = curve.select(*keys, F.col(x).alias("_x"), F.lit(None).cast(points.select(F.struct("*").alias("r")).schema["r"].dataType).alias("_row"), on_curve.alias("_c"))
-    line = left.unionByName(right)
     part = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    on_curve = F.when(is_curve, F.struct(F.col(x).alias("x"), *[F.col(m).alias(m) for m in measures]))
     # Range frames see curve points that share the exact x.
-    below = part.orderBy("_x").rangeBetween(Window.unboundedPreceding, 0)
-    above = part.orderBy(F.desc("_x")).rangeBetween(Window.unboundedPreceding, 0)
-    near = line.withColumns({"_lo": F.last("_c", True).over(below), "_hi": F.last("_c", True).over(above)}).filter("_row IS NOT NULL")
+    below = part.orderBy(x).rangeBetween(Window.unboundedPreceding, 0)
+    above = part.orderBy(F.desc(x)).rangeBetween(Window.unboundedPreceding, 0)
+    line = rows.withColumns({"_c": on_curve, "_n": F.count_if(is_curve).over(part)})
+    near = line.withColumns({"_lo": F.last("_c", True).over(below), "_hi": F.last("_c", True).over(above)}).filter(is_point)
     x0, x1 = F.col("_lo.x"), F.col("_hi.x")
     out = {}
     for m in measures:
         y0, y1 = F.col(f"_lo.{m}"), F.col(f"_hi.{m}")
-        sloped = y0 + (F.col("_x") - x0) * (y1 - y0) / non_zero(x1 - x0)
-        out[f"at_{m}"] = F.when(x0.isNotNull() & x1.isNotNull(), F.when(x0 == x1, y0).otherwise(sloped))
-    found = near.withColumns(out).select("_row.*", *out)
-    sizes = curve.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")) if keys else None
-    if sizes is None:
-        enough = curve.agg(F.count(F.lit(1)) >= 2).scalar()
-        return found.withColumns({c: F.when(enough, F.col(c)) for c in out})
-    kept = found.join(sizes, keys, "left")
-    return kept.withColumns({c: F.when(F.col("_n") >= 2, F.col(c)) for c in out}).drop("_n")
-
-
-def _sides(frontier: DataFrame, baseline: str, candidate: str):
-    return frontier.filter(F.col("strategy") == baseline), frontier.filter(F.col("strategy") == candidate)
+        sloped = y0 + (F.col(x) - x0) * (y1 - y0) / non_zero(x1 - x0)
+        inside = x0.isNotNull() & x1.isNotNull() & (F.col("_n") >= 2)
+        out[f"at_{m}"] = F.when(inside, F.when(x0 == x1, y0).otherwise(sloped))
+    return near.withColumns(out).drop("_c", "_n", "_lo", "_hi")
 
 
 def require_strategies(frontier: DataFrame, *names: str) -> None:
@@ -238,9 +228,10 @@ def require_strategies(frontier: DataFrame, *names: str) -> None:
 
 def matched_service(frontier: DataFrame, keys: list[str] | None = None, baseline: str = BASELINE, candidate: str = CANDIDATE) -> DataFrame:
     """Waste, cost and stock of the candidate at each service level the baseline reached."""
-    reference, curve = _sides(frontier, baseline, candidate)
+    side = F.col("strategy")
     measures = ["waste_units", "total_cost", "average_inventory_units", "setting_value"]
-    at = interpolate(reference, curve, "unit_service_level", measures, keys).filter("at_waste_units IS NOT NULL")
+    at = interpolate(frontier, side == baseline, side == candidate, "unit_service_level", measures, keys)
+    at = at.filter("at_waste_units IS NOT NULL")
     cut = lambda m: F.when(F.col(m) > 0, F.bround((F.col(m) - F.col(f"at_{m}")) / F.col(m) * 100.0, 1))
     return at.select(
         *(keys or []),
@@ -261,8 +252,9 @@ def matched_service(frontier: DataFrame, keys: list[str] | None = None, baseline
 
 def matched_waste(frontier: DataFrame, keys: list[str] | None = None, baseline: str = BASELINE, candidate: str = CANDIDATE) -> DataFrame:
     """Service level of the candidate at each amount of waste the baseline made."""
-    reference, curve = _sides(frontier, baseline, candidate)
-    at = interpolate(reference, curve, "waste_units", ["unit_service_level"], keys).filter("at_unit_service_level IS NOT NULL")
+    side = F.col("strategy")
+    at = interpolate(frontier, side == baseline, side == candidate, "waste_units", ["unit_service_level"], keys)
+    at = at.filter("at_unit_service_level IS NOT NULL")
     return at.select(
         *(keys or []),
         F.col("setting_value").alias("reference_setting"),

@@ -158,7 +158,7 @@ def with_costs(ledger: DataFrame, s: Settings = Settings()) -> DataFrame:
             "waste_cost": F.col("expired_units") * (F.col("unit_cost") + s.disposal_cost),
             "stockout_cost": F.col("stockout_units") * F.col("stockout_cost_per_unit"),
             "inventory_value": F.col("closing_stock") * F.col("unit_cost"),
-            "stockout_day": (F.col("stockout_units") > 0).cast("int"),
+            "stockout_day": (F.col("stockout_units") > DUST).cast("int"),
         }
     )
     if "ordering_cost" not in out.columns:
@@ -172,7 +172,7 @@ def share_order_fee(ledger: DataFrame, group: list[str], s: Settings = Settings(
     The number of SKUs per day is counted by a partial aggregate and joined back (one row per group
     and calendar day), not by a window that would gather all SKUs of a day.
     """
-    ordered = F.col(quantity) > 0
+    ordered = F.col(quantity) > DUST
     lines = ledger.filter(ordered).groupBy(*group, "date").agg(F.count(F.lit(1)).alias("lines"))
     joined = ledger.join(F.broadcast(lines), [*group, "date"], "left")
     return joined.withColumn("ordering_cost", F.when(ordered, s.order_fee / F.col("lines")).otherwise(0.0)).drop("lines")
@@ -201,6 +201,9 @@ def ledger_violations(ledger: DataFrame, group: list[str], tolerance: float = 1e
     return row.unpivot([], rules, "rule", "violations")
 
 
+# Quantities below this are rounding noise of the arithmetic, not stock and not orders.
+DUST = 1e-9
+
 # -- policy replay --------------------------------------------------------------------------------
 
 REPLAY_COLUMNS = (
@@ -249,7 +252,7 @@ def replay(days: DataFrame, keys: list[str], s: Settings = Settings()) -> DataFr
         capped = F.least(raw, cap, d["most"])
         cases = in_packs(capped, pack, s.pack_rounding)
         wanted = d["is_review_day"] & (d["reorder_point"].isNull() | (position <= d["reorder_point"]))
-        q = F.when(wanted, F.transform(F.array(cases), lambda c: F.when(c > 0, F.greatest(c, least)).otherwise(0.0))[0]).otherwise(0.0)
+        q = F.when(wanted, F.transform(F.array(cases), lambda c: F.when(c > DUST, F.greatest(c, least)).otherwise(0.0))[0]).otherwise(0.0)
         gone = F.least(inflow(acc["placed"], i), past + d["demand"])
         return F.struct(
             F.concat(acc["placed"], F.array(ordered + q)).alias("placed"), F.concat(acc["gone"], F.array(gone)).alias("gone")
@@ -284,7 +287,7 @@ def replay(days: DataFrame, keys: list[str], s: Settings = Settings()) -> DataFr
 
 def order_log(ledger: DataFrame, keys: list[str], unit_cost: str = "unit_cost", s: Settings = Settings()) -> DataFrame:
     """Orders placed: one row per ledger day with a quantity."""
-    placed = ledger.filter("recommended_order > 0")
+    placed = ledger.filter(F.col("recommended_order") > DUST)
     return placed.select(
         *keys, F.col("date").alias("ordered_on"), F.date_add("date", s.lead_days).alias("arrives_on"),
         F.col("recommended_order").alias("quantity"), (F.col("recommended_order") * F.col(unit_cost)).alias("order_value"),
