@@ -336,10 +336,10 @@ def e16(spark, d):
     return kpi.best_matched(n4(spark, d))
 
 
-@query("p5_off_scale_points", f"SELECT setting_value, waste_units FROM frontier WHERE strategy = '{BASELINE}' AND waste_units > 2.7 * (SELECT max(waste_units) FROM frontier WHERE strategy = '{CANDIDATE}')",
+@query("p5_off_scale_points", f"SELECT setting_value, waste_units FROM frontier WHERE strategy = '{BASELINE}' AND waste_units > 0.5 * (SELECT max(waste_units) FROM frontier WHERE strategy = '{CANDIDATE}')",
        ["frontier"], doubles=["setting_value", "waste_units"])
 def p5(spark, d):
-    return kpi.off_scale(frontier(spark, d)).select("setting_value", "waste_units")
+    return kpi.off_scale(frontier(spark, d), factor=0.5).select("setting_value", "waste_units")
 
 
 @query("p1_indexed_kpis", "SELECT key, metric, 100.0::DOUBLE AS baseline_indexed, 100 * candidate / nullif(baseline, 0) AS candidate_indexed FROM comparison WHERE key IN ('stockout_units', 'waste_units', 'unit_service_level', 'total_cost', 'average_inventory_units')",
