@@ -123,7 +123,7 @@ block("frontier", "SELECT strategy, setting_name, setting_value, " + ", ".join(f
 
 def replay_inputs(spark, d, buffers, levels):
     sales, econ = brand(spark, d), P.econ(spark, d)
-    days = decisions.review_dates(spark, P.START, P.END, S)
+    days = decisions.review_dates(P.START, P.END, S)
     arrays = service.daily_arrays(models.seasonal_naive(models.series_state(sales, days, S), 7, S))
     usage = features.trailing_usage(sales, days, S.lookback_days)
     terms = decisions.baseline_terms(usage, econ, buffers, S).unionByName(decisions.candidate_terms(arrays, econ, levels, S))

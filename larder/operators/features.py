@@ -124,22 +124,19 @@ def with_temperature(rows: DataFrame, weather: DataFrame, s: Settings = Settings
 # -- the state of every series at every decision date ---------------------------------------------
 
 
-def decision_cuts(origins: Column) -> Column:
-    """Decision dates whose newest visible row is this one: after its date, not after the next one."""
-    following = F.lead("date").over(by_day())
-    return F.filter(origins, lambda o: (o > F.col("date")) & (following.isNull() | (o <= following)))
-
-
 def with_cuts(sales: DataFrame, origins: Column) -> DataFrame:
     """``cuts``: the decision dates at which a row is the last one known.
 
-    This replaces a (decision x history) join: running aggregates evaluated at a row *are* the
-    history as of each of its cuts.
+    ``origins`` is an ascending array of dates.  This replaces a (decision x history) join: running
+    aggregates evaluated at a row *are* the history as of each of its cuts.  Rows outside the range
+    of the decisions skip the search.
     """
-    return sales.withColumn("following", F.lead("date").over(by_day())).withColumn("_origins", origins).withColumn(
-        "cuts",
-        F.filter("_origins", lambda o: (o > F.col("date")) & (F.col("following").isNull() | (o <= F.col("following")))),
-    ).drop("following", "_origins")
+    frame = sales.withColumns({"_next": F.lead("date").over(by_day()), "_origins": origins})
+    first, last = F.try_element_at("_origins", F.lit(1)), F.try_element_at("_origins", F.lit(-1))
+    in_range = (F.col("date") < last) & (F.col("_next").isNull() | (F.col("_next") >= first))
+    found = F.filter("_origins", lambda o: (o > F.col("date")) & (F.col("_next").isNull() | (o <= F.col("_next"))))
+    none = F.array().cast("array<date>")
+    return frame.withColumn("cuts", F.when(in_range, found).otherwise(none)).drop("_next", "_origins")
 
 
 def origin_array(origins: DataFrame, column: str = "origin") -> Column:

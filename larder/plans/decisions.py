@@ -91,9 +91,10 @@ def recommendations(forecasts: DataFrame, stock: DataFrame, economics: DataFrame
 # -- policy replays -------------------------------------------------------------------------------
 
 
-def review_dates(spark, start: dt.date, end: dt.date, s: Settings = Settings()) -> Column:
-    """Array of the days in a window on which an order may be placed."""
-    return F.filter(F.sequence(F.lit(start), F.lit(end)), lambda d: is_order_day(d, s))
+def review_dates(start: dt.date, end: dt.date, s: Settings = Settings()) -> Column:
+    """Array of the days in a window on which an order may be placed (one literal per day)."""
+    days = (start + dt.timedelta(days=i) for i in range((end - start).days + 1))
+    return F.array(*[F.lit(d) for d in days if d.weekday() in s.order_days])
 
 
 def settings_array(baseline_buffers, service_levels) -> Column:
@@ -180,7 +181,7 @@ def frontier(ledger: DataFrame, s: Settings = Settings()) -> DataFrame:
 
 def usage_on_review_days(sales: DataFrame, start: dt.date, end: dt.date, s: Settings = Settings()) -> DataFrame:
     """Trailing average usage at every review day of a window."""
-    return trailing_usage(sales, review_dates(sales.sparkSession, start, end, s), s.lookback_days)
+    return trailing_usage(sales, review_dates(start, end, s), s.lookback_days)
 
 
 __all__ = ["base_stock", "baseline_terms", "candidate_terms", "frontier", "recommendations", "run_replay"]
