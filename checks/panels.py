@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.registry import block
+from checks.registry import block, shared
 from larder.functions.calendar import calendar_columns
 from larder.operators.repair import densify
 from larder.settings import Settings
@@ -47,6 +47,7 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+@shared
 def daily(spark: SparkSession, d: str, sku: str, flag: str | None = None) -> DataFrame:
     """Units per (SKU, day) from order lines.
 
@@ -124,21 +125,25 @@ for kind in ("type", "brand"):
 block("gappy_type", enrich_sql("daily_type"), "daily_type")
 
 
+@shared
 def sales_type(spark, d):
     """Six smooth series, zero-filled."""
     return enrich(dense(daily_type(spark, d)))
 
 
+@shared
 def sales_brand(spark, d):
     """Twenty-five series, zero-filled; intermittent at small scale."""
     return enrich(dense(daily_brand(spark, d)))
 
 
+@shared
 def gappy_type(spark, d):
     """Observed days only."""
     return enrich(daily_type(spark, d))
 
 
+@shared
 def feed(spark: SparkSession, d: str) -> DataFrame:
     """A raw feed at order-line grain: many copies per (SKU, day), bad and missing quantities as text."""
     li, part = table(spark, d, "lineitem"), table(spark, d, "part")
@@ -164,6 +169,7 @@ block("feed_first", """SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (
  ORDER BY ingest_seq, units_sold, shelf_life_days, promo) AS rn FROM feed_valid) WHERE rn = 1""", "feed_valid")
 
 
+@shared
 def terms(spark: SparkSession, d: str, sku: str = "p_brand") -> DataFrame:
     """Commercial overrides per SKU from the parts table; some SKUs are left to the defaults."""
     rows = table(spark, d, "part").groupBy(F.col(sku).alias("sku")).agg(F.round(F.avg("p_retailprice") / 1000, 2).alias("unit_cost"))
@@ -185,6 +191,7 @@ for kind in ("type", "brand"):
     block(f"econ_{kind}", ECON_SQL.format(k=kind, n=NUMBER_SQL), f"terms_{kind}")
 
 
+@shared
 def econ(spark, d, kind: str = "brand") -> DataFrame:
     skus = table(spark, d, "part").select(F.col(f"p_{kind}").alias("sku")).distinct()
     skus = skus.withColumn("shelf_life_days", (3 + number() % 5).cast("int"))

@@ -8,7 +8,7 @@ from checks import panels as P
 from checks.q_features import month_origins
 from checks.q_models import FAST, TREES, brand, h2
 from checks.q_ordering import f1, w
-from checks.registry import block, query
+from checks.registry import block, query, shared
 from larder.operators import explain, features, models, slices
 
 S = P.S
@@ -32,15 +32,18 @@ block("drivers", """SELECT * EXCLUDE (cd, cw) FROM (SELECT *, max(abs(contributi
 DD = ["predicted", "reference_prediction", "value", "reference_value", "contribution_units"]
 
 
+@shared
 def future(spark, d):
     sales = P.sales_brand(spark, d)
     return features.future_features(sales, month_origins(), 7, S, sales.select("sku", "date", "promo"), features.weather_series(sales))
 
 
+@shared
 def reference(spark, d):
     return explain.reference_day(slices.history_as_of(P.sales_brand(spark, d), P.START), S)
 
 
+@shared
 def all_drivers(spark, d):
     rows = explain.ablation_rows(future(spark, d), reference(spark, d), S)
     value = F.lit(20.0)
@@ -49,6 +52,7 @@ def all_drivers(spark, d):
     return explain.contributions(rows.withColumn("prediction", value), S)
 
 
+@shared
 def drivers(spark, d):
     return explain.one_calendar_driver(all_drivers(spark, d))
 

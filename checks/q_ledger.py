@@ -8,7 +8,7 @@ from checks import panels as P
 from checks.q_models import backtest_blocks, brand
 from checks.q_ordering import ed_sql, r1
 from checks.q_features import quantile_sql
-from checks.registry import block, half_even, query
+from checks.registry import block, half_even, query, shared
 from larder.operators import features, kpi, ledger, models
 from larder.plans import decisions, service
 from larder.settings import BASELINE, CANDIDATE
@@ -18,6 +18,7 @@ S = P.S
 LEDGER = ["opening_stock", "received", "demand", "served", "stockout_units", "closing_stock"]
 
 
+@shared
 def log(spark, d):
     return ledger.full_days(ledger.daily_movements(P.moves(spark, d)))
 
@@ -130,11 +131,13 @@ def replay_inputs(spark, d, buffers, levels):
     return sales, econ, terms, decisions.settings_array(buffers, levels)
 
 
+@shared
 def sweep(spark, d, buffers=BUFFERS, levels=SERVICE):
     sales, econ, terms, grid = replay_inputs(spark, d, buffers, levels)
     return decisions.run_replay(sales, terms, econ, grid, P.START, P.END, S)
 
 
+@shared
 def pair(spark, d):
     return sweep(spark, d, (0.2,), (0.95,))
 
@@ -143,6 +146,7 @@ def pair_orders(led):
     return ledger.order_log(led, decisions.REPLAY_KEYS, s=S)
 
 
+@shared
 def pair_kpis(spark, d):
     led = pair(spark, d)
     return kpi.compute_kpis(led, ["strategy"], pair_orders(led))
@@ -276,6 +280,7 @@ def a17(spark, d):
 # -- frontier and matching ----------------------------------------------------------------------------------
 
 
+@shared
 def frontier(spark, d):
     return decisions.frontier(sweep(spark, d), S)
 
@@ -315,6 +320,7 @@ def n3(spark, d):
 
 
 @query("n4_matched_service", "SELECT * FROM matched", ["matched"], doubles=MATCHED)
+@shared
 def n4(spark, d):
     return kpi.matched_service(frontier(spark, d))
 

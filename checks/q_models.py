@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks import panels as P
-from checks.registry import block, query
+from checks.registry import block, query, shared
 from larder.functions import accuracy
 from larder.operators import features, models, segments, slices
 from larder.plans import backtest, service
@@ -51,10 +51,12 @@ block("bt_metrics", """SELECT fold, as_of, sku, model, 100 * avg(CASE WHEN abs(a
 METRIC_DOUBLES = ["sMAPE", "MASE", "WAPE", "bias", "interval_coverage", "actual_total", "forecast_total"]
 
 
+@shared
 def brand(spark, d):
     return P.dense(P.daily_brand(spark, d))
 
 
+@shared
 def fold_state(spark, d):
     sales = brand(spark, d)
     return models.series_state(sales, features.origin_array(slices.rolling_origins(sales, 12, 7)), S)
@@ -82,6 +84,7 @@ def j5p(spark, d):
 
 
 @query("h2_all_models", "SELECT * FROM bt_forecast", ["bt_forecast"], dates=["as_of", "forecast_date"], doubles=FORECAST_DOUBLES)
+@shared
 def h2(spark, d):
     sales = brand(spark, d)
     return models.forecast_all(sales, features.origin_array(slices.rolling_origins(sales, 12, 7)), 7, S, FAST)
@@ -106,6 +109,7 @@ def j11(spark, d):
 
 
 @query("k1_i13_i18_backtest_metrics", "SELECT * FROM bt_metrics", ["bt_metrics"], dates=["as_of"], doubles=METRIC_DOUBLES)
+@shared
 def k1(spark, d):
     return backtest.run_backtest(brand(spark, d), S, models=FAST)
 
@@ -162,6 +166,7 @@ block("tiled", f"SELECT {A} - CAST(7 * k AS INTEGER) AS origin FROM unnest(gener
 backtest_blocks("tl", "tiled")
 
 
+@shared
 def tiled(spark, d):
     return backtest.replay_accuracy(brand(spark, d), P.AS_OF, 28, S)
 
@@ -231,6 +236,7 @@ block("segs", f"""SELECT *, abc || xyz AS segment, {A} AS as_of FROM (SELECT *,
 SEG_DOUBLES = ["total_units", "mean_daily_demand", "std_daily_demand", "zero_day_share", "unit_cost", "annual_value", "demand_cv", "value_share", "cumulative_value_share"]
 
 
+@shared
 def segs(spark, d):
     return segments.segment_skus(brand(spark, d), P.econ(spark, d), P.AS_OF, S)
 
@@ -270,6 +276,7 @@ block("choices", CHOICE_SQL, "segs", "dense_brand")
 
 
 @query("j14_j16_rule_choices", "SELECT * FROM choices", ["choices"])
+@shared
 def j14(spark, d):
     return service.choose_models(brand(spark, d), P.econ(spark, d), P.AS_OF, S).drop("candidate_scores")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from checks import panels as P
 from checks.q_features import cdf_sql, month_origins, quantile_sql
 from checks.q_models import DESCRIBE, backtest_blocks, brand, segs
-from checks.registry import block, half_even, query
+from checks.registry import block, half_even, query, shared
 from larder.functions import stock
 from larder.operators import explain, features, models, ordering, slices
 from larder.plans import decisions, service
@@ -47,23 +47,27 @@ block("dec_risk", """SELECT *, CASE WHEN prob >= 0.25 THEN 'high' WHEN prob >= 0
 block("rec", """SELECT *, CASE WHEN 'high' IN (stockout_risk, waste_risk) THEN 'high' WHEN 'medium' IN (stockout_risk, waste_risk) THEN 'medium' ELSE 'low' END AS risk FROM dec_risk""", "dec_risk")
 
 
+@shared
 def forecast_arrays(spark, d, scenarios=None):
     state = models.series_state(brand(spark, d), month_origins(), S)
     rows = models.seasonal_naive(state, 7, S)
     return service.daily_arrays(rows)
 
 
+@shared
 def stock_rows(spark, d):
     usage = features.trailing_usage(brand(spark, d), month_origins(), 28)
     return usage.select("as_of", "sku", (F.col("usage") * 2).alias("on_hand"), (P.number() % 3 * 10).cast("double").alias("on_order"),
                         F.col("usage").alias("recent_average"))
 
 
+@shared
 def inputs(spark, d, s=S):
     rows = decisions.decision_rows(forecast_arrays(spark, d), stock_rows(spark, d), P.econ(spark, d), segs(spark, d), s)
     return rows
 
 
+@shared
 def recs(spark, d, s=S):
     rows = decisions.decision_rows(forecast_arrays(spark, d), stock_rows(spark, d), P.econ(spark, d), segs(spark, d), s)
     usage = stock_rows(spark, d).select("as_of", "sku", "recent_average")
@@ -237,6 +241,7 @@ block("overridden", f"""SELECT sku, q AS recommended_order, ov AS override_order
  FROM (SELECT *, CASE WHEN {P.NUMBER_SQL} % 3 = 0 THEN q + 6 WHEN {P.NUMBER_SQL} % 5 = 0 THEN 0 END AS ov FROM one_rec)""", "one_rec")
 
 
+@shared
 def one_date(spark, d):
     return recs(spark, d).filter(F.col("as_of") == F.lit("2001-06-01").cast("date"))
 

@@ -20,6 +20,23 @@ ORACLES: dict[str, str] = {}
 BLOCKS: dict[str, tuple[tuple[str, ...], str]] = {}
 
 
+def shared(fn):
+    """Build a lazy DataFrame once per session and folder; queries that start from it reuse the plan.
+
+    Nothing is cached in Spark: each query still reads its tables and runs the whole plan.
+    """
+    plans: dict = {}
+
+    @functools.wraps(fn)
+    def run(spark, d, *args, **kw):
+        key = (spark.sparkContext.applicationId, d, args, tuple(sorted(kw.items())))
+        if key not in plans:
+            plans[key] = fn(spark, d, *args, **kw)
+        return plans[key]
+
+    return run
+
+
 def block(name: str, text: str, *needs: str) -> None:
     """A named common table expression and the blocks it reads."""
     BLOCKS[name] = (needs, text)
