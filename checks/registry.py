@@ -45,7 +45,7 @@ def block(name: str, text: str, *needs: str) -> None:
 def half_even(c: str, places: int = 1) -> str:
     """Round half to even on the shortest decimal text of a double, as Spark does."""
     shift = 10**places
-    dec = f"(CAST(CAST(CAST({c} AS DOUBLE) AS VARCHAR) AS DECIMAL(38, 14)) * {shift})"
+    dec = f"(CAST(CAST(CAST({c} AS DOUBLE) AS VARCHAR) AS DECIMAL(38, 20)) * {shift})"
     return (f"CAST(CASE WHEN {dec} - floor({dec}) = 0.5 THEN floor({dec}) + CAST(floor({dec}) AS BIGINT) % 2 "
             f"ELSE round({dec}) END AS DOUBLE) / {shift}")
 
