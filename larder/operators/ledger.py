@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.operators.ordering import in_packs
+from larder.operators.repair import densify
 from larder.settings import Settings
 
 
@@ -22,10 +23,7 @@ def daily_movements(moves: DataFrame) -> DataFrame:
 
 def full_days(log: DataFrame) -> DataFrame:
     """One row for every day between a SKU's first and last movement."""
-    ends = log.groupBy("sku").agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
-    grid = ends.select("sku", F.explode(F.sequence("lo", "hi")).alias("date"))
-    joined = grid.join(log, ["sku", "date"], "left")
-    return joined.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("received", "demand")})
+    return densify(log, {"received": 0.0, "demand": 0.0}).drop("is_observed")
 
 
 def lost_sales_ledger(log: DataFrame, opening: float = 0.0) -> DataFrame:

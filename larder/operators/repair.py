@@ -35,24 +35,33 @@ def keep_first(df: DataFrame, order: str | None = "ingest_seq") -> DataFrame:
     return first.select("date", "sku", "row.*").select(*df.columns)
 
 
-def densify(observed: DataFrame, values: dict | None = None, until: Column | None = None) -> DataFrame:
+def last_before_next() -> Column:
+    """The day before a SKU's next row, or the row's own day when nothing is missing in between."""
+    following = F.lead("date").over(Window.partitionBy("sku").orderBy("date"))
+    return F.greatest(F.col("date"), F.date_sub(following, 1))
+
+
+def densify(observed: DataFrame, values: dict | None = None) -> DataFrame:
     """Every day between a SKU's own first and last day.
 
     ``values`` maps a column to what inserted rows hold (others are NULL); ``is_observed`` marks
-    original rows.  The grid is generated per SKU, and the join back is by (sku, date).
+    original rows.  Each row emits itself and the missing days up to the next row, so there is no
+    join, and windows by SKU that follow need no further shuffle.
     """
-    ends = observed.groupBy("sku").agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
-    grid = ends.select("sku", F.explode(F.sequence("lo", "hi" if until is None else until)).alias("date"))
-    dense = grid.join(observed.withColumn("is_observed", F.lit(True)), ["sku", "date"], "left")
-    dense = dense.withColumn("is_observed", F.coalesce("is_observed", F.lit(False)))
-    return dense.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in (values or {}).items()})
+    rest = [c for c in observed.columns if c not in ("sku", "date")]
+    spans = observed.withColumn("_until", last_before_next())
+    rows = spans.select("sku", *rest, F.posexplode(F.sequence("date", "_until")).alias("_after", "date"))
+    first = F.col("_after") == 0
+    fill = {c: F.when(first, F.coalesce(c, F.lit(v))).otherwise(F.lit(v)) for c, v in (values or {}).items()}
+    blank = {c: F.when(first, F.col(c)) for c in rest if c not in fill}
+    rows = rows.withColumns({**fill, **blank, "is_observed": first})
+    return rows.select("sku", "date", *rest, "is_observed")
 
 
 def missing_days(observed: DataFrame) -> DataFrame:
     """The (sku, date) pairs absent inside each SKU's own range."""
-    ends = observed.groupBy("sku").agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
-    grid = ends.select("sku", F.explode(F.sequence("lo", "hi")).alias("date"))
-    return grid.join(observed.select("sku", "date"), ["sku", "date"], "left_anti")
+    spans = observed.select("sku", "date").withColumn("_until", last_before_next()).filter(F.col("_until") > F.col("date"))
+    return spans.select("sku", F.explode(F.sequence(F.date_add("date", 1), F.col("_until"))).alias("date"))
 
 
 def middle(values: Column) -> Column:
