@@ -150,6 +150,7 @@ def constrain(df: DataFrame, s: Settings = Settings(), enforce_shelf_life: bool
     final = F.when(F.col("q_pack") > 0, F.greatest(F.col("q_pack"), least)).otherwise(0.0)
     steps = settled(steps, {"recommended_order_quantity": final})
     usable = usable_life("shelf_life_days", s.usable_fraction)
+    # Adjustment names and the wording of their notes.
     notes = {
         "shelf_life_cap": ("raw_order_quantity", "q_life", F.concat(
             F.lit("Reduced to what can be used within the "), whole(usable),
