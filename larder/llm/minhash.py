@@ -97,7 +97,6 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, sketch:
     empty texts and texts without words have an empty set and link with nothing.  A row without doc_id links with nothing:
     component_id null, kept true.  Rows that repeat a doc_id count as one document, with the links of each of its texts.
     """
-    spark = docs.sparkSession
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     base = settle(plain.mapInArrow(lambda it: _sketches(it, width, sketch), "doc_id long, n_shingles long, set_key string, sketch array<long>"))
     linkable = base.where("doc_id IS NOT NULL AND n_shingles > 0")
