@@ -1,17 +1,19 @@
 """Near-duplicate documents by bottom-k sketches of their word shingles.
 
-One hash function gives every shingle a 64-bit value; a document retains its ``sketch`` smallest.  Inverted lists are kept on
-neighbouring retained values ``(v[i], v[i+1])``: documents that share most shingles share most neighbours, documents that
-share one passage rarely share any, so the lists stay short.  Every list, however long, is first linked to its smallest
-member only; verified links merge documents to components.  A second round compares members of *different* components.
-Pairs pass an estimate from the bottom values of the united sketches, then exact Jaccard on the whole sets.
-
-A link is missed only if all neighbours of the united sketch are broken: below 1e-11 for 32 values at 0.85, nil for sets of
-32 shingles and less.  Lists too long for round two are taken there by documents which have few others (see ``SHORT``).
+One hash function gives every shingle a 64-bit value; a document retains its ``SKETCH`` smallest.  Two similar documents have most
+retained values in common, so they also have one in common among the rarer values of each: with ``t`` of ``k`` to be shared, among
+the ``k - t + 1`` rarest.  Inverted lists are kept for those alone; a passage or a line that many documents share is never among them,
+unless it makes up most of a document.  Every list, however long, is first linked to its smallest member only; verified links
+merge documents to components.  A second round compares members of *different* components.  Pairs pass an estimate from the
+bottom values of the united sketch, then exact Jaccard on the whole sets.
+
+A link is missed only if chance leaves the united sketch five deviations short of common values: about 1e-6 for a pair at the threshold, nil for
+sets that are retained whole.  Lists too long for round two are taken there by documents which have few others (see ``SHORT``).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,13 +24,17 @@ from pyspark.sql import functions as F
 
 from larder.llm.common import components, scratch, settle
 
-SKETCH = 32
-# Pairs whose united sketch shares less than this are dropped; at 0.8 and 32 values the chance of a loss is below 1e-4.
-LEAST_SHARE = 0.45
+SKETCH = 48
 # A list is compared member by member if that takes at most so many pairs per member.
 SHORT = 32
 
 
+def least_share(percent: int, sketch: int) -> float:
+    """The share of common values below which a sketch does not come from a linked pair: five standard deviations."""
+    j = percent / 100
+    return max(0.0, j - 5 * math.sqrt(j * (1 - j) / sketch))
+
+
 def shingle_set(text: bytes | None, width: int) -> np.ndarray:
     """Sorted distinct hashes of a text's shingles; with fewer words than ``width`` the whole sequence is one shingle."""
     words = text.lower().split() if text else []  # for bytes: A-Z only, and split at space and \\t..\\r
@@ -68,7 +74,7 @@ def _verified(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> It
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _plausible(pairs: DataFrame, classes: DataFrame, percent: int, share: float) -> DataFrame:
     """Pairs whose sizes allow a link and whose united sketches suggest one."""
     a = classes.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
     b = classes.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
@@ -77,7 +83,7 @@ def _plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
         pairs.join(b, "b").join(a, "a")
         .where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
         .withColumn("united", united)
-        .where(F.size(F.array_intersect(F.array_intersect("united", "s_a"), "s_b")) >= LEAST_SHARE * F.size("united"))
+        .where(F.size(F.array_intersect(F.array_intersect("united", "s_a"), "s_b")) >= share * F.size("united"))
         .select("a", "b")
     )
 
@@ -102,16 +108,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, sketch:
     linkable = base.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = settle(linkable.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")))
 
-    neighbours = F.transform(F.sequence(F.lit(0), F.size("sketch") - 2), lambda i: F.xxhash64(F.get("sketch", i), F.get("sketch", i + 1)))
-    posts = classes.where(F.size("sketch") > 1).select("id", "n", F.explode(neighbours).alias("k"))
-    lists = posts.groupBy("k").agg(F.count(F.lit(1)).alias("df"), F.min("id").alias("low"), F.max("id").alias("high")).where("df > 1")
-    shared = settle(posts.join(lists, "k"))
+    share = least_share(percent, sketch)
+    posts = classes.select("id", "n", F.size("sketch").alias("k"), F.explode("sketch").alias("v"))
+    common = posts.join(posts.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "v")
+    # The rarest of a document's values come first; those that it has alone need no list.
+    by_document = common.groupBy("id", "n", "k").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("values"))
+    wanted = F.floor(F.col("k") * (1 - share)).cast("int") + 1 - (F.col("k") - F.size("values"))
+    prefix = settle(by_document.withColumn("wanted", wanted).where("wanted > 0").select("id", "n", F.explode(F.slice("values", F.lit(1), F.col("wanted"))).alias("x")).select("id", "n", F.col("x.v").alias("k")))
+    lists = prefix.groupBy("k").agg(F.count(F.lit(1)).alias("df"), F.min("id").alias("low"), F.max("id").alias("high")).where("df > 1")
+    shared = settle(prefix.join(lists, "k"))
     texts = settle(
         plain.join(shared.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text")
     )
 
     stars = shared.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
-    first = settle(_links(_plausible(stars, classes, percent), texts, width, percent))
+    first = settle(_links(_plausible(stars, classes, percent, share), texts, width, percent))
     comps = components(first)
 
     # Round two: only members of different components.
@@ -127,10 +138,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, sketch:
     )
     opened = settle(labelled.join(open_lists, "k"))
     # Documents most of whose lists are long have no others to be found by.
-    counts = classes.select("id", (F.size("sketch") - 1).alias("own"))
-    mostly = (
-        opened.where("long").groupBy("id").agg(F.count(F.lit(1)).alias("c")).join(counts, "id").where("2 * c > own").select("id")
-    )
+    mostly = opened.groupBy("id").agg(F.count(F.lit(1)).alias("own"), F.count(F.when(F.col("long"), 1)).alias("c")).where("2 * c > own").select("id")
     compared = opened.where("NOT long").select("k", "id", "n", "comp").union(
         opened.where("long").join(mostly, "id", "left_semi").select("k", "id", "n", "comp")
     )
@@ -139,7 +147,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, sketch:
     across = left.join(right, "k").where(f"a < b AND c_a <> c_b AND 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").select("a", "b")
     again = opened.where("long AND id <> high").select(F.col("id").alias("a"), F.col("high").alias("b"))
     pairs = across.union(again).distinct()
-    second = _links(_plausible(pairs, classes, percent), texts, width, percent)
+    second = _links(_plausible(pairs, classes, percent, share), texts, width, percent)
     merged = settle(components(first.union(settle(second))))
 
     named = classes.join(merged.withColumnRenamed("node", "id"), "id", "left").select("set_key", F.coalesce("comp", "id").alias("component_id"))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from larder.llm import caps, language, minhash, mixture, nearest, pieces, secrets, token_counts, toxicity, warc
 from larder.llm.common import table
 
@@ -189,6 +190,11 @@ def op10(spark: SparkSession, d: str) -> DataFrame:
     return language.identify(table(spark, d, "documents"))
 
 
+@_query("pipeline")
+def pipeline(spark: SparkSession, d: str) -> DataFrame:
+    return corpus_pipeline.run(spark, d)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -26,9 +26,9 @@ STRONG = {
     "hex": (r"[0-9a-f]{24,}", 0, 24),  # maximal runs: the same as [0-9a-f]+ with shorter matches dropped, without visiting them
 }
 WEAK = {
-    "account": (r"""\b(?i:(user|username|login|account|client_?id))["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]+)""", 2, 3),
+    "account": (r"""(?i:(user|username|login|account|client_?id))["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]+)""", 2, 3),
     "opaque": (r"[A-Za-z0-9+/]{32,}", 0, 32),
-    "address": (r"""\b[a-z]{2,12}://[^\x20\x09-\x0D"'<>]+""", 0, 8),
+    "address": (r"""[a-z]{2,12}://[^\x20\x09-\x0D"'<>]+""", 0, 8),
 }
 KINDS = (*STRONG, *WEAK)
 IDENTIFIERS, SECRETS, ADDRESSES = ("access", "account"), ("assign", "hex", "opaque"), ("address",)

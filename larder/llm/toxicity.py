@@ -8,8 +8,6 @@ Terms are words or beginnings of words.  They, their weights, the exceptions and
 taken while it explains enough toxic documents that earlier terms do not, the longest one first among those that find the same documents.
 """
 
-from __future__ import annotations
-
 import functools
 import math
 import re
@@ -20,6 +18,7 @@ from dataclasses import dataclass
 
 import ahocorasick
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -241,14 +240,9 @@ def score_all(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """``docs`` without the rows whose text scores at or above the threshold; all columns stay."""
-    return docs.where(_predicate(lexicon)(F.col("text")) < THRESHOLD)
-
-
-def _predicate(lexicon: Lexicon):
-    import pandas as pd
 
     @F.pandas_udf("double")
     def toxicity(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: score(t, lexicon))
+        return texts.map(lambda t: score(t, lexicon)).astype("float64")
 
-    return toxicity
+    return docs.where(toxicity(F.col("text")) < THRESHOLD)

@@ -96,7 +96,7 @@ def parsed(data: bytes) -> dict:
 def dictionary(samples: list[bytes]) -> zstandard.ZstdCompressionDict | None:
     """Trained on records; None if there are too few for a dictionary to be trained."""
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, samples) if sum(map(len, samples)) > 8 * DICTIONARY_BYTES else None
+        return zstandard.train_dictionary(DICTIONARY_BYTES, samples) if len(samples) > 8 else None
     except zstandard.ZstdError:
         return None
 
