@@ -41,7 +41,7 @@ HOMOGLYPHS = str.maketrans({
 })
 DIGITS = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s"})
 
-_SUBSTITUTED = re.compile(r"[\w@$]*[0-9@$][\w@$]*")
+_TOKENS = re.compile(r"[\w@$]+").findall
 _WORDS = re.compile(r"[^\W\d_]+").findall
 
 
@@ -58,9 +58,9 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
 
 
-def _letters(match: re.Match) -> str:
-    token = match.group()
-    return token.translate(DIGITS) if any(c.isalpha() for c in token) else token
+def _letters(token: str) -> list[str]:
+    """Words of a token with digits, signs or underscores: these are letters if others are."""
+    return _WORDS(token.translate(DIGITS) if any(c.isalpha() for c in token) else token)
 
 
 def fold(text: str | None) -> tuple[str, int]:
@@ -71,7 +71,12 @@ def fold(text: str | None) -> tuple[str, int]:
         text = unicodedata.normalize("NFKC", text).lower().translate(HOMOGLYPHS)
     else:
         text = text.lower()
-    words = _WORDS(_SUBSTITUTED.sub(_letters, text))
+    words: list[str] = []
+    for token in _TOKENS(text):
+        if token.isalpha():
+            words.append(token)
+        else:
+            words.extend(_letters(token))
     return f" {' '.join(words)} ", len(words)
 
 
