@@ -4,11 +4,12 @@ One hash function gives every shingle a 64-bit value; a document retains its ``S
 retained values in common, so they also have one in common among the rarer values of each: with ``t`` of ``k`` to be shared, among
 the ``k - t + 1`` rarest.  Inverted lists are kept for those alone; a passage or a line that many documents share is never among them,
 unless it makes up most of a document.  Every list, however long, is first linked to its smallest member only; verified links
-merge documents to components.  A second round compares members of *different* components.  Pairs pass an estimate from the
-bottom values of the united sketch, then exact Jaccard on the whole sets.
+merge documents to components.  A second round compares members of *different* components: short lists by a join, long ones in
+tiles that put out one row a document and no pairs.  Joined pairs pass an estimate from the bottom values of the united sketch.
+Exact Jaccard on the whole sets confirms every link.
 
 A link is missed only if chance leaves the united sketch five deviations short of common values: about 1e-6 for a pair at the threshold, nil for
-sets that are retained whole.  Lists too long for round two are taken there by documents which have few others (see ``SHORT``).
+sets that are retained whole.
 """
 
 from __future__ import annotations
@@ -25,8 +26,10 @@ from pyspark.sql import functions as F
 from larder.llm.common import components, scratch, settle
 
 SKETCH = 48
-# A list is compared member by member if that takes at most so many pairs per member.
-SHORT = 32
+# Lists that take at most so many pairs a member are joined with themselves; longer ones are compared in tiles of so many documents.
+SHORT, TILE = 2, 256
+# Columns of a tile's table of common values that are multiplied at once.
+COLUMNS = 8192
 
 
 def least_share(percent: int, sketch: int) -> float:
@@ -96,6 +99,80 @@ def _links(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Data
     return rows.select("a", "b", "text_a", "text_b").mapInArrow(lambda it: _verified(it, width, percent), "a long, b long")
 
 
+def _packed(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Shingle sets as 32-bit values: equal shingles have equal values, so a tile can only find too many common ones."""
+    for batch in batches:
+        sets = [np.unique(shingle_set(t.as_py(), width).astype(np.int32)).tobytes() for t in batch.column("text").cast(pa.binary())]
+        yield pa.record_batch([batch.column("id"), pa.array(sets, pa.binary())], names=["id", "packed"])
+
+
+def _common(sets: list[np.ndarray]) -> np.ndarray:
+    """How many values each two sets have in common."""
+    values, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    shared = times[place] > 1
+    column = np.cumsum(times > 1) - 1
+    column, owner = column[place[shared]], owner[shared]
+    common = np.zeros((len(sets), len(sets)), np.float32)
+    for start in range(0, int((times > 1).sum()), COLUMNS):
+        mine = (column >= start) & (column < start + COLUMNS)
+        has = np.zeros((len(sets), COLUMNS), np.float32)
+        has[owner[mine], column[mine] - start] = 1
+        common += has @ has.T
+    return common
+
+
+def _tile(rows: pa.Table, percent: int) -> list[tuple[int, int]]:
+    """(a, b) that span what is linked across components in a tile."""
+    table = {c: rows.column(c).to_numpy() for c in ("id", "comp", "n", "chunk", "ti", "tj")}
+    sets = [np.frombuffer(x, np.int32) for x in rows.column("packed").to_pylist()]
+    common, n = _common(sets), table["n"].astype(np.float32)
+    linked = 100 * common >= percent * (n[:, None] + n[None, :] - common)
+    linked &= table["comp"][:, None] != table["comp"][None, :]
+    if table["ti"][0] != table["tj"][0]:
+        linked &= table["chunk"][:, None] != table["chunk"][None, :]
+    ids = table["id"]
+    if len(ids) <= 1 or not linked.any():
+        return []
+    # The first link of each row, and a breadth-first forest over the others.
+    root, edges = np.arange(len(ids)), []
+    for i, j in zip(*np.nonzero(np.triu(linked)), strict=True):
+        a, b = root[i], root[j]
+        if a != b:
+            root[root == b] = a
+            edges.append((int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))))
+    return edges
+
+
+def _tiles(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Tiles stand one after the other in a partition; the last of a batch may go on in the next."""
+    rest: pa.Table | None = None
+
+    def put(parts: list[pa.Table]) -> pa.RecordBatch:
+        edges = [e for part in parts for e in _tile(part, percent)]
+        return pa.record_batch([pa.array([a for a, _ in edges], pa.int64()), pa.array([b for _, b in edges], pa.int64())], names=["a", "b"])
+
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = pa.concat_tables([rest, table]).combine_chunks() if rest is not None else table
+        keys = np.column_stack([table.column(c).to_numpy().astype(np.int64) for c in ("k", "ti", "tj")])
+        edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist()]
+        rest = table.slice(edges[-1])
+        yield put([table.slice(a, b - a) for a, b in zip(edges, edges[1:], strict=False)])
+    if rest is not None:
+        yield put([rest])
+
+
+def _long_lists(members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links across components among the members of long lists: every two meet in a tile of at most about two times ``TILE``."""
+    sets = texts.join(members.select("id").distinct(), "id", "left_semi").mapInArrow(lambda it: _packed(it, width), "id long, packed binary")
+    dealt = members.withColumn("chunk", F.pmod(F.xxhash64("id", "k"), F.col("chunks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    tiles = dealt.select("k", "id", "n", "comp", "chunk", F.least("chunk", "other").alias("ti"), F.greatest("chunk", "other").alias("tj")).join(sets, "id")
+    placed = tiles.select("k", "ti", "tj", "id", "n", "comp", "chunk", "packed").repartition("k", "ti", "tj").sortWithinPartitions("k", "ti", "tj", "id")
+    return placed.mapInArrow(lambda it: _tiles(it, percent), "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, sketch: int = SKETCH) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text; further columns are ignored).
 
@@ -115,7 +192,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, sketch:
     by_document = common.groupBy("id", "n", "k").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("values"))
     wanted = F.floor(F.col("k") * (1 - share)).cast("int") + 1 - (F.col("k") - F.size("values"))
     prefix = settle(by_document.withColumn("wanted", wanted).where("wanted > 0").select("id", "n", F.explode(F.slice("values", F.lit(1), F.col("wanted"))).alias("x")).select("id", "n", F.col("x.v").alias("k")))
-    lists = prefix.groupBy("k").agg(F.count(F.lit(1)).alias("df"), F.min("id").alias("low"), F.max("id").alias("high")).where("df > 1")
+    lists = prefix.groupBy("k").agg(F.count(F.lit(1)).alias("df"), F.min("id").alias("low")).where("df > 1")
     shared = settle(prefix.join(lists, "k"))
     texts = settle(
         plain.join(shared.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text")
@@ -127,28 +204,23 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, sketch:
 
     # Round two: only members of different components.
     labelled = settle(
-        shared.join(comps.withColumnRenamed("node", "id"), "id", "left").select("k", "id", "n", "high", F.coalesce("comp", "id").alias("comp"))
+        shared.join(comps.withColumnRenamed("node", "id"), "id", "left").select("k", "id", "n", F.coalesce("comp", "id").alias("comp"))
     )
     open_lists = (
         labelled.groupBy("k", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("k")
         .agg(F.sum("c").alias("df"), F.sum(F.col("c") * F.col("c")).alias("inner"))
         .select("k", ((F.col("df") * F.col("df") - F.col("inner")) / 2).alias("across"), "df")
         .where("across > 0")
-        .select("k", (F.col("across") > SHORT * F.col("df")).alias("long"))
+        .select("k", (F.col("across") > SHORT * F.col("df")).alias("long"), F.ceil(F.col("df") / TILE).cast("int").alias("chunks"))
     )
     opened = settle(labelled.join(open_lists, "k"))
-    # Documents most of whose lists are long have no others to be found by.
-    mostly = opened.groupBy("id").agg(F.count(F.lit(1)).alias("own"), F.count(F.when(F.col("long"), 1)).alias("c")).where("2 * c > own").select("id")
-    compared = opened.where("NOT long").select("k", "id", "n", "comp").union(
-        opened.where("long").join(mostly, "id", "left_semi").select("k", "id", "n", "comp")
-    )
+    compared = opened.where("NOT long")
     left = compared.select("k", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("comp").alias("c_a"))
     right = compared.select("k", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("c_b"))
-    across = left.join(right, "k").where(f"a < b AND c_a <> c_b AND 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").select("a", "b")
-    again = opened.where("long AND id <> high").select(F.col("id").alias("a"), F.col("high").alias("b"))
-    pairs = across.union(again).distinct()
-    second = _links(_plausible(pairs, classes, percent, share), texts, width, percent)
-    merged = settle(components(first.union(settle(second))))
+    across = left.join(right, "k").where(f"a < b AND c_a <> c_b AND 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").select("a", "b").distinct()
+    plausible = _plausible(across, classes, percent, share).union(_long_lists(opened.where("long"), texts, width, percent))
+    second = settle(_links(plausible.distinct(), texts, width, percent))
+    merged = settle(components(first.union(second)))
 
     named = classes.join(merged.withColumnRenamed("node", "id"), "id", "left").select("set_key", F.coalesce("comp", "id").alias("component_id"))
     out = base.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
