@@ -79,19 +79,24 @@ def _linked(found: DataFrame, scope: int) -> DataFrame:
     parts = found.where("_row IS NOT NULL").select("_row", F.explode(F.concat("_strong", "_weak")).alias("s")).select("_row", "s.*").distinct()
     order = Window.partitionBy("_row").orderBy("start", "kind", "end")
     before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
-
-    def near(kinds: tuple[str, ...], gap: int) -> Column:
-        """Does a part of these kinds, not overlapping this one, end or start within ``gap``?"""
-        mine = F.col("kind").isin([KINDS.index(k) for k in kinds])
-        left = F.col("start") - F.max(F.when(mine, F.col("end"))).over(before)
-        right = F.min(F.when(mine, F.col("start"))).over(after) - F.col("end")
-        return F.coalesce(left.between(0, gap), F.lit(False)) | F.coalesce(right.between(0, gap), F.lit(False))
-
     strong = F.col("kind") < len(STRONG)
     covered = (F.max(F.when(strong, F.col("end"))).over(before) > F.col("start")) | (F.min(F.when(strong, F.col("start"))).over(after) < F.col("end"))
-    marked = parts.select(
-        "_row", "start", "kind", "end", F.coalesce(covered, F.lit(False)).alias("covered"),
-        near(IDENTIFIERS, scope).alias("identifier"), near(SECRETS, scope).alias("secret"), near(ADDRESSES, scope).alias("address"),
+    parts = parts.withColumn("covered", F.coalesce(covered, F.lit(False)))
+    # Sweep: each part passes its start, where it asks for the last end so far, and its end, where it asks for the next start.
+    at_start, at_end = (F.struct(F.col(c).alias("at"), F.lit(c == "start").alias("begins")) for c in ("start", "end"))
+    events = parts.withColumn("event", F.explode(F.array(at_start, at_end))).select("_row", "start", "kind", "end", "covered", "event.*")
+    sweep = Window.partitionBy("_row").orderBy("at")
+    so_far, still = sweep.rangeBetween(Window.unboundedPreceding, Window.currentRow), sweep.rangeBetween(Window.currentRow, Window.unboundedFollowing)
+
+    def near(kinds: tuple[str, ...]) -> Column:
+        mine = F.col("kind").isin([KINDS.index(k) for k in kinds])
+        left = F.col("at") - F.max(F.when(mine & ~F.col("begins"), F.col("at"))).over(so_far)
+        right = F.min(F.when(mine & F.col("begins"), F.col("at"))).over(still) - F.col("at")
+        return F.coalesce(F.when(F.col("begins"), left).otherwise(right) <= scope, F.lit(False))
+
+    seen = events.select("_row", "start", "kind", "end", "covered", near(IDENTIFIERS).alias("i"), near(SECRETS).alias("s"), near(ADDRESSES).alias("a"))
+    marked = seen.groupBy("_row", "start", "kind", "end", "covered").agg(
+        F.bool_or("i").alias("identifier"), F.bool_or("s").alias("secret"), F.bool_or("a").alias("address")
     )
     rule = (
         F.when(F.col("kind") == KINDS.index("account"), F.col("secret"))
