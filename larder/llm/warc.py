@@ -107,7 +107,7 @@ def write_archive(path: str, records: list[bytes]) -> None:
     compressor = zstandard.ZstdCompressor(level=3, dict_data=trained, write_content_size=True)
     raw = trained.as_bytes() if trained else b""
     system, place = filesystem(path)
-    with system.open_output_stream(place) as out:
+    with system.open_output_stream(place, compression=None) as out:
         out.write(struct.pack("<II", SKIPPABLE, len(raw)) + raw)
         for one in records:
             out.write(compressor.compress(one))
@@ -116,7 +116,7 @@ def write_archive(path: str, records: list[bytes]) -> None:
 def read_archive(path: str) -> Iterator[dict]:
     """Parsed records of an archive.  The leading skippable frame holds the dictionary, plain or compressed, or nothing."""
     system, place = filesystem(path)
-    with system.open_input_stream(place) as source:
+    with system.open_input_stream(place, compression=None) as source:
         start = source.read(8)
         if len(start) < 8 or struct.unpack("<II", start)[0] != SKIPPABLE:
             raise WarcError("an archive does not begin with a dictionary frame")
@@ -139,7 +139,7 @@ def read_archive(path: str) -> Iterator[dict]:
             raise WarcError("the last frame is cut off")
 
 
-def _written(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
+def _written(batches: Iterator[pa.RecordBatch], folder: str, archive_bytes: int) -> Iterator[pa.RecordBatch]:
     held: list[bytes] = []
     size = 0
 
@@ -154,14 +154,14 @@ def _written(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Reco
             digest32 = base64.b32encode(bytes.fromhex(row["sha"])).decode()
             held.append(record(row["kind"], row["page_id"], row["url"], row["size"], digest32, payload, row["refers_to"]))
             size += len(held[-1])
-            if size >= ARCHIVE_BYTES:
+            if size >= archive_bytes:
                 yield close()
                 held, size = [], 0
     if held:
         yield close()
 
 
-def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFrame:
+def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write one record a row of ``pages`` (page_id, url, html) into archives under ``folder``; returns their manifest (path, records).
 
     Of rows with equal payloads of ``least_bytes`` and more, the smallest page_id is the response, the others are revisits of it;
@@ -178,7 +178,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataF
     )
     system, place = filesystem(folder)
     system.create_dir(place, recursive=True)
-    return settle(rows.mapInArrow(lambda it: _written(it, folder), "path string, records long"))
+    return settle(rows.mapInArrow(lambda it: _written(it, folder, archive_bytes), "path string, records long"))
 
 
 def _number(urn: str | None) -> int | None:

@@ -118,11 +118,10 @@ def page_rows():
     return rows + [(400, None, None), (401, "http://x/ü \r\n y", ""), (402, "u", "x" * 300_000), (None, "n", "<p>page 3 word word word </p>"), (5, rows[5][1], rows[5][2]), (None, "m", "only here")]
 
 
-def test_archives_give_back_what_was_written(spark, monkeypatch):
-    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 40_000)
+def test_archives_give_back_what_was_written(spark):
     rows = page_rows()
     pages = spark.createDataFrame([(*r, "z", 1, "w") for r in rows], PAGES).repartition(3)
-    manifest = warc.write_archives(pages, scratch(spark))
+    manifest = warc.write_archives(pages, scratch(spark), archive_bytes=5_000)
     assert manifest.count() > 3
     got = warc.read_archives(manifest).collect()
     assert len(got) == len(rows) == manifest.agg(F.sum("records")).first()[0]
