@@ -93,12 +93,12 @@ def m4(spark, d):
 TOP = "(SELECT *, row_number() OVER (PARTITION BY as_of, sku, date ORDER BY abs(contribution_units) DESC, feature) AS rank FROM drivers)"
 
 
-@query("g2_top_drivers", f"SELECT as_of, sku, date, CAST(rank AS INTEGER) AS rank, abs(contribution_units) AS size FROM {TOP} WHERE rank <= 4", ["drivers"], dates=["as_of", "date"], doubles=["size"])
+@query("g2_top_drivers", f"SELECT as_of, sku, date, CAST(rank AS INTEGER) AS rank, feature, abs(contribution_units) AS size FROM {TOP} WHERE rank <= 4", ["drivers"], dates=["as_of", "date"], doubles=["size"])
 def g2(spark, d):
-    return explain.top_drivers(drivers(spark, d), 4).select("as_of", "sku", "date", "rank", F.abs("contribution_units").alias("size"))
+    return explain.top_drivers(drivers(spark, d), 4).select("as_of", "sku", "date", "rank", "feature", F.abs("contribution_units").alias("size"))
 
 
-@query("e13_m7_aggregate_drivers", "SELECT sku, feature, label, sum(contribution_units) AS contribution_units FROM drivers GROUP BY 1, 2, 3", ["drivers"], doubles=["contribution_units"])
+@query("e13_m7_aggregate_drivers", "SELECT as_of, sku, feature, label, sum(contribution_units) AS contribution_units FROM drivers GROUP BY 1, 2, 3, 4", ["drivers"], dates=["as_of"], doubles=["contribution_units"])
 def e13(spark, d):
     return explain.aggregate_drivers(drivers(spark, d))
 
@@ -111,11 +111,9 @@ SAY = f"""CASE feature WHEN 'weekend' THEN CASE WHEN value <> 0 THEN 'It is a Fr
  ' the forecast by about ' || {w('abs(contribution_units)')} || ' units.'"""
 
 
-@query("m5_driver_sentences", f"SELECT as_of, sku, date, feature, {SAY} AS text FROM drivers WHERE abs(abs(contribution_units) % 1 - 0.5) > 1e-6", ["drivers"], dates=["as_of", "date"])
+@query("m5_driver_sentences", f"SELECT as_of, sku, date, feature, {SAY} AS text FROM drivers", ["drivers"], dates=["as_of", "date"])
 def m5(spark, d):
-    size = F.abs("contribution_units")
-    rows = drivers(spark, d).filter(F.abs(size % 1 - 0.5) > 1e-6)
-    return rows.select("as_of", "sku", "date", "feature", explain.describe_driver().alias("text"))
+    return drivers(spark, d).select("as_of", "sku", "date", "feature", explain.describe_driver().alias("text"))
 
 
 @query("m5_narratives", f"""SELECT as_of, sku, date, length(any_value(h)) + CAST(sum(length(t) + 5) AS BIGINT) AS n_chars FROM (SELECT as_of, sku, date, {SAY} AS t, strftime(date, '%d %b') || ' (' || strftime(date, '%A') ||

@@ -236,47 +236,41 @@ def p4(spark, d):
 
 # -- overrides: one decision date ---------------------------------------------------------------------------
 
-block("one_rec", "SELECT * FROM rec WHERE as_of = DATE '2001-06-01'", "rec")
-block("overridden", f"""SELECT sku, q AS recommended_order, ov AS override_order, coalesce(ov, q) AS final_order, coalesce(ov, q) - q AS difference, coalesce(ov, q) * unit_cost AS final_value, ov IS NOT NULL AS overridden
- FROM (SELECT *, CASE WHEN {P.NUMBER_SQL} % 3 = 0 THEN q + 6 WHEN {P.NUMBER_SQL} % 5 = 0 THEN 0 END AS ov FROM one_rec)""", "one_rec")
-
-
-@shared
-def one_date(spark, d):
-    return recs(spark, d).filter(F.col("as_of") == F.lit("2001-06-01").cast("date"))
+block("overridden", f"""SELECT as_of, sku, q AS recommended_order, ov AS override_order, coalesce(ov, q) AS final_order, coalesce(ov, q) - q AS difference, coalesce(ov, q) * unit_cost AS final_value, ov IS NOT NULL AS overridden
+ FROM (SELECT *, CASE WHEN {P.NUMBER_SQL} % 3 = 0 THEN q + 6 WHEN {P.NUMBER_SQL} % 5 = 0 THEN 0 END AS ov FROM rec)""", "rec")
 
 
 def override_rows(rows):
     q = F.col("recommended_order_quantity")
     ov = F.when(P.number() % 3 == 0, q + 6).when(P.number() % 5 == 0, F.lit(0.0))
-    return rows.select("sku", ov.alias("override_order")).filter("override_order IS NOT NULL")
+    return rows.select("as_of", "sku", ov.alias("override_order")).filter("override_order IS NOT NULL")
 
 
-@query("c16_apply_overrides", "SELECT * FROM overridden", ["overridden"], doubles=["recommended_order", "override_order", "final_order", "difference", "final_value"])
+@query("c16_apply_overrides", "SELECT * FROM overridden", ["overridden"], dates=["as_of"], doubles=["recommended_order", "override_order", "final_order", "difference", "final_value"])
 def c16(spark, d):
-    rows = one_date(spark, d)
+    rows = recs(spark, d)
     return ordering.apply_overrides(rows, override_rows(rows))
 
 
-@query("c15_order_sheet", f"""SELECT '2001-06-01' AS order_date, o.sku AS product, round_even(final_order, 0) AS order_units, round_even(recommended_order, 0) AS recommended_units,
+@query("c15_order_sheet", f"""SELECT CAST(as_of AS VARCHAR) AS order_date, sku AS product, round_even(final_order, 0) AS order_units, round_even(recommended_order, 0) AS recommended_units,
  CASE WHEN overridden THEN 'yes' ELSE 'no' END AS overridden, r.pack_size, r.min_order_quantity AS minimum_order, round_even(r.unit_cost, 2) AS unit_cost, round_even(final_value, 2) AS line_value
- FROM overridden o JOIN one_rec r USING (sku) WHERE final_order > 0""", ["overridden", "one_rec"], doubles=["order_units", "recommended_units", "unit_cost", "line_value"])
+ FROM overridden o JOIN rec r USING (as_of, sku) WHERE final_order > 0""", ["overridden", "rec"], doubles=["order_units", "recommended_units", "unit_cost", "line_value"])
 def c15(spark, d):
-    rows = one_date(spark, d)
+    rows = recs(spark, d)
     return ordering.order_sheet(ordering.apply_overrides(rows, override_rows(rows)), rows)
 
 
-@query("c17_edited_rows", "SELECT sku, final_order AS override_order FROM overridden WHERE abs(final_order - recommended_order) > 1e-9", ["overridden"], doubles=["override_order"])
+@query("c17_edited_rows", "SELECT as_of, sku, final_order AS override_order FROM overridden WHERE abs(final_order - recommended_order) > 1e-9", ["overridden"], dates=["as_of"], doubles=["override_order"])
 def c17(spark, d):
-    rows = one_date(spark, d)
+    rows = recs(spark, d)
     return ordering.edited(ordering.apply_overrides(rows, override_rows(rows)), "final_order")
 
 
 @query("d10_order_overview", f"""SELECT o.*, {r1('r.on_hand')} AS current_stock, {r1('r.on_order')} AS on_order, r.model, r.risk, coalesce(o.override_order, o.recommended_order) AS order_to_place
- FROM overridden o LEFT JOIN one_rec r USING (sku)""", ["overridden", "one_rec"],
+ FROM overridden o LEFT JOIN rec r USING (as_of, sku)""", ["overridden", "rec"], dates=["as_of"],
        doubles=["recommended_order", "override_order", "final_order", "difference", "final_value", "current_stock", "on_order", "order_to_place"])
 def d10(spark, d):
-    rows = one_date(spark, d)
+    rows = recs(spark, d)
     return ordering.order_overview(ordering.apply_overrides(rows, override_rows(rows)), ordering.recommendation_table(rows))
 
 
@@ -285,19 +279,19 @@ def d10(spark, d):
 UPLIFT = [slices.Scenario(), slices.Scenario("Event", demand_uplift_pct=20.0, current_stock=30.0)]
 
 
-@query("l22_side_by_side", f"""WITH sc AS (SELECT as_of, sku, f, sigma_daily, lead, review, level, pack_size, min_order_quantity, shelf_life_days, unit_cost, 'Base case' AS scenario, pos FROM dec WHERE as_of = DATE '2001-06-01'
- UNION ALL SELECT as_of, sku, list_transform(f, lambda x: x * 1.2), sigma_daily * 1.2, lead, review, level, pack_size, min_order_quantity, shelf_life_days, unit_cost, 'Event', 30.0 + on_order FROM dec WHERE as_of = DATE '2001-06-01'),
+@query("l22_side_by_side", f"""WITH sc AS (SELECT as_of, sku, f, sigma_daily, lead, review, level, pack_size, min_order_quantity, shelf_life_days, unit_cost, 'Base case' AS scenario, pos FROM dec
+ UNION ALL SELECT as_of, sku, list_transform(f, lambda x: x * 1.2), sigma_daily * 1.2, lead, review, level, pack_size, min_order_quantity, shelf_life_days, unit_cost, 'Event', 30.0 + on_order FROM dec),
  a AS (SELECT *, {ed_sql('f', '(lead + review)')} AS expected, greatest({quantile_sql('level')} * sigma_daily * sqrt(lead + review), 0) AS safety, {ed_sql('f', '(lead + shelf_life_days)')} AS life FROM sc),
  b AS (SELECT *, expected + safety AS target, greatest(expected + safety - pos, 0) AS raw FROM a),
  c AS (SELECT *, least(raw, greatest(life - pos, 0), CASE WHEN list_avg(f) > 0 THEN 14 * list_avg(f) ELSE 1e18 END) AS q2 FROM b),
  e AS (SELECT *, CASE WHEN pack_size > 1 THEN round_even(q2 / pack_size, 0) * pack_size ELSE q2 END AS q3 FROM c),
  g AS (SELECT *, CASE WHEN q3 > 0 THEN greatest(q3, min_order_quantity) ELSE 0 END AS q FROM e),
- m AS (SELECT sku, scenario, unnest(['Inventory position', 'Expected demand over protection period', 'Safety stock', 'Target stock', 'Raw order', 'Recommended order', 'Order value (£)']) AS measure,
+ m AS (SELECT as_of, sku, scenario, unnest(['Inventory position', 'Expected demand over protection period', 'Safety stock', 'Target stock', 'Raw order', 'Recommended order', 'Order value (£)']) AS measure,
  unnest([pos, expected, safety, target, raw, q, q * unit_cost]) AS v FROM g)
- SELECT x.sku, x.measure, {half_even('x.v')} AS base_case, 'Event' AS scenario, {half_even('y.v')} AS scenario_value FROM m x JOIN m y ON x.sku = y.sku AND x.measure = y.measure AND x.scenario = 'Base case' AND y.scenario = 'Event'""",
-       ["dec"], doubles=["base_case", "scenario_value"])
+ SELECT x.as_of, x.sku, x.measure, {half_even('x.v')} AS base_case, 'Event' AS scenario, {half_even('y.v')} AS scenario_value FROM m x JOIN m y ON x.as_of = y.as_of AND x.sku = y.sku AND x.measure = y.measure AND x.scenario = 'Base case' AND y.scenario = 'Event'""",
+       ["dec"], dates=["as_of"], doubles=["base_case", "scenario_value"])
 def l22(spark, d):
-    state = models.series_state(brand(spark, d), F.array(F.lit("2001-06-01").cast("date")), S)
+    state = models.series_state(brand(spark, d), month_origins(), S)
     rows = slices.scenario_forecast(slices.with_scenarios(models.seasonal_naive(state, 7, S), UPLIFT))
     arrays = service.daily_arrays(rows, ["as_of", "sku", *slices.SCENARIO_FIELDS])
     rec = decisions.recommendations(arrays, stock_rows(spark, d).drop("recent_average"), P.econ(spark, d), segs(spark, d), S)
@@ -313,7 +307,7 @@ def l12(spark, d):
 
 
 def w(c: str) -> str:
-    return f"CAST(round_even({c}, 0) AS BIGINT)"
+    return f"CAST(round_even(round({c}, 6), 0) AS BIGINT)"
 
 
 def f1(c: str) -> str:
@@ -361,7 +355,7 @@ def m8c(spark, d):
     return out.select("as_of", "sku", "headline", F.array_join("constraint_reason", "|").alias("constraints"), F.array_join("risk_reason", "|").alias("risks"))
 
 
-@query("m9_explanation_table", f"""SELECT sku, {r1('on_hand')} AS current_stock, {r1('on_order')} AS on_order, {r1('horizon_demand')} AS forecast_demand, {r1('q')} AS recommended_order, {r1('q * unit_cost', 2)} AS order_value,
- risk, model, {DEMAND} AS reason FROM one_rec""", ["one_rec"], doubles=["current_stock", "on_order", "forecast_demand", "recommended_order", "order_value"])
+@query("m9_explanation_table", f"""SELECT as_of, sku, {r1('on_hand')} AS current_stock, {r1('on_order')} AS on_order, {r1('horizon_demand')} AS forecast_demand, {r1('q')} AS recommended_order, {r1('q * unit_cost', 2)} AS order_value,
+ risk, model, {DEMAND} AS reason FROM rec""", ["rec"], dates=["as_of"], doubles=["current_stock", "on_order", "forecast_demand", "recommended_order", "order_value"])
 def m9(spark, d):
-    return explain.explanation_table(one_date(spark, d), S)
+    return explain.explanation_table(recs(spark, d), S)

@@ -10,7 +10,7 @@ from checks import panels as P
 from checks.registry import query
 from larder.operators import ordering
 from larder.plans import decisions
-from larder.sources import exports, sales as src, store
+from larder.sources import exports, folder, sales as src, store
 
 S = P.S
 
@@ -18,7 +18,11 @@ S = P.S
 @query("a1_sales_scan", """SELECT sku, date, category, shelf_life_days, units_sold, temp_c, bank_holiday, school_holiday, weekend, dow, promo
  FROM gappy_type""", ["gappy_type"], dates=["date"], doubles=["units_sold", "temp_c"])
 def a1(spark, d):
-    return P.gappy_type(spark, d).select(*src.SALES_COLUMNS)
+    """The panel as a CSV file with one more column, read back."""
+    path = folder.fresh(spark)
+    P.gappy_type(spark, d).select(*src.SALES_COLUMNS, F.lit(1).alias("ingest_seq")).write.option("header", True).csv(path)
+    rows = src.load_sales(spark, path, validate=False)
+    return rows.filter("ingest_seq = 1").drop("ingest_seq")
 
 
 @query("a2_sku_economics", "SELECT * FROM econ_brand", ["econ_brand"],
@@ -59,14 +63,18 @@ def a5(spark, d):
     return store.replace_rows(old, new, ["sku", "date"])
 
 
-@query("a6_append_rows", """SELECT p_type AS sku, count(*) AS lines, round(sum(l_quantity), 4) AS quantity
- FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1""")
+@query("a6_append_rows", """SELECT o_orderpriority AS sku, count(*) AS lines, sum(o_totalprice * 2) AS quantity FROM orders GROUP BY 1""", doubles=["quantity"])
 def a6(spark, d):
-    """The rows an append job adds: two batches, nothing replaced."""
-    li = P.table(spark, d, "lineitem").join(P.table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    first, second = li.filter("l_returnflag = 'R'"), li.filter("l_returnflag <> 'R'")
-    both = first.unionByName(second).select(F.col("p_type").alias("sku"), "l_quantity")
-    return both.groupBy("sku").agg(F.count(F.lit(1)).alias("lines"), F.sum("l_quantity").alias("quantity"))
+    """Overrides recorded in two batches: appended, nothing replaced."""
+    o = P.table(spark, d, "orders")
+    rows = o.select(
+        F.col("o_orderkey").cast("string").alias("run_id"), F.lit(P.AS_OF).alias("as_of"), F.col("o_orderpriority").alias("sku"), F.lit("batch").alias("reason"),
+        F.col("o_totalprice").cast("double").alias("recommended_order"), (F.col("o_totalprice") * 2).cast("double").alias("override_order"), "o_orderkey",
+    )
+    kept = store.Store(spark, folder.fresh(spark))
+    for half in (0, 1):
+        kept.record_overrides(rows.filter(F.col("o_orderkey") % 2 == half).drop("o_orderkey"))
+    return kept.load_overrides().groupBy("sku").agg(F.count(F.lit(1)).alias("lines"), F.sum("override_order").alias("quantity"))
 
 
 @query("a8_sales_rows", """SELECT date, sku, units_sold, temp_c, bank_holiday, school_holiday, weekend, dow, promo FROM sales_type""",
@@ -75,38 +83,41 @@ def a8(spark, d):
     return store.replace_rows(None, P.sales_type(spark, d).select(*store.columns_of("sales")), store.keys_of("sales"))
 
 
-@query("a11_overrides", """SELECT 'run-1' AS run_id, o_orderpriority AS sku, CAST(count(*) AS DOUBLE) AS recommended_order,
- CAST(count(*) * 2 AS DOUBLE) AS override_order, 'event' AS reason FROM orders GROUP BY 2""")
+@query("a11_overrides", f"""SELECT 'run-1' AS run_id, o_orderpriority AS sku, CAST(count(*) AS DOUBLE) AS recommended_order,
+ CAST(count(*) * 2 AS DOUBLE) AS override_order, 'event' AS reason, CAST('{P.AS_OF}' AS DATE) AS as_of FROM orders GROUP BY 2""", dates=["as_of"])
 def a11(spark, d):
     """Manager overrides: checked rows without the clock column."""
     n = P.table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("sku")).agg(F.count(F.lit(1)).cast("double").alias("recommended_order"))
     rows = n.withColumns({
         "override_order": F.col("recommended_order") * 2, "run_id": F.lit("run-1"), "as_of": F.lit(P.AS_OF), "reason": F.lit("event"),
     })
-    return store.checked_overrides(rows).drop("recorded_at", "as_of")
+    return store.checked_overrides(rows).drop("recorded_at")
 
 
-@query("a15_parameter_query", """SELECT sku, count(*) AS days, sum(units_sold) AS units FROM daily_type WHERE units_sold >= 100 GROUP BY sku""",
-       ["daily_type"], doubles=["units"])
+def stored_sales(spark, d):
+    """The panel written to a store, its first week of each month twice."""
+    kept = store.Store(spark, folder.fresh(spark))
+    kept.save_sales(P.sales_type(spark, d).withColumn("units_sold", F.when(F.dayofmonth("date") <= 7, -1.0).otherwise(F.col("units_sold"))))
+    kept.save_sales(P.sales_type(spark, d).filter(F.dayofmonth("date") <= 7))
+    return kept
+
+
+@query("a15_parameter_query", """SELECT sku, count(*) AS days, sum(units_sold) AS units FROM sales_type WHERE units_sold >= 100 GROUP BY sku""",
+       ["sales_type"], doubles=["units"])
 def a15(spark, d):
-    P.daily_type(spark, d).createOrReplaceTempView("sales_view")
-    return spark.sql("SELECT sku, count(*) AS days, sum(units_sold) AS units FROM sales_view WHERE units_sold >= :least GROUP BY sku",
-                     args={"least": 100})
+    return stored_sales(spark, d).read("SELECT sku, count(*) AS days, sum(units_sold) AS units FROM sales WHERE units_sold >= :least GROUP BY sku", {"least": 100})
 
 
-@query("a16_overrides_newest_first", """SELECT o_orderkey AS run_id, o_custkey AS sku, CAST(o_orderdate AS DATE) AS recorded_at FROM orders
- WHERE o_orderpriority = '1-URGENT'""", dates=["recorded_at"])
+@query("a16_overrides_newest_first", "SELECT o_orderkey AS run_id, o_custkey AS sku, CAST(o_orderdate AS DATE) AS recorded_at FROM orders", dates=["recorded_at"])
 def a16(spark, d):
     o = P.table(spark, d, "orders").select(
-        F.col("o_orderkey").alias("run_id"), F.col("o_custkey").alias("sku"), F.col("o_orderdate").cast("date").alias("recorded_at"),
-        F.col("o_orderpriority").alias("kind"))
-    return store.newest_overrides(o.filter("kind = '1-URGENT'")).drop("kind")
+        F.col("o_orderkey").alias("run_id"), F.col("o_custkey").alias("sku"), F.col("o_orderdate").cast("date").alias("recorded_at"))
+    return store.newest_overrides(o)
 
 
-@query("a14_load_table", "SELECT sku, count(*) AS days FROM daily_type GROUP BY sku", ["daily_type"])
+@query("a14_load_table", "SELECT sku, count(*) AS days, sum(units_sold) AS units FROM sales_type GROUP BY sku", ["sales_type"], doubles=["units"])
 def a14(spark, d):
-    P.daily_type(spark, d).createOrReplaceTempView("sales_table")
-    return spark.table("sales_table").groupBy("sku").agg(F.count(F.lit(1)).alias("days"))
+    return stored_sales(spark, d).load_table("sales").groupBy("sku").agg(F.count(F.lit(1)).alias("days"), F.sum("units_sold").alias("units"))
 
 
 @query("a22_synthetic_panel")

@@ -105,8 +105,11 @@ def improvement_pct(base, other, higher_is_better) -> Column:
 
 
 def whole(x) -> Column:
-    """Text of a number rounded half-even to a whole number, without a sign on zero."""
-    return F.rint(as_col(x)).cast("bigint").cast("string")
+    """Text of a number rounded half-even to a whole number, without a sign on zero.
+
+    Rounded to six places first, so that a half is a half whatever the order of the sums behind it.
+    """
+    return F.rint(F.round(as_col(x), 6)).cast("bigint").cast("string")
 
 
 def percent(x) -> Column:

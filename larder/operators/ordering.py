@@ -212,7 +212,7 @@ def recommend(
 
 
 def recommendation_table(recs: DataFrame) -> DataFrame:
-    """The rounded row form used for display and storage, by SKU."""
+    """The rounded row form used for display and storage, by decision date and SKU."""
     one = {
         "on_hand": "on_hand", "on_order": "on_order", "inventory_position": "inventory_position",
         "forecast_demand_horizon": "expected_demand_horizon", "forecast_demand_protection": "expected_demand_protection",
@@ -224,14 +224,15 @@ def recommendation_table(recs: DataFrame) -> DataFrame:
         "order_value": F.bround("order_value", 2), "days_of_cover": F.bround("days_of_cover", 2),
         "stockout_probability": F.bround("stockout_probability", 3),
     }
-    return recs.select("sku", "as_of", *[c.alias(n) for n, c in rounded.items()], "risk", "model", "policy").orderBy("sku")
+    return recs.select("sku", "as_of", *[c.alias(n) for n, c in rounded.items()], "risk", "model", "policy").orderBy("as_of", "sku")
 
 
 def apply_overrides(recs: DataFrame, overrides: DataFrame) -> DataFrame:
-    """Manager quantities beside the recommendation: ``overrides`` has ``sku, override_order``."""
-    joined = recs.join(overrides.select("sku", "override_order"), "sku", "left")
+    """Manager quantities beside the recommendation: ``overrides`` has ``as_of, sku, override_order``."""
+    joined = recs.join(overrides.select("as_of", "sku", "override_order"), ["as_of", "sku"], "left")
     final = F.coalesce("override_order", "recommended_order_quantity")
     return joined.select(
+        "as_of",
         "sku",
         F.col("recommended_order_quantity").alias("recommended_order"),
         "override_order",
@@ -245,13 +246,13 @@ def apply_overrides(recs: DataFrame, overrides: DataFrame) -> DataFrame:
 def edited(view: DataFrame, quantity: str = "quantity", recommended: str = "recommended_order") -> DataFrame:
     """Rows whose quantity a manager moved, as override rows."""
     moved = F.abs(F.col(quantity) - F.col(recommended)) > 1e-9
-    return view.filter(moved).select("sku", F.col(quantity).alias("override_order"))
+    return view.filter(moved).select("as_of", "sku", F.col(quantity).alias("override_order"))
 
 
 def order_sheet(view: DataFrame, recs: DataFrame) -> DataFrame:
     """What to send to the supplier: lines with something to order, largest first."""
     terms = recs.select("sku", "as_of", "pack_size", "min_order_quantity", "unit_cost")
-    lines = view.filter("final_order > 0").join(terms, "sku")
+    lines = view.filter("final_order > 0").join(terms, ["as_of", "sku"])
     return lines.select(
         F.col("as_of").cast("string").alias("order_date"),
         F.col("sku").alias("product"),
@@ -262,13 +263,13 @@ def order_sheet(view: DataFrame, recs: DataFrame) -> DataFrame:
         F.col("min_order_quantity").alias("minimum_order"),
         F.bround("unit_cost", 2).alias("unit_cost"),
         F.bround("final_value", 2).alias("line_value"),
-    ).orderBy(F.desc("order_units"), "product")
+    ).orderBy("order_date", F.desc("order_units"), "product")
 
 
 def order_overview(view: DataFrame, table: DataFrame) -> DataFrame:
     """Overrides view beside the recommendation table, with the quantity to place."""
-    shown = table.select("sku", F.col("on_hand").alias("current_stock"), "on_order", "model", "risk")
-    return view.join(shown, "sku", "left").withColumn("order_to_place", F.coalesce("override_order", "recommended_order"))
+    shown = table.select("as_of", "sku", F.col("on_hand").alias("current_stock"), "on_order", "model", "risk")
+    return view.join(shown, ["as_of", "sku"], "left").withColumn("order_to_place", F.coalesce("override_order", "recommended_order"))
 
 
 def attention(recs: DataFrame, n: int = 6) -> DataFrame:
@@ -308,13 +309,13 @@ SIDE_BY_SIDE = {
 
 def side_by_side(recs: DataFrame, base: str = "Base case") -> DataFrame:
     """Long table of measures: base case beside every other scenario, rounded to 0.1."""
-    long = recs.unpivot(["sku", "scenario"], list(SIDE_BY_SIDE), "key", "value")
+    long = recs.unpivot(["as_of", "sku", "scenario"], list(SIDE_BY_SIDE), "key", "value")
     label = F.create_map(*[F.lit(x) for kv in SIDE_BY_SIDE.items() for x in kv])
     base_value = F.max(F.when(F.col("scenario") == base, F.col("value"))).alias("base_value")
     others = F.filter(F.collect_list(F.struct("scenario", "value")), lambda x: x["scenario"] != base)
     # At most one entry per scenario in each list.
-    per = long.groupBy("sku", "key").agg(base_value, others.alias("others"))
-    rows = per.select("sku", F.element_at(label, F.col("key")).alias("measure"), "base_value", F.inline("others"))
+    per = long.groupBy("as_of", "sku", "key").agg(base_value, others.alias("others"))
+    rows = per.select("as_of", "sku", F.element_at(label, F.col("key")).alias("measure"), "base_value", F.inline("others"))
     return rows.select(
-        "sku", "measure", F.bround("base_value", 1).alias("base_case"), "scenario", F.bround("value", 1).alias("scenario_value")
+        "as_of", "sku", "measure", F.bround("base_value", 1).alias("base_case"), "scenario", F.bround("value", 1).alias("scenario_value")
     )

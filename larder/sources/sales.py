@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,17 +31,17 @@ def load_sales(
     spark: SparkSession, path: str, fmt: str = "csv", *, validate: bool = True, repair: bool = False,
     s: Settings = Settings(),
 ) -> DataFrame:
-    """Read a sales panel with an explicit schema.
+    """Read a sales panel and give its columns their types; a value that does not fit its type is null.
 
-    A CSV needs a header row.  The file is not sorted: windows sort what they need.  With ``repair``
-    the feed is mended first; with ``validate`` every data check is run as one job and a failing
+    A CSV needs a header row; further columns, such as ``ingest_seq``, pass through.  The file is not sorted: windows sort what
+    they need.  With ``repair`` the feed is mended first; with ``validate`` every data check is run as one job and a failing
     check raises.
     """
-    reader = spark.read.schema(SALES_SCHEMA)
     try:
-        df = reader.option("header", True).csv(path) if fmt == "csv" else reader.format(fmt).load(path)
-    except Exception as error:
+        df = spark.read.option("header", True).csv(path) if fmt == "csv" else spark.read.format(fmt).load(path)
+    except AnalysisException as error:
         raise FileNotFoundError(f"no sales data could be read at {path}; generate or copy it there first") from error
+    df = df.withColumns({f.name: F.col(f.name).try_cast(f.dataType) for f in SALES_SCHEMA if f.name in df.columns})
     if repair:
         from larder.operators.repair import repair_sales
 
