@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import functools
+import operator
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,19 +34,11 @@ def is_weekend(day, s: Settings = Settings()) -> Column:
     return flag(F.weekday(as_col(day)).isin(list(s.weekend_days)))
 
 
-def is_school_holiday(day) -> Column:
-    """Approximate state-school calendar: month and day-of-month ranges."""
+def is_school_holiday(day, s: Settings = Settings()) -> Column:
+    """Approximate state-school calendar, from the table in the settings."""
     d = as_col(day)
-    month, dom = F.month(d), F.dayofmonth(d)
-    return flag(
-        month.isin(7, 8)
-        | ((month == 12) & (dom >= 20))
-        | ((month == 1) & (dom <= 2))
-        | ((month == 2) & dom.between(12, 18))
-        | ((month == 4) & (dom <= 14))
-        | (month.isin(5) & dom.between(26, 31))
-        | ((month == 10) & dom.between(26, 31))
-    )
+    spans = [(F.month(d) == month) & F.dayofmonth(d).between(first, last) for month, first, last in s.school_holidays]
+    return flag(functools.reduce(operator.or_, spans, F.lit(False)))
 
 
 def calendar_columns(day, s: Settings = Settings()) -> dict[str, Column]:
@@ -54,7 +48,7 @@ def calendar_columns(day, s: Settings = Settings()) -> dict[str, Column]:
         "dow": F.weekday(d),
         "weekend": is_weekend(d, s),
         "bank_holiday": on_dates(d, s.bank_holidays),
-        "school_holiday": is_school_holiday(d),
+        "school_holiday": is_school_holiday(d, s),
         "week_of_year": F.weekofyear(d),
         "month": F.month(d),
         "is_closed": on_dates(d, s.closed_days),
@@ -74,7 +68,7 @@ def day_label(day, s: Settings = Settings()) -> Column:
         ", ",
         F.date_format(d, "EEEE"),
         F.when(on_dates(d, s.bank_holidays) == 1, "bank holiday"),
-        F.when(is_school_holiday(d) == 1, "school holiday"),
+        F.when(is_school_holiday(d, s) == 1, "school holiday"),
         F.when(on_dates(d, s.closed_days) == 1, "site closed"),
     )
     return F.concat(F.date_format(d, "dd MMM"), F.lit(" ("), notes, F.lit(")"))
@@ -106,7 +100,7 @@ def horizon_highlights(first, horizon: int, s: Settings = Settings()) -> Column:
             first_holiday.isNotNull(),
             F.concat(F.lit("a bank holiday ("), F.date_format(first_holiday, "dd MMM"), F.lit(")")),
         ),
-        F.when(F.exists(days, lambda d: is_school_holiday(d) == 1), "school holidays"),
+        F.when(F.exists(days, lambda d: is_school_holiday(d, s) == 1), "school holidays"),
     )
     return F.filter(parts, lambda p: p.isNotNull())
 

@@ -168,11 +168,11 @@ def share_order_fee(ledger: DataFrame, group: list[str], s: Settings = Settings(
     """One delivery charge per order day, split equally over the SKUs ordered that day.
 
     The number of SKUs per day is counted by a partial aggregate and joined back (one row per group
-    and calendar day), not by a window that would gather all SKUs of a day.
+    and calendar day; the planner chooses the join by its size), not by a window that would gather all SKUs of a day.
     """
     ordered = F.col(quantity) > DUST
     lines = ledger.filter(ordered).groupBy(*group, "date").agg(F.count(F.lit(1)).alias("lines"))
-    joined = ledger.join(F.broadcast(lines), [*group, "date"], "left")
+    joined = ledger.join(lines, [*group, "date"], "left")
     return joined.withColumn("ordering_cost", F.when(ordered, s.order_fee / F.col("lines")).otherwise(0.0)).drop("lines")
 
 

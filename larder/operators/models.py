@@ -12,7 +12,6 @@ from collections.abc import Callable
 from itertools import product
 from statistics import NormalDist
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -327,49 +326,48 @@ def total_demand(forecast: DataFrame, days: int) -> DataFrame:
 # -- boosted trees --------------------------------------------------------------------------------
 
 
-def boosted_stages(s: Settings, n_sku: int):
+def boosted_stages(s: Settings):
     """Unfitted MLlib pipeline on the fixed feature order.
 
-    Day of week and SKU code are categorical while every category fits a split bin; beyond
-    ``MAX_SKU_BINS`` codes the SKU code enters as an ordered number.
+    One rule for any number of SKUs: the code is folded into ``gbt_sku_buckets`` categories.  It and the day of week are
+    categorical, all other features are ordered numbers; the number of bins is fixed.
     """
     from pyspark.ml import Pipeline
-    from pyspark.ml.feature import VectorAssembler, VectorIndexer
+    from pyspark.ml.feature import SQLTransformer, VectorAssembler, VectorIndexer
     from pyspark.ml.regression import GBTRegressor
 
     from larder.operators.features import feature_columns
 
-    columns = feature_columns(s)
-    few = n_sku <= MAX_SKU_BINS
-    assemble = VectorAssembler(inputCols=columns, outputCol="raw", handleInvalid="error")
-    index = VectorIndexer(inputCol="raw", outputCol="features", maxCategories=max(n_sku, 7) if few else 7, handleInvalid="keep")
+    numbers = [c for c in feature_columns(s) if c not in ("sku_code", "dow")]
+    fold = SQLTransformer(statement=f"SELECT *, CAST(pmod(CAST(sku_code AS BIGINT), {s.gbt_sku_buckets}) AS DOUBLE) AS sku_bucket FROM __THIS__")
+    named = VectorAssembler(inputCols=["sku_bucket", "dow"], outputCol="named", handleInvalid="error")
+    index = VectorIndexer(inputCol="named", outputCol="categories", maxCategories=s.gbt_sku_buckets, handleInvalid="keep")
+    assemble = VectorAssembler(inputCols=["categories", *numbers], outputCol="features", handleInvalid="error")
     trees = GBTRegressor(
         featuresCol="features", labelCol="units_sold", predictionCol="raw_prediction", maxIter=s.gbt_rounds,
-        stepSize=s.gbt_rate, maxDepth=s.gbt_depth, minInstancesPerNode=s.gbt_min_leaf, seed=s.seed,
-        maxBins=max(64, n_sku + 1) if few else 64,
+        stepSize=s.gbt_rate, maxDepth=s.gbt_depth, minInstancesPerNode=s.gbt_min_leaf, seed=s.seed, maxBins=2 * s.gbt_sku_buckets,
     )
-    return Pipeline(stages=[assemble, index, trees])
-
-
-MAX_SKU_BINS = 512
+    return Pipeline(stages=[fold, named, index, assemble, trees])
 
 
 def fit_boosted(sales: DataFrame, s: Settings = Settings(), codes: DataFrame | None = None, estimate_sigma: bool = True):
     """Fit one model over all SKUs and estimate each SKU's error on the held-out last days.
 
-    Returns (fitted pipeline, ``sku, sigma`` table).  Runs Spark jobs: the largest SKU code, the
-    cut-off date and the MLlib fits.
+    Returns (fitted pipeline, ``sku, sigma`` table).  Runs Spark jobs: the training matrix, written to the shared folder so that
+    a lost executor costs none of it, the cut-off date and the MLlib fits.
     """
     from larder.operators.features import engineer, feature_matrix
     from larder.operators.ordered import sku_codes
+    from larder.sources.folder import fresh
 
     codes = sku_codes(sales) if codes is None else codes
-    # Boosting reads its input once per round; keep the matrix close, spilling to disk when it is large.
-    rows = feature_matrix(engineer(sales, s, codes), s).persist(StorageLevel.MEMORY_AND_DISK)
-    n_sku = rows.agg(F.max("sku_code")).first()[0]
-    if n_sku is None:
+    path = fresh(sales.sparkSession)
+    matrix = feature_matrix(engineer(sales, s, codes), s)
+    matrix.write.parquet(path)
+    rows = sales.sparkSession.read.schema(matrix.schema).parquet(path)
+    if rows.isEmpty():
         raise ValueError("no training rows are left after dropping undefined lags; the history is too short")
-    pipeline = boosted_stages(s, int(n_sku) + 1)
+    pipeline = boosted_stages(s)
     model = pipeline.fit(rows)
     checked = rows
     probe = model

@@ -9,16 +9,46 @@ import datetime as dt
 from dataclasses import dataclass, replace
 
 # England and Wales bank holidays and the days the site does not trade.
-BANK_HOLIDAYS = tuple(
-    dt.date.fromisoformat(d)
-    for d in (
-        "2024-01-01 2024-03-29 2024-04-01 2024-05-06 2024-05-27 2024-08-26 2024-12-25 2024-12-26 "
-        "2025-01-01 2025-04-18 2025-04-21 2025-05-05 2025-05-26 2025-08-25 2025-12-25 2025-12-26 "
-        "2026-01-01 2026-04-03 2026-04-06 2026-05-04 2026-05-25 2026-08-31 2026-12-25 2026-12-28"
-    ).split()
+BANK_HOLIDAYS = (
+    dt.date(2024, 1, 1),
+    dt.date(2024, 3, 29),
+    dt.date(2024, 4, 1),
+    dt.date(2024, 5, 6),
+    dt.date(2024, 5, 27),
+    dt.date(2024, 8, 26),
+    dt.date(2024, 12, 25),
+    dt.date(2024, 12, 26),
+    dt.date(2025, 1, 1),
+    dt.date(2025, 4, 18),
+    dt.date(2025, 4, 21),
+    dt.date(2025, 5, 5),
+    dt.date(2025, 5, 26),
+    dt.date(2025, 8, 25),
+    dt.date(2025, 12, 25),
+    dt.date(2025, 12, 26),
+    dt.date(2026, 1, 1),
+    dt.date(2026, 4, 3),
+    dt.date(2026, 4, 6),
+    dt.date(2026, 5, 4),
+    dt.date(2026, 5, 25),
+    dt.date(2026, 8, 31),
+    dt.date(2026, 12, 25),
+    dt.date(2026, 12, 28),
 )
 CLOSED_DAYS = tuple(dt.date(y, 12, 25) for y in (2024, 2025, 2026))
 
+# School holidays of every year as (month, first day, last day).
+SCHOOL_HOLIDAYS = (
+    (1, 1, 2),
+    (2, 12, 18),
+    (4, 1, 14),
+    (5, 26, 31),
+    (7, 1, 31),
+    (8, 1, 31),
+    (10, 26, 31),
+    (12, 20, 31),
+)
+
 # Policy labels used in every comparison table.
 BASELINE = "Manual par-level baseline"
 CANDIDATE = "AI forecast + inventory policy"
@@ -44,6 +74,8 @@ class Settings:
     gbt_rate: float = 0.05
     gbt_depth: int = 6
     gbt_min_leaf: int = 20
+    # SKU codes are folded into so many categories, however many SKUs there are
+    gbt_sku_buckets: int = 64
     # Holt-Winters grid: every combination is scored per series
     hw_alpha: tuple[float, ...] = (0.05, 0.2, 0.5)
     hw_beta: tuple[float, ...] = (0.0, 0.01, 0.1)
@@ -56,6 +88,7 @@ class Settings:
     zero_on_closed_days: bool = True
     bank_holidays: tuple[dt.date, ...] = BANK_HOLIDAYS
     closed_days: tuple[dt.date, ...] = CLOSED_DAYS
+    school_holidays: tuple[tuple[int, int, int], ...] = SCHOOL_HOLIDAYS
     weekend_days: tuple[int, ...] = (4, 5, 6)
 
     # weather

@@ -12,29 +12,70 @@ from larder.operators.quality import DataQualityError
 
 # Table columns and keys.
 TABLES = {
-    "skus": ("sku category shelf_life_days unit_cost pack_size min_order_quantity holding_cost_per_unit_per_day "
-             "waste_cost_per_unit stockout_cost_per_unit abc xyz segment", "sku"),
-    "sales": ("date sku units_sold temp_c bank_holiday school_holiday weekend dow promo", "date sku"),
-    "inventory_snapshots": ("date sku strategy opening_stock received expired_units demand served stockout_units "
-                            "closing_stock on_order inventory_value mean_age_days", "date sku strategy"),
-    "forecasts": ("run_id as_of sku forecast_date predicted_demand lower_bound upper_bound model", "run_id sku forecast_date"),
-    "recommendations": ("run_id as_of sku model policy on_hand on_order inventory_position forecast_demand_horizon "
-                        "forecast_demand_protection safety_stock target_stock recommended_order order_value days_of_cover "
-                        "stockout_probability projected_waste_units risk", "run_id sku as_of"),
-    "recommendation_overrides": ("run_id as_of sku recommended_order override_order reason recorded_at", ""),
-    "simulated_orders": ("run_id strategy sku ordered_on arrives_on quantity order_value", "run_id strategy sku ordered_on"),
-    "simulation_runs": ("run_id strategy start_date end_date config_json created_at", "run_id strategy"),
-    "simulation_results": ("run_id strategy metric value", "run_id strategy metric"),
-    "model_metadata": ("sku model_name reason segment strategy selected_at candidate_scores", "sku selected_at"),
+    "skus": (
+        (
+            "sku", "category", "shelf_life_days", "unit_cost", "pack_size", "min_order_quantity",
+            "holding_cost_per_unit_per_day", "waste_cost_per_unit", "stockout_cost_per_unit", "abc", "xyz",
+            "segment",
+        ),
+        ("sku",),
+    ),
+    "sales": (
+        ("date", "sku", "units_sold", "temp_c", "bank_holiday", "school_holiday", "weekend", "dow", "promo"),
+        ("date", "sku"),
+    ),
+    "inventory_snapshots": (
+        (
+            "date", "sku", "strategy", "opening_stock", "received", "expired_units", "demand", "served",
+            "stockout_units", "closing_stock", "on_order", "inventory_value", "mean_age_days",
+        ),
+        ("date", "sku", "strategy"),
+    ),
+    "forecasts": (
+        (
+            "run_id", "as_of", "sku", "forecast_date", "predicted_demand", "lower_bound", "upper_bound",
+            "model",
+        ),
+        ("run_id", "sku", "forecast_date"),
+    ),
+    "recommendations": (
+        (
+            "run_id", "as_of", "sku", "model", "policy", "on_hand", "on_order", "inventory_position",
+            "forecast_demand_horizon", "forecast_demand_protection", "safety_stock", "target_stock",
+            "recommended_order", "order_value", "days_of_cover", "stockout_probability",
+            "projected_waste_units", "risk",
+        ),
+        ("run_id", "sku", "as_of"),
+    ),
+    "recommendation_overrides": (
+        ("run_id", "as_of", "sku", "recommended_order", "override_order", "reason", "recorded_at"),
+        (),
+    ),
+    "simulated_orders": (
+        ("run_id", "strategy", "sku", "ordered_on", "arrives_on", "quantity", "order_value"),
+        ("run_id", "strategy", "sku", "ordered_on"),
+    ),
+    "simulation_runs": (
+        ("run_id", "strategy", "start_date", "end_date", "config_json", "created_at"),
+        ("run_id", "strategy"),
+    ),
+    "simulation_results": (
+        ("run_id", "strategy", "metric", "value"),
+        ("run_id", "strategy", "metric"),
+    ),
+    "model_metadata": (
+        ("sku", "model_name", "reason", "segment", "strategy", "selected_at", "candidate_scores"),
+        ("sku", "selected_at"),
+    ),
 }
 
 
 def columns_of(table: str) -> list[str]:
-    return TABLES[table][0].split()
+    return list(TABLES[table][0])
 
 
 def keys_of(table: str) -> list[str]:
-    return TABLES[table][1].split()
+    return list(TABLES[table][1])
 
 
 def replace_rows(old: DataFrame | None, new: DataFrame, keys: list[str], version: str | None = None) -> DataFrame:
