@@ -30,14 +30,16 @@ def backtest_blocks(tag: str, origins: str) -> None:
     block(f"{tag}_croston", f"""SELECT e.origin, e.sku, sum(pow(0.9, e.n - e.k) * CASE WHEN e.k = 1 THEN 1 ELSE 0.1 END * e.u) AS size,
  greatest(sum(pow(0.9, e.n - e.k) * CASE WHEN e.k = 1 THEN 1 ELSE 0.1 END * e.gap), 1.0) AS gap FROM (SELECT o.origin, x.*, count(*) OVER (PARTITION BY o.origin, x.sku) AS n
  FROM bt_events x JOIN {origins} o ON x.date < o.origin) e GROUP BY 1, 2""", "bt_events", origins)
+    # The date to look up is a column of its own: a plain join on two equalities, whatever the order of joins.
+    block(f"{tag}_cycle", f"""SELECT s.*, CAST(h AS INTEGER) AS step, s.origin + CAST(h - 1 AS INTEGER) AS forecast_date,
+ s.last_date - 6 + CAST((date_diff('day', s.last_date, s.origin) + h - 2) % 7 AS INTEGER) AS look_date FROM {tag}_state s, unnest(generate_series(1, 7)) AS t(h)""", f"{tag}_state")
     block(f"{tag}_points", f"""SELECT s.origin AS as_of, s.sku, CAST(h AS INTEGER) AS step, s.origin + CAST(h - 1 AS INTEGER) AS forecast_date, s.last_u AS p, s.sd1 AS sigma, 'Naive' AS model, s.scale
  FROM {tag}_state s, unnest(generate_series(1, 7)) AS t(h)
- UNION ALL SELECT s.origin, s.sku, CAST(h AS INTEGER), s.origin + CAST(h - 1 AS INTEGER), r.u, s.sd7, 'Seasonal Naive', s.scale FROM {tag}_state s, unnest(generate_series(1, 7)) AS t(h)
- JOIN bt_rows r ON r.sku = s.sku AND r.date = s.last_date - 6 + CAST((date_diff('day', s.last_date, s.origin) + h - 2) % 7 AS INTEGER)
+ UNION ALL SELECT s.origin, s.sku, s.step, s.forecast_date, r.u, s.sd7, 'Seasonal Naive', s.scale FROM {tag}_cycle s JOIN bt_rows r ON r.sku = s.sku AND r.date = s.look_date
  UNION ALL SELECT s.origin, s.sku, CAST(h AS INTEGER), s.origin + CAST(h - 1 AS INTEGER), coalesce(c.size / c.gap, 0), CASE WHEN c.size IS NULL THEN 0 ELSE s.sdu END, 'Croston', s.scale
  FROM {tag}_state s LEFT JOIN {tag}_croston c USING (origin, sku), unnest(generate_series(1, 7)) AS t(h)
  UNION ALL SELECT s.origin, s.sku, CAST(h AS INTEGER), s.origin + CAST(h - 1 AS INTEGER), coalesce(c.size / c.gap * 0.95, 0), CASE WHEN c.size IS NULL THEN 0 ELSE s.sdu END, 'Croston (SBA)', s.scale
- FROM {tag}_state s LEFT JOIN {tag}_croston c USING (origin, sku), unnest(generate_series(1, 7)) AS t(h)""", f"{tag}_state", f"{tag}_croston")
+ FROM {tag}_state s LEFT JOIN {tag}_croston c USING (origin, sku), unnest(generate_series(1, 7)) AS t(h)""", f"{tag}_state", f"{tag}_croston", f"{tag}_cycle", "bt_rows")
     block(f"{tag}_forecast", f"""SELECT as_of, sku, step, forecast_date, greatest(p, 0) AS predicted_demand, greatest(p - {Z!r} * sigma * sqrt(step), 0) AS lower_bound,
  p + {Z!r} * sigma * sqrt(step) AS upper_bound, sigma, model, scale AS mase_scale FROM {tag}_points""", f"{tag}_points")
     block(f"{tag}_scored", f"SELECT f.*, r.u AS actual FROM {tag}_forecast f JOIN bt_rows r ON r.sku = f.sku AND r.date = f.forecast_date", f"{tag}_forecast", "bt_rows")
