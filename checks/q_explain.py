@@ -14,12 +14,15 @@ from larder.operators import explain, features, models, slices
 S = P.S
 # A fixed linear rule stands in for the fitted model, so that SQL can say what every contribution is.
 RULE = {"weekend": 5.0, "bank_holiday": 8.0, "school_holiday": -2.0, "is_closed": -30.0, "promo": 6.0, "temp_c": 0.4, "dow": 1.5, "lag7": 0.3, "lag14": 0.2, "roll28": 0.4}
-block("fut7", f"""SELECT o.origin AS as_of, s.sku, s.date, a.units_sold AS lag7, b.units_sold AS lag14, r.roll28, s.temp_c, s.promo, s.weekend, s.dow, s.bank_holiday, s.school_holiday,
- CASE WHEN s.date IN ({P.C_SQL}) THEN 1 ELSE 0 END AS is_closed FROM (SELECT origin, origin + CAST(h AS INTEGER) AS day, origin + CAST(h AS INTEGER) - 7 AS week_before, origin + CAST(h AS INTEGER) - 14 AS two_before
- FROM month_origins, unnest(generate_series(0, 6)) AS t(h)) o JOIN sales_brand s ON s.date = o.day
- JOIN dense_brand a ON a.sku = s.sku AND a.date = o.week_before JOIN dense_brand b ON b.sku = s.sku AND b.date = o.two_before
- JOIN (SELECT o.origin, x.sku, avg(x.units_sold) AS roll28 FROM dense_brand x JOIN month_origins o ON x.date < o.origin AND x.date >= o.origin - 28 GROUP BY 1, 2) r ON r.origin = o.origin AND r.sku = s.sku""",
-      "month_origins", "sales_brand", "dense_brand")
+# Days to look up are columns of a table that stands before the joins: both equalities of a join name the same two tables.
+block("fut_days", """fut_days AS MATERIALIZED (SELECT o.origin, s.*, s.date - 7 AS week_before, s.date - 14 AS two_before
+ FROM (SELECT origin, origin + CAST(h AS INTEGER) AS day FROM month_origins, unnest(generate_series(0, 6)) AS t(h)) o JOIN sales_brand s ON s.date = o.day)""", "month_origins", "sales_brand")
+block("fut_means", """fut_means AS MATERIALIZED (SELECT o.origin, x.sku, avg(x.units_sold) AS roll28
+ FROM (SELECT origin, origin - CAST(h AS INTEGER) AS day FROM month_origins, unnest(generate_series(1, 28)) AS t(h)) o JOIN dense_brand x ON x.date = o.day GROUP BY 1, 2)""", "month_origins", "dense_brand")
+block("fut7", f"""SELECT s.origin AS as_of, s.sku, s.date, a.units_sold AS lag7, b.units_sold AS lag14, r.roll28, s.temp_c, s.promo, s.weekend, s.dow, s.bank_holiday, s.school_holiday,
+ CASE WHEN s.date IN ({P.C_SQL}) THEN 1 ELSE 0 END AS is_closed FROM fut_days s
+ JOIN dense_brand a ON a.sku = s.sku AND a.date = s.week_before JOIN dense_brand b ON b.sku = s.sku AND b.date = s.two_before
+ JOIN fut_means r ON r.origin = s.origin AND r.sku = s.sku""", "fut_days", "fut_means", "dense_brand")
 block("refs", "SELECT sku, avg(temp_c) AS ref_temp_c, avg(units_sold) AS long_run FROM sales_brand WHERE date < DATE '2001-01-01' GROUP BY 1", "sales_brand")
 REF = {k: "0.0" for k in ("weekend", "bank_holiday", "school_holiday", "is_closed", "promo")} | {"dow": "2.0", "temp_c": "ref_temp_c", "lag7": "long_run", "lag14": "long_run", "roll28": "long_run"}
 X_SQL = "20 + " + " + ".join(f"({c}) * {f}" for f, c in RULE.items())
