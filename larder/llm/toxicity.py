@@ -6,6 +6,7 @@ length, give a score through a logistic curve.
 
 Terms are words or beginnings of words.  They, their weights, the exceptions and the curve are learned from labelled rows: a term is
 taken while it explains enough toxic documents that earlier terms do not, the longest one first among those that find the same documents.
+Then terms follow that stand in many toxic documents which are no copies of each other, and in no clean one, though others explain these too.
 """
 
 import functools
@@ -20,6 +21,7 @@ import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +32,8 @@ LABELLED, CANDIDATES = 12_000, 4_000
 SHORTEST, LONGEST = 3, 10
 # A term must explain so many toxic documents, and one clean document outweighs so many toxic ones.
 SUPPORT, CLEAN_COST = 3, 4
+# Evidence of its own: so many unlike toxic documents, at least so many of them, and no clean one.
+OWN_SHARE, OWN_LEAST = 0.05, 6
 THRESHOLD = 0.7
 
 # Letters of other scripts that look like Latin ones, and digits and signs read as letters.
@@ -139,7 +143,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _found(batches: Iterator[pa.RecordBatch], lexicon: Lexicon) -> Iterator[pa.RecordBatch]:
     """For each labelled row the terms it has, and their words with a neighbour on either side."""
     for batch in batches:
-        terms, phrases, xs, ys = [], [], [], []
+        terms, phrases, xs, ys, kinds = [], [], [], [], []
         for text in batch.column("text").to_pylist():
             words, n = fold(text)
             hits = _hits(words, lexicon)
@@ -151,36 +155,46 @@ def _found(batches: Iterator[pa.RecordBatch], lexicon: Lexicon) -> Iterator[pa.R
                 around.add(words[left : words.find(" ", right + 1) + 1] if right + 1 < len(words) else words[left : right + 1])
                 around.add(words[max(0, words.rfind(" ", 0, left)) : right + 1])
             phrases.append(sorted(p for p in around if len(p) > 2))
+            kinds.append(min((xxhash.xxh3_64_intdigest(w) >> 1 for w in set(words.split())), default=0))  # near copies mostly agree
             weight = sum(lexicon.terms[i][1] for _, _, i in hits)
             xs.append(math.log1p(weight))
             ys.append(weight / math.sqrt(n + 1.0))
-        names = ["toxic", "terms", "phrases", "x", "y"]
-        columns = [batch.column("toxic"), pa.array(terms, pa.list_(pa.int32())), pa.array(phrases, pa.list_(pa.string())), pa.array(xs), pa.array(ys)]
+        names = ["toxic", "terms", "phrases", "x", "y", "kind"]
+        columns = [batch.column("toxic"), pa.array(terms, pa.list_(pa.int32())), pa.array(phrases, pa.list_(pa.string())), pa.array(xs, pa.float64()), pa.array(ys, pa.float64()), pa.array(kinds, pa.int64())]
         yield pa.record_batch(columns, names=names)
 
 
-def _chosen(terms: list[str], rows: list[tuple[int, list[int]]]) -> list[tuple[str, float]]:
-    """Greedy cover of the toxic rows by terms that clean rows hardly have."""
-    toxic = np.array([t for t, _ in rows], bool)
+def _chosen(terms: list[str], rows: list[tuple[int, list[int], int]]) -> list[tuple[str, float]]:
+    """Greedy cover of the toxic rows by terms that clean rows hardly have, then terms with evidence of their own.
+
+    ``rows``: toxic or not, the terms found, and a number that near copies share.
+    """
+    toxic = np.array([t for t, _, _ in rows], bool)
     has = np.zeros((len(rows), len(terms)), bool)
-    for r, (_, found) in enumerate(rows):
+    for r, (_, found, _) in enumerate(rows):
         has[r, found] = True
     false = has[~toxic].sum(axis=0)
     has = has[toxic]
     true = has.sum(axis=0)
     length = np.array([len(t) for t in terms])
-    out, left = [], np.ones(len(has), bool)
+    picked, left = [], np.ones(len(has), bool)
     while left.any():
         gain = has[left].sum(axis=0) - CLEAN_COST * false
         top = gain.max(initial=0)
         if top < SUPPORT:
             break
         best = max(np.flatnonzero(gain == top), key=lambda i: (length[i], terms[i]))
-        odds = (true[best] + 0.5) / (len(has) + 1) / ((false[best] + 0.5) / (len(rows) - len(has) + 1))
-        if odds > 1:
-            out.append((terms[best], math.log(odds)))
+        picked.append(best)
         left &= ~has[:, best]
-    return out
+    kinds = np.array([k for t, _, k in rows if t])
+    least = max(OWN_LEAST, OWN_SHARE * len(np.unique(kinds)))
+    own = {i: len(np.unique(kinds[has[:, i]])) for i in np.flatnonzero((false == 0) & (true >= least))}
+    for i in sorted(own, key=lambda i: (-own[i], -length[i], terms[i])):
+        if own[i] >= least and not any(terms[i].startswith(terms[j].rstrip()) or terms[j].startswith(terms[i]) for j in picked):
+            alike = [j for j in own if terms[j].startswith(terms[i].rstrip()) and own[j] >= 0.95 * own[i]]
+            picked.append(max(alike, key=lambda j: (length[j], terms[j])))  # the longest that finds the same
+    odds = {i: (true[i] + 0.5) / (len(has) + 1) / ((false[i] + 0.5) / (len(rows) - len(has) + 1)) for i in picked}
+    return [(terms[i], math.log(odds[i])) for i in picked if odds[i] > 1]
 
 
 def _curve(x: np.ndarray, toxic: np.ndarray, ridge: float = 0.05) -> tuple[float, float, float]:
@@ -212,10 +226,10 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
     counts = rows.mapInArrow(_counted, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     gain = F.col("toxic") - CLEAN_COST * F.col("clean")
     candidates = [r["term"] for r in counts.where(gain >= SUPPORT).orderBy(gain.desc(), F.length("term").desc(), "term").limit(CANDIDATES).collect()]
-    schema = "toxic int, terms array<int>, phrases array<string>, x double, y double"
+    schema = "toxic int, terms array<int>, phrases array<string>, x double, y double, kind long"
     every = Lexicon(tuple((t, 0.0) for t in candidates))
-    cover = rows.mapInArrow(lambda it: _found(it, every), schema).select("toxic", "terms").collect() if candidates else []
-    lexicon = Lexicon(tuple(_chosen(candidates, [(r["toxic"], r["terms"]) for r in cover])))
+    cover = rows.mapInArrow(lambda it: _found(it, every), schema).select("toxic", "terms", "kind").collect() if candidates else []
+    lexicon = Lexicon(tuple(_chosen(candidates, [(r["toxic"], r["terms"], r["kind"]) for r in cover])))
     if not lexicon.terms:
         return Lexicon((), (), (-4.0, 0.0, 0.0))
     phrases = rows.mapInArrow(lambda it: _found(it, lexicon), schema).select("toxic", F.explode("phrases").alias("phrase"))
