@@ -27,9 +27,9 @@ from larder.llm.common import components, scratch, settle
 
 SKETCH = 48
 # Lists that take at most so many pairs a member are joined with themselves; longer ones are compared in tiles of so many documents.
-SHORT, TILE = 2, 256
+SHORT, TILE = 2, 1024
 # Columns of a tile's table of common values that are multiplied at once.
-COLUMNS = 8192
+COLUMNS = 4096
 
 
 def least_share(percent: int, sketch: int) -> float:
