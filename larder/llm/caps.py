@@ -1,16 +1,20 @@
 """Near-duplicate vectors by spherical-cap filters.
 
-A filter is a direction; its cap holds the vectors close to it.  Directions form a product code: the halves of the space each have
-``CODE`` random unit vectors, every combination is a direction, so a vector's best directions are decoded from the best vectors of
-its halves without looking at all.  Each vector is listed under its ``LIST`` best directions; two vectors with cosine 0.98 share most of
-them, others hardly any.  Vectors that share a direction meet in a tile and are verified in double precision.
-
-A pair counts in the first direction the two share.  Equal vectors are one class.  A tile puts out one row a vector: its number of links
-there and one linked vector that spans its component, never pairs.  A link is lost only if two lists have nothing in common: about 1e-7 at the threshold.
+A filter is a direction; its cap holds the vectors close to it.  ``CODE`` directions are drawn evenly over the whole sphere, so what
+a pair has in common with them depends on its angle alone, wherever its energy lies.  A vector is listed under *every* direction
+whose cap it is in; the caps are as wide as it takes for a pair at the threshold to share none with a probability of ``MISS``, over the
+draw of the directions.  Closer pairs share more.  Vectors of up to ``FEW`` components are listed by cells instead, without any loss: the
+middle of a linked pair is near to both, and a vector is listed in every cell that its middles can lie in.  Vectors that share a list
+meet in a tile and are verified in double precision.
+
+A pair counts in the first list the two share.  Equal vectors are one class.  A tile puts out one row a vector: its number of links
+there and one linked vector that spans its component, never pairs.
 """
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,47 +25,110 @@ from pyspark.sql import functions as F
 from larder.llm.common import components, settle
 from larder.llm.vectors import matrix, usable
 
-LIST, CODE, SEED = 16, 64, 20
-# Vectors of a direction that meet in one tile; more are dealt into a grid of tiles.
+CODE, MISS, SEED = 4096, 1e-9, 20
+# Vectors with at most so many components are listed by cells.
+FEW = 8
+# Vectors of a list that meet in one tile; more are dealt into a grid of tiles.
 TILE = 1024
+# Vectors compared with all directions at once; lists of a tile that are compared at once.
+ROWS, COLUMNS = 1024, 4096
+
+
+@functools.lru_cache(maxsize=4)
+def code(dim: int) -> np.ndarray:
+    """Unit vectors, one a column."""
+    v = np.random.default_rng([SEED, dim]).standard_normal((dim, CODE))
+    return (v / np.linalg.norm(v, axis=0)).astype(np.float32)
+
 
+def both_in(cut: float, apart: float, dim: int) -> float:
+    """The share of the sphere from which two vectors ``apart`` radians from each other both have a cosine of ``cut`` at least.
 
-def code(dim: int) -> list[np.ndarray]:
-    """The unit vectors of each half."""
-    rng = np.random.default_rng([SEED, dim])
-    halves = [dim - dim // 2, dim // 2]
-    out = []
-    for d in halves:
-        v = rng.standard_normal((CODE, d)) if d else np.zeros((CODE, 1))
-        out.append(v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12))
-    return out
-
-
-def decoded(unit: np.ndarray) -> np.ndarray:
-    """The ``LIST`` best directions of each row: sums of the halves' best, which must be among the best of each half."""
-    n, dim = unit.shape
-    first, second = code(dim)
-    cut = dim - dim // 2
-    a = unit[:, :cut] @ first.T
-    b = unit[:, cut:] @ second.T if dim > 1 else np.zeros((n, CODE))
-    top_a, top_b = (np.argsort(-s, axis=1, kind="stable")[:, :LIST] for s in (a, b))
-    sums = np.take_along_axis(a, top_a, 1)[:, :, None] + np.take_along_axis(b, top_b, 1)[:, None, :]
-    names = top_a[:, :, None] * CODE + top_b[:, None, :]
-    best = np.argsort(-sums.reshape(n, -1), axis=1, kind="stable")[:, :LIST]
-    return np.sort(np.take_along_axis(names.reshape(n, -1), best, 1), axis=1)
-
-
-def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A direction's shadow on their plane has the length r and the angle phi from their middle: r * cos(|phi| + apart / 2) >= cut,
+    and r exceeds x with probability (1 - x^2)^((dim - 2) / 2).
+    """
+    widest = math.acos(cut) - apart / 2
+    if widest <= 0:
+        return 0.0
+    phi = (np.arange(4000) + 0.5) * (widest / 4000)
+    return float((np.maximum(0.0, 1 - (cut / np.cos(phi + apart / 2)) ** 2) ** ((dim - 2) / 2)).mean() * widest / math.pi)
+
+
+@functools.lru_cache(maxsize=64)
+def least_cosine(dim: int, least: float, miss: float = MISS) -> float:
+    """The cosine to a direction from which on a vector is in its cap: a pair at ``least`` shares no cap with probability ``miss``."""
+    apart, wanted = math.acos(max(-1.0, min(1.0, least))), 1 - miss ** (1 / CODE)
+    low, high = 0.0, 1.0
+    if both_in(low, apart, dim) < wanted:
+        return -1.0
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (middle, high) if both_in(middle, apart, dim) >= wanted else (low, middle)
+    return low
+
+
+def by_caps(unit: np.ndarray, cut: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, direction) of every cap that a row is in, in order."""
+    rows, names = [], []
+    directions = code(unit.shape[1])
+    for start in range(0, len(unit), ROWS):
+        i, k = np.nonzero(unit[start : start + ROWS].astype(np.float32) @ directions >= cut)
+        rows.append(i + start)
+        names.append(k)
+    return np.concatenate(rows), np.concatenate(names)
+
+
+def by_cells(unit: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, cell) of every cell within half the distance of a pair at ``least``, in order."""
+    reach = math.sqrt(max(0.0, 1 - least) / 2) + 1e-7
+    width = max(4 * reach, 0.2)  # at most one cell to each side
+    base = math.ceil(2 / width) + 3
+    at = (unit + 1) / width
+    cell = np.floor(at).astype(np.int64) + 1
+    rows, names, far = np.arange(len(unit)), np.zeros(len(unit), np.int64), np.zeros(len(unit))
+    for axis in range(unit.shape[1]):
+        inside = (at[:, axis] - np.floor(at[:, axis]))[rows] * width
+        steps = [(0, np.zeros(len(rows))), (-1, inside**2), (1, (width - inside) ** 2)]
+        parts = [(rows[ok], names[ok] * base + cell[rows[ok], axis] + step, (far + d)[ok]) for step, d in steps for ok in [far + d <= reach**2]]
+        rows, names, far = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((names, rows))
+    return rows[order], names[order]
+
+
+def lists(unit: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, list) of every list of each row of unit vectors, in order."""
+    dim = unit.shape[1]
+    return by_cells(unit, least) if dim <= FEW else by_caps(unit, least_cosine(dim, least))
+
+
+def _listed(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         dims = batch.column("dim").to_numpy()
-        out = np.zeros((len(batch), LIST), np.int32)
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
         for dim in np.unique(dims):
             mine = np.flatnonzero(dims == dim)
             v = matrix(batch.column("v").take(pa.array(mine)), int(dim))
             v /= np.abs(v).max(axis=1, keepdims=True)
-            out[mine] = decoded(v / np.linalg.norm(v, axis=1, keepdims=True))
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, LIST), pa.int32()), pa.array(out.ravel(), pa.int32()))
-        yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, "filters"])
+            rows, names = lists(v / np.linalg.norm(v, axis=1, keepdims=True), least)
+            found.append((mine[rows], names))
+        rows, names = (np.concatenate(x) for x in zip(*found, strict=True))
+        ends = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=len(batch)))])
+        column = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(names[np.argsort(rows, kind="stable")], pa.int32()))
+        yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, "filters"])
+
+
+def _meet(lists: pa.Array) -> np.ndarray:
+    """Which two rows have an element in common."""
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    values, place = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+    owner = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+    met = np.zeros((len(lists), len(lists)), bool)
+    for start in range(0, len(values), COLUMNS):
+        here = (place >= start) & (place < start + COLUMNS)
+        has = np.zeros((len(lists), min(COLUMNS, len(values) - start)), np.float32)
+        has[owner[here], place[here] - start] = 1
+        met |= has @ has.T > 0
+    return met
 
 
 def _cosines(v: np.ndarray) -> np.ndarray:
@@ -78,25 +145,19 @@ def _tile(rows: pa.Table, least: float) -> tuple[np.ndarray, np.ndarray, np.ndar
     chunk, first, last = rows.column("chunk").to_numpy(), rows.column("ti")[0].as_py(), rows.column("tj")[0].as_py()
     if first != last:
         linked &= chunk[:, None] != chunk[None, :]
-    i, j = np.nonzero(linked)
-    if not len(i):
+    if not linked.any():
         return ids[:0], sizes[:0], ids[:0]
-    filters = matrix(rows.column("filters"), LIST).astype(np.int64)
-    here = rows.column("filter")[0].as_py()
-    # Does the pair share a direction before this one?
-    earlier = np.zeros(len(i), bool)
-    for start in range(0, len(i), 100_000):
-        a, b = filters[i[start : start + 100_000]], filters[j[start : start + 100_000]]
-        shared = (a[:, :, None] == b[:, None, :]).any(axis=2) & (a < here)
-        earlier[start : start + 100_000] = shared.any(axis=1)
-    links = np.bincount(i[~earlier], weights=sizes[j[~earlier]], minlength=len(ids)).astype(np.int64)
+    # Does the pair share a list before this one?
+    some = linked.any(axis=1)
+    counted = linked[np.ix_(some, some)] & ~_meet(rows.column("earlier").filter(pa.array(some)))
+    links = np.zeros(len(ids), np.int64)
+    links[some] = counted @ sizes[some]
     root = ids.copy()
     while True:  # smallest id reachable in the tile
         low = np.minimum(root, np.where(linked, root[None, :], np.iinfo(np.int64).max).min(axis=1))
         if (low == root).all():
             break
         root = low
-    some = linked.any(axis=1)
     return ids[some], links[some], root[some]
 
 
@@ -137,15 +198,15 @@ def near_duplicates(rows: DataFrame, least: float = 0.98) -> DataFrame:
     classes = hashed.where("usable").groupBy("h").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("n"), F.first("label").alias("label"), F.first("v").alias("v"))
     classes = settle(classes.withColumn("dim", F.size("v")))
     listed = settle(
-        classes.select("id", "n", "label", "dim", "v").mapInArrow(_listed, "id long, n long, label long, dim int, v array<double>, filters array<int>")
+        classes.select("id", "n", "label", "dim", "v").mapInArrow(lambda it: _listed(it, least), "id long, n long, label long, dim int, v array<double>, filters array<int>")
     )
     cell = ["label", "dim", "filter"]
-    exploded = listed.withColumn("filter", F.explode("filters"))
+    exploded = listed.select("*", F.posexplode("filters").alias("place", "filter")).withColumn("earlier", F.slice("filters", F.lit(1), F.col("place")))
     heavy = settle(exploded.select(*cell).groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("chunks")).where("chunks > 1"))
     dealt = exploded.join(heavy, cell, "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("id", "filter"), F.col("chunks")).cast("int"))
     gridded = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    gridded = gridded.select("id", "n", "v", "filters", "chunk", *cell, F.least("chunk", "other").alias("ti"), F.greatest("chunk", "other").alias("tj"))
+    gridded = gridded.select("id", "n", "v", "earlier", "chunk", *cell, F.least("chunk", "other").alias("ti"), F.greatest("chunk", "other").alias("tj"))
     keys = [*cell, "ti", "tj"]
     tiles = gridded.repartition(*keys).sortWithinPartitions(*keys, "id")
     found = settle(tiles.mapInArrow(lambda it: _verified(it, least), "id long, links long, spanning long"))

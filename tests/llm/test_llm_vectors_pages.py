@@ -83,6 +83,46 @@ def test_linked_vectors_equal_brute_force(spark, monkeypatch, tile):
     assert caps.near_duplicates(vectors(spark, []), 0.98).count() == 0
 
 
+def uneven_vectors():
+    """Pairs a little above the threshold whose energy lies in a part of the components, and vectors of few components."""
+    rng = np.random.default_rng(11)
+    out = []
+    half = np.repeat([1.0, 0.0], 32)
+    for kind, (dim, mask) in enumerate([(64, half), (64, half), (64, np.maximum(half, 0.05)), (64, None), (2, np.ones(2)), (3, np.ones(3)), (4, np.ones(4)), (9, np.ones(9))]):
+        for k in range(40):
+            a = np.eye(64)[rng.integers(64)] if mask is None else rng.standard_normal(dim) * mask
+            a = a / np.linalg.norm(a)
+            z = rng.standard_normal(dim) * (1 if mask is None else mask)
+            z -= (z @ a) * a
+            b = 0.981 * a + (1 - 0.981**2) ** 0.5 * z / np.linalg.norm(z)
+            out.extend((10_000 * kind + 2 * k + j, [float(np.float32(x)) for x in v], 10 + kind % 4) for j, v in enumerate((a, b)))
+    return out
+
+
+@pytest.mark.parametrize("tile", [caps.TILE, 16])
+def test_links_do_not_depend_on_where_the_energy_lies(spark, monkeypatch, tile):
+    monkeypatch.setattr(caps, "TILE", tile)
+    rows = uneven_vectors()
+    expected = brute_links(rows, 0.98)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in caps.near_duplicates(vectors(spark, rows), 0.98).collect()}
+    assert got == expected
+
+
+@pytest.mark.parametrize("dim", [9, 64])
+def test_caps_lose_as_many_pairs_as_stated(dim):
+    rng = np.random.default_rng(dim)
+    a, z = rng.standard_normal((2, 8000, dim))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    z -= (z * a).sum(axis=1, keepdims=True) * a
+    b = 0.98 * a + (1 - 0.98**2) ** 0.5 * z / np.linalg.norm(z, axis=1, keepdims=True)
+
+    def lost(cut):
+        return len(a) - len(np.unique(np.intersect1d(*(rows * caps.CODE + names for rows, names in (caps.by_caps(v, cut) for v in (a, b)))) // caps.CODE))
+
+    assert 0.005 < lost(caps.least_cosine(dim, 0.98, 0.01)) / len(a) < 0.02
+    assert lost(caps.least_cosine(dim, 0.98)) == 0
+
+
 def test_nearest_equal_brute_force(spark, monkeypatch):
     for name, value in (("TILE_ROWS", 300), ("TILE_QUERIES", 20), ("ROWS", 64), ("QUERIES", 8)):
         monkeypatch.setattr(nearest, name, value)
