@@ -19,6 +19,8 @@ from larder.llm.common import settle
 
 # Characters of labelled text a language: the fit's bound.  Costs 2 * 65536 * alphabet * 4 bytes a language at most.
 SAMPLE = 60_000
+# Bits of the hash that name a range, coarse and fine.
+RANGES = (10, 20)
 # Characters beyond the commonest are one symbol.
 ALPHABET = 62
 # Texts are parsed in blocks of so many letters and spaces; a phrase ends at a block's end.
@@ -37,21 +39,34 @@ def simplified(text: str) -> str:
     return " ".join("".join([c if c.isalpha() else " " for c in text.lower()]).split())
 
 
+def letters(text: Column) -> Column:
+    """As ``simplified``, but for the case."""
+    return F.trim(F.regexp_replace(text, r"[^\p{L}]+", " "))
+
+
+def running(rows: DataFrame, by: str, chars: int) -> DataFrame:
+    """Rows (lang, ``by``, n) before which a language has fewer than ``chars`` characters."""
+    order = Window.partitionBy("lang").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0))).where(F.col("before") < chars).select("lang", by)
+
+
 def sample(docs: DataFrame, chars: int = SAMPLE) -> dict[str, str]:
     """Labelled text for each language: whole texts in the order of a hash, until ``chars`` characters, the last one cut.
 
-    Learns from rows with text, lang and doc_id that are not held out; equal texts count once.
+    Learns from rows with text, lang and doc_id that are not held out; equal texts count once.  A language that has ``chars``
+    letters and spaces in distinct texts fills its sample; one that has fewer gives all of them.
     """
     known = docs.select("doc_id", "text", "lang").where("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
-    known = known.where(~held_out(F.col("doc_id"))).select("lang", "text", F.length("text").alias("n"), F.xxhash64("text").alias("h"))
-    sizes = known.groupBy("lang").agg(F.sum("n").alias("all_chars"))
-    # A first cut by hash leaves about four samples of each language; among them the order decides.
-    share = F.least(F.lit(1.0), F.lit(4.0 * chars) / F.col("all_chars"))
-    picked = known.select("lang", "h", "n").join(F.broadcast(settle(sizes)), "lang").where((F.pmod("h", F.lit(1_000_003)) / 1_000_003.0) < share)
-    picked = settle(picked.select("lang", "h", "n").distinct())
-    order = Window.partitionBy("lang").orderBy("h").rowsBetween(Window.unboundedPreceding, -1)
-    chosen = settle(picked.withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0))).where(F.col("before") < chars).select("lang", "h"))
-    texts = known.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.first(F.substring("text", 1, chars)).alias("text"))
+    known = known.where(~held_out(F.col("doc_id"))).select("lang", "text", F.xxhash64("text").alias("h"))
+    picked = settle(known.select("lang", "h", F.least(F.length(letters(F.col("text"))), F.lit(chars)).alias("n")).where("n > 0").distinct())
+    # Sums of ranges of the hash tell which ranges the sample reaches into; only those are looked at one by one.
+    for bits in RANGES:
+        ranged = picked.withColumn("range", F.shiftright("h", 64 - bits))
+        reached = running(ranged.groupBy("lang", "range").agg(F.sum("n").alias("n")), "range", chars)
+        picked = settle(ranged.join(reached, ["lang", "range"], "left_semi").select("lang", "h", "n"))
+    chosen = settle(running(picked, "h", chars))
+    texts = known.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.first("text").alias("text"))
+    texts = texts.select("lang", "h", F.substring(letters(F.col("text")), 1, chars).alias("text"))
     out: dict[str, list[str]] = {}
     for row in sorted(texts.collect(), key=lambda r: (r["lang"], r["h"])):
         out.setdefault(row["lang"], []).append(simplified(row["text"]))

@@ -330,6 +330,19 @@ def test_languages_are_told_apart(spark):
     assert language.identify(docs.limit(0)).count() == 0
 
 
+def test_every_language_fills_its_sample(spark):
+    chars = 400
+    rows = [(i, syllables(1, "aa", 90), "aa") for i in range(3000)] + [(3000 + i, syllables(100 + i, "aa", 20), "aa") for i in range(12)]
+    rows += [(4000 + i, syllables(i, "bb", 6), "bb") for i in range(20)] + [(4100, syllables(7, "bb", 90_000), "bb")]
+    rows += [(5000 + i, syllables(i, "cc", 20_000), "cc") for i in range(12)]
+    rows += [(6000 + i, "1234567890 " * 400 + str(i), "dd") for i in range(40)] + [(6100 + i, "77 " * 900 + syllables(i, "aa", 40), "dd") for i in range(12)]
+    rows += [(7000 + i, syllables(i, "bb", 3), "ee") for i in range(4)]
+    got = language.sample(documents(spark, rows), chars)
+    assert {k: len(v) for k, v in got.items() if k != "ee"} == dict.fromkeys(("aa", "bb", "cc", "dd"), chars)
+    mine = {language.simplified(t) for i, t, k in rows if k == "ee" and zlib.crc32(str(i).encode()) % 4 != 2}
+    assert mine and set(got["ee"].split("  ")) == mine
+
+
 def test_phrases_are_the_longest_matches():
     texts = {"aa": language.simplified(syllables(1, "aa", 300)), "bb": language.simplified(syllables(2, "bb", 300))}
     parser = language.Parser(texts)
