@@ -17,11 +17,11 @@ from pyspark.sql import functions as F
 
 from larder.llm.common import settle
 
-# Characters of labelled text a language: the fit's bound.  Costs 2 * 65536 * alphabet * 4 bytes a language at most.
+# Characters of labelled text a language: the fit's bound.  Costs 2 * 65536 * alphabet * 4 bytes a language at most, and 3 * 65536 * 12 for others.
 SAMPLE = 60_000
 # Bits of the hash that name a range, coarse and fine.
 RANGES = (10, 20)
-# Characters beyond the commonest are one symbol.
+# The commonest characters have a column in the dense table; transitions of all others are looked up in a sorted list.
 ALPHABET = 62
 # Texts are parsed in blocks of so many letters and spaces; a phrase ends at a block's end.
 BLOCK = 1024
@@ -73,36 +73,39 @@ def sample(docs: DataFrame, chars: int = SAMPLE) -> dict[str, str]:
     return {lang: "  ".join(t for t in parts if t)[:chars] for lang, parts in out.items() if any(parts)}
 
 
-def automaton(symbols: np.ndarray, width: int) -> np.ndarray:
-    """Transitions of the suffix automaton of a sequence: a table of states by symbols; 0 is no transition, 1 the root."""
-    n = len(symbols)
-    step = np.zeros((2 * n + 2, width), np.int32)
-    length, link = [0] * (2 * n + 2), [0] * (2 * n + 2)
-    last, size = 1, 2
+def automaton(symbols: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """The suffix automaton of a sequence: how many states, and (state, symbol, next state) of its transitions; 1 is the root."""
+    step: list[dict[int, int]] = [{}, {}]
+    length, link = [0, 0], [0, 0]
+    last = 1
     for c in symbols.tolist():
-        new, size = size, size + 1
-        length[new] = length[last] + 1
+        new = len(step)
+        step.append({})
+        length.append(length[last] + 1)
+        link.append(0)
         p = last
-        while p and not step[p, c]:
-            step[p, c] = new
+        while p and c not in step[p]:
+            step[p][c] = new
             p = link[p]
         if not p:
             link[new] = 1
         else:
-            q = int(step[p, c])
+            q = step[p][c]
             if length[q] == length[p] + 1:
                 link[new] = q
             else:
-                copy, size = size, size + 1
-                length[copy] = length[p] + 1
-                step[copy] = step[q]
-                link[copy] = link[q]
-                while p and step[p, c] == q:
-                    step[p, c] = copy
+                copy = len(step)
+                step.append(dict(step[q]))
+                length.append(length[p] + 1)
+                link.append(link[q])
+                while p and step[p].get(c) == q:
+                    step[p][c] = copy
                     p = link[p]
                 link[q] = link[new] = copy
         last = new
-    return step[:size]
+    states = np.repeat(np.arange(len(step)), [len(x) for x in step])
+    taken = np.fromiter((c for x in step for c in x), np.int64, len(states))
+    return len(step), states, taken, np.fromiter((t for x in step for t in x.values()), np.int64, len(states))
 
 
 class Parser:
@@ -111,19 +114,39 @@ class Parser:
     def __init__(self, texts: dict[str, str], alphabet: int = ALPHABET):
         self.langs = sorted(texts)
         seen, counts = np.unique(np.frombuffer("".join(texts.values()).encode("utf-32-le"), np.uint32), return_counts=True)
-        common = seen[np.argsort(-counts, kind="stable")][:alphabet]
-        self.width = len(common) + 1
-        self.code = np.zeros(0x110000, np.uint8)  # 0: any other character
-        self.code[common] = np.arange(1, self.width)
-        tables, self.roots, base = [], [], 0
-        for lang in self.langs:
-            table = automaton(self.codes(texts[lang]), self.width)
-            tables.append(np.where(table > 0, table + base, 0).astype(np.int32))
+        self.symbols = len(seen) + 1
+        self.width = min(len(seen), alphabet) + 1
+        self.code = np.zeros(0x110000, np.int32)  # 0: a character of no sample
+        self.code[seen[np.argsort(-counts, kind="stable")]] = np.arange(1, self.symbols)
+        self.first = np.zeros((len(self.langs), self.symbols), np.int32)
+        tables, keys, ends, self.roots, base = [], [], [], [], 0
+        for k, lang in enumerate(self.langs):
+            size, state, symbol, there = automaton(self.codes(texts[lang]))
+            table = np.zeros((size, self.width), np.int32)
+            dense, root = symbol < self.width, state == 1
+            table[state[dense], symbol[dense]] = there[dense] + base
+            self.first[k, symbol[root]] = there[root] + base
+            tables.append(table)
+            keys.append((state[~dense] + base) * self.symbols + symbol[~dense])
+            ends.append(there[~dense] + base)
             self.roots.append(base + 1)
-            base += len(table)
+            base += size
         self.table = np.concatenate(tables).ravel()
+        order = np.argsort(np.concatenate(keys), kind="stable")
+        self.keys, self.ends = np.concatenate(keys)[order], np.concatenate(ends)[order].astype(np.int32)
         self.bits = {lang: np.log2(max(2, len(texts[lang]))) for lang in self.langs}
 
+    def next(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """The next state of each language (rows) and block (columns) for a symbol a block; 0 if there is none."""
+        if not len(self.keys):
+            return self.table[state * np.int64(self.width) + c]
+        rare = np.flatnonzero(c >= self.width)
+        there = self.table[state * np.int64(self.width) + np.where(c < self.width, c, 0)]
+        key = state[:, rare] * np.int64(self.symbols) + c[rare]
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        there[:, rare] = np.where(self.keys[at] == key, self.ends[at], 0)
+        return there
+
     def codes(self, text: str) -> np.ndarray:
         return self.code[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
 
@@ -132,16 +155,14 @@ class Parser:
         roots = np.array(self.roots, np.int32)[:, None]
         state = np.repeat(roots, len(blocks), axis=1)
         count = np.zeros(state.shape, np.int64)
-        width, table = self.width, self.table
-        first = table.reshape(-1, width)[np.array(self.roots)]
         live = np.searchsorted(-sizes, -np.arange(int(sizes[0]) if len(sizes) else 0), side="left")
         for at, n in enumerate(live):
             c = blocks[:n, at]
             here = state[:, :n]
-            there = table[here * np.int64(width) + c]
+            there = self.next(here, c)
             dead = there == 0
             count[:, :n] += dead & (here != roots)  # a phrase ended before this symbol
-            there = np.where(dead, first[:, c], there)
+            there = np.where(dead, self.first[:, c], there)
             lost = there == 0  # a symbol the language lacks is a phrase of its own
             count[:, :n] += lost
             state[:, :n] = np.where(lost, roots, there)
@@ -160,7 +181,7 @@ class Parser:
         for i in range(0, len(order), ABREAST):
             run = order[i : i + ABREAST]
             sizes = np.array([len(pieces[j]) for j in run])
-            blocks = np.zeros((len(run), sizes[0]), np.uint8)
+            blocks = np.zeros((len(run), sizes[0]), np.int32)
             for r, j in enumerate(run):
                 blocks[r, : sizes[r]] = pieces[j]
             np.add.at(total, (slice(None), [owner[j] for j in run]), self.phrases(blocks, sizes))

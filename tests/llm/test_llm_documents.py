@@ -330,6 +330,36 @@ def test_languages_are_told_apart(spark):
     assert language.identify(docs.limit(0)).count() == 0
 
 
+def han(seed, lang, n):
+    """Words of two or three characters out of 1,200; in one language they are those of the other read backwards."""
+    vocabulary, rng = random.Random(5), random.Random(seed)
+    known = ["".join(chr(0x4E00 + vocabulary.randrange(1200)) for _ in range(2 + k % 2)) for k in range(500)]
+    return " ".join(rng.choice(known)[:: 1 if lang == "aa" else -1] for _ in range(n))
+
+
+def test_languages_of_a_large_script_are_told_apart(spark):
+    langs = ["aa", "bb"]
+    rows = [(i, han(i, langs[i % 2], 4 + i % 9), langs[i % 2]) for i in range(600)]
+    got = language.identify(documents(spark, rows), chars=5000).collect()
+    assert sum(r["lang_pred"] == langs[r["doc_id"] % 2] for r in got) / len(got) > 0.98
+
+
+@pytest.mark.parametrize("alphabet", [0, 5, 62])
+def test_rare_characters_are_parsed_like_common_ones(alphabet):
+    texts = {k: language.simplified(han(1, k, 300) + " " + syllables(3, k, 100)) for k in ("aa", "bb")}
+    samples = [language.simplified(han(k, lang, k) + " \u0416 " + syllables(k, lang, k)) for k in range(1, 40, 6) for lang in ("aa", "bb")]
+    costs = language.Parser(texts, alphabet).costs(samples)
+    for k, text in enumerate(texts.values()):
+        for sample, cost in zip(samples, costs[k].tolist(), strict=True):
+            n, p = 0, 0
+            while p < len(sample):
+                q = p + 1
+                while q <= len(sample) and sample[p:q] in text:
+                    q += 1
+                p, n = max(p + 1, q - 1), n + 1
+            assert cost == n
+
+
 def test_every_language_fills_its_sample(spark):
     chars = 400
     rows = [(i, syllables(1, "aa", 90), "aa") for i in range(3000)] + [(3000 + i, syllables(100 + i, "aa", 20), "aa") for i in range(12)]
