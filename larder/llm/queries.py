@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from larder.llm import caps, language, minhash, mixture, nearest, pieces, secrets, token_counts, toxicity, warc
+from larder.llm import caps, codebooks, language, minhash, mixture, nearest, pieces, repeats, secrets, token_counts, toxicity, warc, whitening
 from larder.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -190,6 +190,68 @@ def op10(spark: SparkSession, d: str) -> DataFrame:
     return language.identify(table(spark, d, "documents"))
 
 
+def _codebook_rounds(rounds: int) -> str:
+    """Assignment and the entries that follow from it, round by round; the last assignment has no successor."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""
+near_{k} AS MATERIALIZED (
+  SELECT row, part, min(struct_pack(d := d, e := entry)) AS best
+  FROM (SELECT row, part, entry, sum((c.x - b.x) * (c.x - b.x)) AS d FROM comps c JOIN book_{k} b USING (part, i) GROUP BY 1, 2, 3) GROUP BY 1, 2)""")
+        if k < rounds:
+            steps.append(f"""
+sums_{k} AS (SELECT part, best.e AS entry, i, sum(x) AS s, count(*) AS c FROM comps JOIN near_{k} USING (row, part) GROUP BY 1, 2, 3),
+book_{k + 1} AS MATERIALIZED (
+  SELECT part, entry, i, CASE WHEN c IS NULL THEN x ELSE (s - ((s % c) + c) % c) // c END::BIGINT AS x FROM book_{k} LEFT JOIN sums_{k} USING (part, entry, i))""")
+    return ",".join(steps)
+
+
+@_query("op11_vector_codes", f"""
+WITH whole AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+places AS (SELECT row, vec_id, unnest(range(1, len(v) + 1)) AS i, unnest(v) AS c, len(v) AS dim FROM whole),
+comps AS MATERIALIZED (SELECT row, vec_id, ((i - 1) * {codebooks.PARTS}) // dim AS part, i, floor({codebooks.SCALE} * c)::BIGINT AS x FROM places),
+first_ids AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM (SELECT DISTINCT vec_id FROM whole ORDER BY 1 LIMIT {codebooks.ENTRIES})),
+book_0 AS MATERIALIZED (SELECT part, entry, i, min(x) AS x FROM comps JOIN first_ids USING (vec_id) GROUP BY 1, 2, 3),
+{_codebook_rounds(codebooks.ROUNDS)},
+named AS (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY part, entry, i)) AS codebooks_sha256 FROM book_{codebooks.ROUNDS}),
+coded AS (SELECT row, string_agg(printf('%02x', best.e), '' ORDER BY part) AS code, sum(best.d)::BIGINT AS error FROM near_{codebooks.ROUNDS} GROUP BY 1),
+each AS (SELECT vec_id, label, code, error FROM whole JOIN coded USING (row)),
+labels AS (SELECT label, sum(error)::BIGINT AS label_error FROM each GROUP BY 1)
+SELECT vec_id, code, error, label_error, codebooks_sha256
+FROM whole JOIN coded USING (row) JOIN labels l ON whole.label IS NOT DISTINCT FROM l.label, named
+""")
+def op11(spark: SparkSession, d: str) -> DataFrame:
+    return codebooks.compress(table(spark, d, "embeddings"))
+
+
+@_query("op12_whitening")
+def op12(spark: SparkSession, d: str) -> DataFrame:
+    white = whitening.whiten(table(spark, d, "embeddings"))
+    return white.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+@_query("op13_substring_dedup", f"""
+WITH texts AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+words AS MATERIALIZED (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word, len(w) AS n FROM texts),
+windows AS MATERIALIZED (
+  SELECT doc_id, i, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {repeats.WINDOW - 1} FOLLOWING) AS s, n FROM words),
+least AS (SELECT s, min(doc_id) AS low FROM windows WHERE i + {repeats.WINDOW - 1} <= n GROUP BY 1),
+found AS (
+  SELECT doc_id, i, word, coalesce(low < doc_id AND i + {repeats.WINDOW - 1} <= n, false) AS hit
+  FROM words JOIN windows USING (doc_id, i, n) LEFT JOIN least USING (s)),
+covered AS MATERIALIZED (
+  SELECT doc_id, i, word, bool_or(hit) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN {repeats.WINDOW - 1} PRECEDING AND CURRENT ROW) AS gone FROM found),
+kept AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS left_over FROM covered GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(left_over, '')) AS kept_sha256
+FROM texts LEFT JOIN kept USING (doc_id)
+""")
+def op13(spark: SparkSession, d: str) -> DataFrame:
+    return repeats.digests(table(spark, d, "documents"))
+
+
 @_query("pipeline")
 def pipeline(spark: SparkSession, d: str) -> DataFrame:
     return corpus_pipeline.run(spark, d)
