@@ -28,7 +28,7 @@ from larder.llm.common import settle
 WINDOW, GRAM = 50, 8
 MEMBERS = 4096
 # Words that are hashed or built into trees at once (more only for one document or one group); words whose hash a task remembers.
-WORDS, KNOWN = 500_000, 1_000_000
+WORDS, KNOWN = 300_000, 400_000
 
 
 class Hashes(dict):
@@ -208,7 +208,8 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
     """
     plain = _versions(docs).select(F.col("_doc").alias("doc_id"), F.col("_version").alias("version"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
     runs = settle(plain.mapInArrow(lambda it: _runs(it, window, gram), "anchor long, doc_id long, version long, first int, last int"))
-    shared = runs.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
+    # A table of its own, so that the join may split an anchor that many documents share.
+    shared = settle(runs.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor"))
     wanted = runs.join(shared, "anchor").groupBy("doc_id", "version").agg(F.collect_list(F.struct("anchor", "first", "last")).alias("runs"))
     fetched = plain.join(wanted, ["doc_id", "version"]).select("doc_id", "version", "text", "runs")
     cut = settle(fetched.mapInArrow(lambda it: _cut(it, window), "anchor long, key binary, words binary, doc_id long, version long, first int"))
