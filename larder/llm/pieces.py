@@ -1,7 +1,8 @@
 """SentencePiece encoding and decoding for merge-type vocabularies.
 
 A text is encoded by an agenda of adjacent symbol pairs: the pair whose joined piece has the highest score is merged first, the
-leftmost among equals, until no pair is a piece.  No piece of such a vocabulary holds a space mark after another character,
+leftmost among equals, until no pair is a piece.  Short units stand side by side, one row each, and every step merges the best pair
+of each row; a long unit has a heap of its own.  No piece of such a vocabulary holds a space mark after another character,
 nor a character that stands in no piece; merges never cross these places.  So a text falls into units (spaces with the
 characters that follow them), and each distinct unit is encoded once per worker.  Every new unit is compared with the sentencepiece
 library in its Arrow batch, and the longest text of each batch as a whole; a difference fails the job.
@@ -15,6 +16,7 @@ import heapq
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import sentencepiece
@@ -23,13 +25,16 @@ from pyspark.sql import functions as F
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
-# Memory of a worker, not of the result: longer units are not remembered; a full memory starts anew.
-LONGEST_REMEMBERED, REMEMBERED = 48, 400_000
-# Up to this length the best pair is found by looking at all, beyond by a heap.
-SHORT_UNIT = 64
+# Memory of a worker, not of the result: longer units are not remembered; a full memory becomes the older one, of which only
+# units that are met again are carried over.
+LONGEST_REMEMBERED, REMEMBERED = 48, 500_000
+# Units up to this length are merged side by side, so many at a time; longer ones by a heap.
+SHORT_UNIT, ROWS = 64, 4096
+# Slots (a power of two) of the table that finds what two symbols make.
+SLOTS = 21
 # Characters of text whose units are looked up together.
 SLICE = 500_000
-_NEVER = float("inf")
+_NEVER, _LAST = float("inf"), np.int32(2**31 - 1)
 
 
 class Pieces:
@@ -49,25 +54,79 @@ class Pieces:
         newline_apart = not any("\n" in p for p in self.id)
         self.units = re.compile(r" *[^ \n]+|\n| +" if newline_apart else r" *[^ ]+| +").findall
         self.lead = len(lib.encode("\n"))
+        # Symbols by number: the pieces, then what else stands in one; and what two of them make.
+        self.names = list(dict.fromkeys([*self.id, *(c for p in self.id for c in p)]))
+        self.number = {name: k for k, name in enumerate(self.names)}
+        costs = np.array([self.cost.get(name, _NEVER) for name in self.names])
+        self.rank = np.unique(costs, return_inverse=True)[1].astype(np.int32)  # equal costs have equal ranks
+        every = [self.parts(name) for name in self.names]
+        self.single = np.array([ids[0] if len(ids) == 1 else -1 for ids, _, _ in every])
+        self.as_text, self.as_bytes = [text for _, text, _ in every], [raw for _, _, raw in every]
+        self.of_character = np.full(0x110000, -1, np.int32)
+        for k, name in enumerate(self.names):
+            if len(name) == 1:
+                self.of_character[ord(name)] = k
+        halves = sorted(
+            (self.number[p[:k]] * len(self.names) + self.number[p[k:]], self.number[p])
+            for p in self.id for k in range(1, len(p)) if p[:k] in self.number and p[k:] in self.number
+        )
+        self.pairs, joins = np.array(halves, np.int64).reshape(-1, 2).T.copy()
+        self.joins = joins.astype(np.int32)
+        self.slots = np.full(1 << SLOTS, -1, np.int32)
+        at = self._slot(self.pairs)
+        self.slots[at] = np.arange(len(at))
+        self.crowded = np.zeros(1 << SLOTS, bool)
+        self.crowded[at[self.slots[at] != np.arange(len(at))]] = True
         self.known: dict[str, tuple[int, str, bytes]] = {}
+        self.older: dict[str, tuple[int, str, bytes]] = {}
         self.passing: list[str] = []  # units to forget after their texts
 
-    def merged(self, symbols: list[str]) -> list[str]:
-        if len(symbols) > SHORT_UNIT:
-            return self._merged_by_heap(symbols)
-        cost = self.cost
-        agenda = [cost.get(a + b, _NEVER) for a, b in zip(symbols, symbols[1:], strict=False)]
-        while agenda and (best := min(agenda)) != _NEVER:
-            i = agenda.index(best)
-            symbols[i] += symbols.pop(i + 1)
-            del agenda[i]
-            if i < len(agenda):
-                agenda[i] = cost.get(symbols[i] + symbols[i + 1], _NEVER)
-            if i:
-                agenda[i - 1] = cost.get(symbols[i - 1] + symbols[i], _NEVER)
-        return symbols
-
-    def _merged_by_heap(self, symbols: list[str | None]) -> list[str]:
+    @staticmethod
+    def _slot(pairs: np.ndarray) -> np.ndarray:
+        return (pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOTS)).astype(np.int64)
+
+    def _join(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(symbol, rank of its cost) of what two symbols make; -1 and ``_LAST`` if they make none or one of them is -1."""
+        pair = np.where((left < 0) | (right < 0), -1, left.astype(np.int64) * len(self.names) + right)
+        slot = self._slot(pair)
+        place = self.slots[slot].astype(np.int64)
+        crowded = self.crowded[slot]
+        if crowded.any():
+            place[crowded] = np.searchsorted(self.pairs, pair[crowded])
+        place = np.clip(place, 0, len(self.pairs) - 1)
+        symbol = np.where(self.pairs[place] == pair, self.joins[place], np.int32(-1))
+        return symbol, np.where(symbol < 0, _LAST, self.rank[symbol])
+
+    def merged_rows(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the symbols that are left of all units, one unit after the other, and how many of each; -1 for a character in no piece."""
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
+        width = int(sizes.max())
+        columns = np.arange(width + 1)
+        symbols = np.full((len(units), width + 1), -2, np.int32)
+        symbols[columns < sizes[:, None]] = self.of_character[np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)]
+        whole = symbols.copy()
+        joined, cost = self._join(symbols[:, :-1], symbols[:, 1:])
+        active = np.arange(len(units))
+        while len(active):
+            best = cost.argmin(axis=1)
+            more = cost[np.arange(len(cost)), best] != _LAST
+            if not more.all():
+                whole[active[~more]] = symbols[~more]
+                active, symbols, joined, cost, best = active[more], symbols[more], joined[more], cost[more], best[more]
+            rows = np.arange(len(active))
+            symbols[rows, best] = joined[rows, best]
+            # Everything behind the pair moves up by one place.
+            behind = columns[None, 1:-1] > best[:, None]
+            np.copyto(symbols[:, 1:-1], symbols[:, 2:].copy(), where=behind)
+            np.copyto(joined[:, 1:-1], joined[:, 2:].copy(), where=behind[:, :-1])
+            np.copyto(cost[:, 1:-1], cost[:, 2:].copy(), where=behind[:, :-1])
+            for here in (best, np.maximum(best - 1, 0)):
+                joined[rows, here], cost[rows, here] = self._join(symbols[rows, here], symbols[rows, here + 1])
+        there = whole != -2
+        return whole[there], there.sum(axis=1)
+
+    def merged(self, symbols: list[str | None]) -> list[str]:
+        """What is left of the characters of one unit."""
         n, cost = len(symbols), self.cost
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
         heap: list[tuple[float, int, str]] = []
@@ -93,34 +152,61 @@ class Pieces:
             offer(left)
         return [s for s in symbols if s is not None]
 
-    def ids(self, unit: str) -> list[int]:
-        """Ids of a unit in which spaces are still spaces."""
-        out: list[int] = []
-        for symbol in self.merged(list(unit.replace(" ", SPACE))):
-            i = self.id.get(symbol)
-            out.extend([i] if i is not None else [self.byte[b] for b in symbol.encode()])
+    def parts(self, symbol: str) -> tuple[list[int], str, bytes]:
+        """Ids of a symbol that merges no further, the same as text, and what they decode to."""
+        i = self.id.get(symbol)
+        ids = [i] if i is not None else [self.byte[b] for b in symbol.encode()]
+        return ids, ",".join(map(str, ids)), self.decoded(ids)
+
+    def encoded(self, units: list[str]) -> list[tuple[list[int], str, bytes]]:
+        """Ids of units in which spaces are still spaces, the same as text, and what they decode to."""
+        marked = [u.replace(" ", SPACE) for u in units]
+        order = sorted((k for k, u in enumerate(marked) if len(u) <= SHORT_UNIT), key=lambda k: len(marked[k]))
+        out: list = [None] * len(units)
+        for start in range(0, len(order), ROWS):
+            mine = order[start : start + ROWS]
+            symbols, counts = self.merged_rows([marked[k] for k in mine])
+            ids = np.where(symbols < 0, -1, self.single[symbols]).tolist()
+            numbers = symbols.tolist()
+            texts, raw = [self.as_text[k] for k in numbers], [self.as_bytes[k] for k in numbers]
+            stop = 0
+            for k, n in zip(mine, counts.tolist(), strict=True):
+                at, stop = stop, stop + n
+                if -1 not in (found := ids[at:stop]):
+                    out[k] = (found, ",".join(texts[at:stop]), b"".join(raw[at:stop]))
+        for k, unit in enumerate(marked):
+            if out[k] is None:  # long, or with bytes for characters
+                found = [self.parts(s) for s in self.merged(list(unit))]
+                out[k] = ([i for ids, _, _ in found for i in ids], ",".join([x for _, x, _ in found]), b"".join([x for _, _, x in found]))
         return out
 
+    def ids(self, unit: str) -> list[int]:
+        return self.encoded([unit])[0][0]
+
     def decoded(self, ids: list[int]) -> bytes:
         """UTF-8 of the pieces, with spaces for space marks; the space that encoding puts in front is still there."""
         return b"".join(self.raw[i] if i in self.raw else self.piece[i].replace(SPACE, " ").encode() for i in ids)
 
-    def known_with(self, units: set[str]) -> dict[str, tuple[int, str, bytes]]:
-        """A memory that holds all of ``units``: new ones are encoded and compared with the library."""
+    def known_with(self, texts: list[list[str]]) -> dict[str, tuple[int, str, bytes]]:
+        """A memory that holds the units of all ``texts``: new ones are encoded and compared with the library."""
         for unit in self.passing:
             self.known.pop(unit, None)
-        new = [u for u in units if u not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known, new = {}, list(units)
+        known = self.known
+        wanted = {u for units in texts for u in units if u not in known}
+        if len(known) + len(wanted) > REMEMBERED:
+            self.known, self.older, wanted = {}, known, set().union(*texts)
+        older, new = self.older, []
+        for unit in wanted:
+            if (found := older.get(unit)) is not None:
+                self.known[unit] = found
+            else:
+                new.append(unit)
         # An inner unit would get a space mark in front; a line break keeps the mark apart.
         theirs = self.library.encode(["\n" + u for u in new], num_threads=1)
-        found = {}
-        for unit, expected in zip(new, theirs, strict=True):
-            ids = self.ids(unit)
+        for unit, expected, (ids, as_text, text) in zip(new, theirs, self.encoded(new), strict=True):
             if ids != expected[self.lead:]:
                 raise ValueError(f"ids of {unit[:80]!r} differ from the library's")
-            found[unit] = (len(ids), ",".join(map(str, ids)), self.decoded(ids))
-        self.known.update(found)
+            self.known[unit] = (len(ids), as_text, text)
         self.passing = [u for u in new if len(u) > LONGEST_REMEMBERED]
         return self.known
 
@@ -154,7 +240,7 @@ def _digests(batches: Iterator[pa.RecordBatch], path: str | None) -> Iterator[pa
         longest, whole = "", ("", b"")
         for run in _slices(batch.column("text").to_pylist()):
             split = [model.split(text) for text in run]
-            known = model.known_with(set().union(*split))
+            known = model.known_with(split)
             for text, units in zip(run, split, strict=True):
                 parts = [known[u] for u in units]
                 counts.append(sum([p[0] for p in parts]))
@@ -180,7 +266,7 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str | None) -> Iterator[pa
         every = []
         for value in batch.column("text"):
             units = model.split(value.as_py() or "")
-            found = model.known_with(set(units))
+            found = model.known_with([units])
             every.append([int(i) for u in units for i in found[u][1].split(",")])
         yield pa.record_batch([batch.column("doc_id"), pa.array(every, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 

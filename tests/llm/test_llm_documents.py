@@ -158,9 +158,26 @@ def test_pieces_equal_the_library(spark):
 def test_both_agendas_merge_alike():
     model = pieces.Pieces(public_tokenizers.path(pieces.MODEL))
     rng = random.Random(3)
-    for _ in range(300):
-        text = [rng.choice("thequickbrownfox") for _ in range(rng.randrange(1, 60))]
-        assert model.merged(list(text)) == model._merged_by_heap(list(text))
+    units = ["".join(rng.choice("thequickbrownfox▁é漢\u0378.*") for _ in range(rng.randrange(1, 65))) for _ in range(3000)]
+    units += ["a" * n for n in range(1, 65)] + ["▁" * 64, "\U0010ffff"]
+    symbols, counts = model.merged_rows(units)
+    ends = counts.cumsum()
+    for unit, stop, n in zip(units, ends, counts, strict=True):
+        assert [model.number.get(s, -1) for s in model.merged(list(unit))] == symbols[stop - n : stop].tolist(), unit
+
+
+def test_memory_carries_over_what_is_met_again(spark, monkeypatch):
+    docs = documents(spark, [(i, " ".join(f"w{(i * k) % 97} v{i}_{k}" for k in range(60))) for i in range(60)])
+    expected = sorted(pieces.encode_decode(docs).collect())
+    monkeypatch.setattr(pieces, "REMEMBERED", 150)
+    monkeypatch.setattr(pieces, "SLICE", 700)
+    model = pieces.Pieces(public_tokenizers.path(pieces.MODEL))
+    texts = [[u for u in model.split(f"a{i % 5} b{i} c{i % 40}")] for i in range(400)]
+    for text in texts:
+        known = model.known_with([text])
+        assert [known[u][1] for u in text] == [",".join(map(str, model.ids(u))) for u in text]
+        assert len(model.known) <= 153
+    assert sorted(pieces.encode_decode(docs).collect()) == expected
 
 
 def spans_of(text, scope=secrets.SCOPE):
@@ -308,6 +325,26 @@ def test_exceptions_spare_phrases_and_missing_labels_teach_nothing(spark):
     assert [r["predicted"] for r in toxicity.score_all(docs, toxicity.learn(docs, empty)).collect()] == [0, 0]
 
 
+def test_an_exception_after_many_matches_is_learned(spark):
+    rows, labels = toxic_corpus()
+    spared = "idiot light"  # after more than a thousand other matches, in clean documents only
+    rows += [(3000 + i, f"{'zorb ' * 1500}{spared} {i}") for i in range(30)]
+    lexicon = toxicity.Lexicon(((" zorb", 1.0), (" idiot ", 2.0)))
+    docs = spark.createDataFrame([(t, 0) for _, t in rows[-30:]], "text string, toxic int")
+    found = docs.mapInArrow(lambda it: toxicity._found(it, lexicon), "toxic int, terms array<int>, phrases array<string>, x double, y double, kind long")
+    assert all(" idiot light " in r["phrases"] for r in found.collect())
+
+
+def test_repeated_labels_draw_as_many_rows(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "LABELLED", 300)
+    rows, labels = toxic_corpus()
+    docs = documents(spark, rows)
+    once = spark.createDataFrame(labels, "doc_id long, toxic int")
+    many = spark.createDataFrame(labels * 100 + [(10**6 + i, i % 2) for i in range(5000)], "doc_id long, toxic int")
+    assert toxicity.learn(docs, many) == toxicity.learn(docs, once) != toxicity.Lexicon((), (), (-4.0, 0.0, 0.0))
+    assert toxicity.score_all(docs.limit(0), toxicity.learn(docs.limit(0), once)).count() == 0
+
+
 def syllables(seed, lang, n):
     rng = random.Random(seed)
     parts = {"aa": ["ka", "lo", "mi", "tu", "re"], "bb": ["sch", "ein", "ung", "ber", "öl"], "cc": ["que", "ión", "ñas", "ado", "los"]}[lang]
