@@ -31,6 +31,8 @@ DATE = "2000-01-01T00:00:00Z"
 # An archive is closed at so many bytes of records; its dictionary is trained on its first records.
 ARCHIVE_BYTES, TRAINING_RECORDS, DICTIONARY_BYTES = 64 << 20, 200, 16 << 10
 CHUNK = 1 << 20
+# Tasks that read archives at most.
+READERS = 10_000
 
 
 class WarcError(ValueError):
@@ -219,7 +221,9 @@ def read_archives(manifest: DataFrame, bodies: bool = True) -> DataFrame:
     has not as many records as the manifest says, fails the job.
     """
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary"
-    return manifest.select("path", "records").repartition("path").mapInArrow(lambda it: _read(it, bodies), schema)
+    # One archive a task: a manifest is so small that without a number all of it would be dealt to one.
+    tasks = max(1, min(READERS, manifest.count()))
+    return manifest.select("path", "records").repartition(tasks).mapInArrow(lambda it: _read(it, bodies), schema)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
