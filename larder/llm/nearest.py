@@ -20,8 +20,10 @@ from larder.llm.common import settle
 from larder.llm.vectors import matrix, usable
 
 TILE_ROWS, TILE_QUERIES = 8192, 2048
-# Rows and queries multiplied at once inside a tile.
+# Rows and queries multiplied at once inside a tile; components whose products are summed in single precision without rounding
+# (1,000 times 127 squared is below 2^24).
 ROWS, QUERIES = 2048, 256
+EXACT = 1000
 
 
 class Codes:
@@ -29,12 +31,13 @@ class Codes:
 
     def __init__(self, vectors: np.ndarray):
         self.vectors = vectors
-        self.scale = np.abs(vectors).max(axis=1) / 127.0
+        self.scale = np.maximum(np.abs(vectors).max(axis=1) / 127.0, np.finfo(float).tiny)
         codes = np.rint(vectors / self.scale[:, None]).astype(np.int8)
         near = codes * self.scale[:, None]
-        self.codes = codes.astype(np.float32)  # small integers; products of up to 1000 components are exact in single precision
-        self.norm, self.near = np.linalg.norm(vectors, axis=1), np.linalg.norm(near, axis=1)
-        self.error = np.linalg.norm(vectors - near, axis=1)
+        self.codes = codes.astype(np.float32)
+        with np.errstate(over="ignore"):
+            self.norm, self.near = np.linalg.norm(vectors, axis=1), np.linalg.norm(near, axis=1)
+            self.error = np.linalg.norm(vectors - near, axis=1)
 
 
 def inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -45,6 +48,20 @@ def inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total
 
 
+def estimated(q: Codes, mine: slice, r: Codes, part: slice) -> tuple[np.ndarray, np.ndarray]:
+    """Inner products of codes and how far they can be off; what no double can hold may be anything."""
+    sums = np.zeros((len(q.codes[mine]), len(r.codes[part])))
+    for start in range(0, q.codes.shape[1], EXACT):
+        sums += q.codes[mine, start : start + EXACT] @ r.codes[part, start : start + EXACT].T
+    with np.errstate(over="ignore", invalid="ignore"):
+        about = sums * q.scale[mine, None] * r.scale[None, part]
+        off = q.error[mine, None] * r.norm[None, part] + q.near[mine, None] * r.error[None, part]
+        bound = off * (1 + 1e-6) + 1e-12 * q.norm[mine, None] * r.norm[None, part] + len(r.codes.T) * np.finfo(float).tiny
+    wild = ~(np.isfinite(about) & np.isfinite(bound))
+    about[wild], bound[wild] = 0.0, np.inf
+    return about, bound
+
+
 def _tile(query_ids: np.ndarray, q: Codes, ids: np.ndarray, r: Codes, k: int) -> Iterator[tuple[int, list[tuple[float, int]]]]:
     for start in range(0, len(query_ids), QUERIES):
         mine = slice(start, start + QUERIES)
@@ -52,8 +69,7 @@ def _tile(query_ids: np.ndarray, q: Codes, ids: np.ndarray, r: Codes, k: int) ->
         floor = np.full(len(heaps), -np.inf)
         for at in range(0, len(ids), ROWS):
             part = slice(at, at + ROWS)
-            about = (q.codes[mine] @ r.codes[part].T).astype(np.float64) * q.scale[mine, None] * r.scale[None, part]
-            bound = (q.error[mine, None] * r.norm[None, part] + q.near[mine, None] * r.error[None, part]) * (1 + 1e-6) + 1e-12 * q.norm[mine, None] * r.norm[None, part]
+            about, bound = estimated(q, mine, r, part)
             about[query_ids[mine, None] == ids[None, part]] = -np.inf
             low = about - bound
             least = np.partition(low, -k, axis=1)[:, -k] if low.shape[1] > k else np.full(len(heaps), -np.inf)
@@ -97,8 +113,8 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     n_rows = max(1, -(-rows.count() // TILE_ROWS))
     n_queries = max(1, -(-queries.count() // TILE_QUERIES))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.withColumn("q", F.pmod(F.xxhash64("id"), F.lit(n_queries)).cast("int")).withColumn("r", every(n_rows))
-    right = rows.withColumn("r", F.pmod(F.xxhash64("id"), F.lit(n_rows)).cast("int")).withColumn("q", every(n_queries))
+    left = queries.withColumn("q", F.pmod(F.xxhash64("id", "v"), F.lit(n_queries)).cast("int")).withColumn("r", every(n_rows))
+    right = rows.withColumn("r", F.pmod(F.xxhash64("id", "v"), F.lit(n_rows)).cast("int")).withColumn("q", every(n_queries))
     keys = ["dim", "q", "r"]
     tiles = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(lambda a, b: _best_of_tile(a, b, k), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -153,6 +153,33 @@ def test_int8_bounds_hold():
 PAGES = "page_id long, url string, html string, sha string, size int, kind string"
 
 
+@pytest.mark.parametrize("dim", [2048, 4096])
+def test_bounds_of_long_vectors_hold_and_their_neighbours_are_exact(spark, dim):
+    rng = np.random.default_rng(dim)
+    whole = rng.integers(120, 128, (400, dim)) * rng.choice([1.0, 1.0, 1.0, -1.0], (400, dim))
+    whole[:, 0] = 127
+    codes = nearest.Codes(whole)
+    every = slice(None)
+    about, bound = nearest.estimated(codes, every, codes, every)
+    exact = whole.astype(np.int64) @ whole.astype(np.int64).T
+    assert (np.abs(about - exact) <= bound).all()
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(whole[:200])]
+    df = vectors(spark, rows)
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in nearest.nearest(df, df.where("vec_id % 20 = 0"), k=20).collect()}
+    for q in range(0, 200, 20):
+        best = sorted((-exact[q, i], i) for i in range(200) if i != q)[:20]
+        assert [got[q, k + 1] for k in range(20)] == [(i, float(-s)) for s, i in best]
+
+
+def test_nearest_of_huge_and_tiny_components(spark):
+    rows = [(0, [1e308, 1e308], 0), (1, [-1e308, -1.0], 0), (2, [1.0, 1.0], 0), (3, [1e-320, 1e-320], 0), (20, [1e-320, 0.0], 0), (4, [2.0, 1.0], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {}
+    for r in sorted(nearest.nearest(df, df.where("vec_id % 20 = 0"), k=3).collect()):
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert got == {0: [4, 2, 3], 20: [0, 4, 2]}
+
+
 def page_rows():
     rows = [(i, f"http://example.org/{i % 7}", f"<p>page {i % 40} {'word ' * (i % 40)}</p>") for i in range(300)]
     return rows + [(400, None, None), (401, "http://x/ü \r\n y", ""), (402, "u", "x" * 300_000), (None, "n", "<p>page 3 word word word </p>"), (5, rows[5][1], rows[5][2]), (None, "m", "only here")]
@@ -163,6 +190,7 @@ def test_archives_give_back_what_was_written(spark):
     pages = spark.createDataFrame([(*r, "z", 1, "w") for r in rows], PAGES).repartition(3)
     manifest = warc.write_archives(pages, scratch(spark), archive_bytes=5_000)
     assert manifest.count() > 3
+    assert warc.read_archives(manifest).rdd.getNumPartitions() == manifest.count()
     got = warc.read_archives(manifest).collect()
     assert len(got) == len(rows) == manifest.agg(F.sum("records")).first()[0]
     first = {}
