@@ -149,7 +149,7 @@ def _found(batches: Iterator[pa.RecordBatch], lexicon: Lexicon) -> Iterator[pa.R
             hits = _hits(words, lexicon)
             terms.append(sorted({i for _, _, i in hits}))
             around = set()
-            for start, end, _ in hits[:1000]:  # phrases only propose exceptions
+            for start, end, _ in hits:
                 left, right = start, words.find(" ", max(end - 1, start + 1))
                 around.add(words[left : right + 1])
                 around.add(words[left : words.find(" ", right + 1) + 1] if right + 1 < len(words) else words[left : right + 1])
@@ -217,10 +217,12 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
     Rows without text, doc_id or label, and copies of a text, teach nothing (more than once).  Without toxic rows the lexicon is empty.
     """
     marked = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").select(F.col("doc_id").cast("long").alias("label_id"), F.col("toxic").cast("int").alias("toxic"))
-    marked = marked.where(~held_out(F.col("label_id")))
+    # Copies of a label and labels without a text do not count among the rows to draw from.
+    marked = marked.where(~held_out(F.col("label_id"))).groupBy("label_id").agg(F.max("toxic").alias("toxic"))
+    worded = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("label_id"))
+    marked = settle(marked.join(worded, "label_id", "left_semi"))
     share = min(1.0, LABELLED / max(1, marked.count()))
     drawn = marked.where(F.pmod(F.xxhash64("label_id"), F.lit(1_000_003)) < int(share * 1_000_003) + 1)
-    drawn = settle(drawn.groupBy("label_id").agg(F.max("toxic").alias("toxic")))
     texts = docs.select(F.col("doc_id").cast("long").alias("label_id"), "text").where("text IS NOT NULL").join(F.broadcast(drawn), "label_id")
     rows = settle(texts.groupBy(F.md5(F.col("text").cast("binary")).alias("h")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic"))
     counts = rows.mapInArrow(_counted, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
