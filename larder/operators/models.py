@@ -170,9 +170,9 @@ def holt_winters_grid(s: Settings) -> list[tuple[float, float, float]]:
 def holt_winters_states(state: DataFrame, s: Settings = Settings()) -> DataFrame:
     """Level, trend and seasonal values of each series at each decision date, best grid point each.
 
-    Additive trend and season.  The first cycle sets the level and season, the step between the
-    first two cycles sets the trend.  For every smoothing triple one fold over the days keeps the
-    squared one-step error; the triple with the least error so far wins.
+    Additive trend and season.  The first cycle sets the level and season, the step between the first two cycles sets the trend.  One
+    fold over one copy of the series carries a record per smoothing triple with its squared one-step error; at a decision date
+    the triple with the least error so far wins.
     """
     m = s.seasonal_period
     plus = lambda acc, x: acc + x
@@ -185,55 +185,43 @@ def holt_winters_states(state: DataFrame, s: Settings = Settings()) -> DataFrame
             "rest": F.slice("days", F.lit(m + 1), F.size("days") - m),
         }
     )
-    arrays = arrays.withColumns(
-        {
-            "trend0": (F.col("level1") - F.col("level0")) / m,
-            "season0": F.transform(F.slice("opening", 1, m), lambda u: u - F.col("level0")),
-        }
-    )
-    kind = "struct<sse:double,alpha:double,beta:double,gamma:double,level:double,trend:double,season:array<double>,total:double,k:bigint>"
-    point = F.explode(F.array(*[
-        F.struct(F.lit(a).alias("alpha"), F.lit(b).alias("beta"), F.lit(g).alias("gamma")) for a, b, g in holt_winters_grid(s)
-    ])).alias("g")
-    arrays = arrays.select("sku", "level0", "trend0", "season0", "rest", point)
-    al, be, ga = F.col("g.alpha"), F.col("g.beta"), F.col("g.gamma")
-    start = F.struct(
-        F.col("level0").alias("level"), F.col("trend0").alias("trend"), F.col("season0").alias("season"),
-        F.lit(0.0).alias("sse"), F.lit(0.0).alias("total"),
-        F.array().cast(f"array<struct<as_of:date,mase_scale:double,fit:{kind}>>").alias("out"),
+    # The error comes first: the least record is the best fit, the smaller parameters among equals.
+    fields = ("sse", "alpha", "beta", "gamma", "level", "trend", "season", "total")
+    kind = "struct<sse:double,alpha:double,beta:double,gamma:double,level:double,trend:double,season:array<double>,total:double>"
+    grid = F.array(*[F.struct(F.lit(a).alias("alpha"), F.lit(b).alias("beta"), F.lit(g).alias("gamma")) for a, b, g in holt_winters_grid(s)])
+    season0 = F.transform(F.slice("opening", 1, m), lambda u: u - F.col("level0"))
+    opened = F.transform(
+        grid,
+        lambda g: F.struct(
+            F.lit(0.0).alias("sse"), g["alpha"].alias("alpha"), g["beta"].alias("beta"), g["gamma"].alias("gamma"), F.col("level0").alias("level"),
+            ((F.col("level1") - F.col("level0")) / m).alias("trend"), season0.alias("season"), F.lit(0.0).alias("total"),
+        ),
     )
+    start = F.struct(opened.cast(f"array<{kind}>").alias("fits"), F.array().cast(f"array<struct<as_of:date,mase_scale:double,k:bigint,fit:{kind}>>").alias("out"))
 
-    def step(acc, day):
-        ahead = acc["level"] + acc["trend"]
-        now = F.element_at(acc["season"], 1)
-        y = day["units_sold"]
-        error = y - ahead - now
+    def moved(fit: Column, y: Column) -> Column:
         # Error-correction form of the three smoothing equations.
-        level = ahead + al * error
-        trend = acc["trend"] + al * be * error
-        season = F.concat(F.slice(acc["season"], 2, m - 1), F.array(now + ga * error * (1.0 - al)))
-        sse, total = acc["sse"] + error * error, acc["total"] + error
-        emit = F.transform(
-            day["cuts"],
-            lambda o: F.struct(
-                o.alias("as_of"), day["mase_scale"].alias("mase_scale"),
-                F.struct(
-                    sse.alias("sse"), al.alias("alpha"), be.alias("beta"), ga.alias("gamma"), level.alias("level"),
-                    trend.alias("trend"), season.alias("season"), total.alias("total"), (day["n"] - m).alias("k"),
-                ).alias("fit"),
-            ),
-        )
-        out = F.when((F.size(day["cuts"]) == 0) | (day["n"] < 2 * m), acc["out"]).otherwise(F.concat(acc["out"], emit))
-        return F.struct(
-            level.alias("level"), trend.alias("trend"), season.alias("season"),
-            sse.alias("sse"), total.alias("total"), out.alias("out"),
+        now = F.element_at(fit["season"], 1)
+        ahead = fit["level"] + fit["trend"]
+        error = y - ahead - now
+        season = F.concat(F.slice(fit["season"], 2, m - 1), F.array(now + fit["gamma"] * error * (1.0 - fit["alpha"])))
+        new = (
+            fit["sse"] + error * error, fit["alpha"], fit["beta"], fit["gamma"], ahead + fit["alpha"] * error,
+            fit["trend"] + fit["alpha"] * fit["beta"] * error, season, fit["total"] + error,
         )
+        return F.struct(*[value.alias(name) for name, value in zip(fields, new, strict=True)])
+
+    def step(acc: Column, day: Column) -> Column:
+        fits = F.transform(acc["fits"], lambda fit: moved(fit, day["units_sold"]))
+        decided = (F.size(day["cuts"]) > 0) & (day["n"] >= 2 * m)
+        best = F.array_min(fits)
+        emit = F.transform(day["cuts"], lambda o: F.struct(o.alias("as_of"), day["mase_scale"].alias("mase_scale"), (day["n"] - m).alias("k"), best.alias("fit")))
+        return F.struct(fits.alias("fits"), F.when(decided, F.concat(acc["out"], emit)).otherwise(acc["out"]).alias("out"))
 
     fits = arrays.select("sku", F.inline(F.aggregate("rest", start, step, lambda acc: acc["out"])))
-    best = fits.groupBy("sku", "as_of").agg(F.max("mase_scale").alias("mase_scale"), F.min("fit").alias("fit"))
-    k, total = F.col("fit.k"), F.col("fit.total")
+    k, total = F.col("k"), F.col("fit.total")
     variance = (F.col("fit.sse") - total * total / k) / (k - 1)
-    return best.withColumn("sigma", F.when(k >= 2, F.sqrt(F.greatest(variance, F.lit(0.0)))).otherwise(0.0))
+    return fits.withColumn("sigma", F.when(k >= 2, F.sqrt(F.greatest(variance, F.lit(0.0)))).otherwise(0.0))
 
 
 def holt_winters(state: DataFrame, horizon: int, s: Settings = Settings()) -> DataFrame:
@@ -281,6 +269,10 @@ UNIVARIATE: dict[str, Model] = {
 }
 
 
+#: Every model of a backtest.  The global one is no function of one series' state; plans fit it at their decision dates.
+EVERY: dict[str, Model | None] = {**UNIVARIATE, BOOSTED: None}
+
+
 def shared_passes(models: dict[str, Model]) -> list[Model]:
     """The built-in pairs run together when both are asked for; every other model on its own."""
     left = dict(models)
@@ -350,39 +342,49 @@ def boosted_stages(s: Settings):
     return Pipeline(stages=[fold, named, index, assemble, trees])
 
 
-def fit_boosted(sales: DataFrame, s: Settings = Settings(), codes: DataFrame | None = None, estimate_sigma: bool = True):
-    """Fit one model over all SKUs and estimate each SKU's error on the held-out last days.
+def training_matrix(sales: DataFrame, s: Settings = Settings(), codes: DataFrame | None = None) -> DataFrame:
+    """The training rows of all dates, written once to the shared folder.
 
-    Returns (fitted pipeline, ``sku, sigma`` table).  Runs Spark jobs: the training matrix, written to the shared folder so that
-    a lost executor costs none of it, the cut-off date and the MLlib fits.
+    Every feature of a row looks back only, so the rows before a date are the matrix as of that date: a fit at any date is a date
+    filter on this table, which skips the files behind it (rows are laid out by date).
     """
     from larder.operators.features import engineer, feature_matrix
     from larder.operators.ordered import sku_codes
-    from larder.sources.folder import fresh
-
-    codes = sku_codes(sales) if codes is None else codes
-    path = fresh(sales.sparkSession)
-    matrix = feature_matrix(engineer(sales, s, codes), s)
-    matrix.write.parquet(path)
-    rows = sales.sparkSession.read.schema(matrix.schema).parquet(path)
-    if rows.isEmpty():
+    from larder.sources.folder import written
+
+    matrix = feature_matrix(engineer(sales, s, sku_codes(sales) if codes is None else codes), s)
+    return written(matrix.repartitionByRange("date", "sku").sortWithinPartitions("date", "sku"))
+
+
+def fit_rows(rows: DataFrame, s: Settings = Settings(), estimate_sigma: bool = True):
+    """Fit one model on training rows and estimate each SKU's error on their last days; (fitted pipeline, ``sku, sigma`` table)."""
+    newest = rows.agg(F.max("date")).first()[0]
+    if newest is None:
         raise ValueError("no training rows are left after dropping undefined lags; the history is too short")
     pipeline = boosted_stages(s)
     model = pipeline.fit(rows)
-    checked = rows
-    probe = model
+    probe, checked = model, rows
     if estimate_sigma and s.sigma_tail_days > 0:
-        cutoff = rows.agg(F.date_sub(F.max("date"), s.sigma_tail_days)).first()[0]
-        head, tail = rows.filter(F.col("date") < F.lit(cutoff)), rows.filter(F.col("date") >= F.lit(cutoff))
-        if not head.isEmpty() and not tail.isEmpty():
+        cutoff = F.date_sub(F.lit(newest), s.sigma_tail_days)
+        head, tail = rows.filter(F.col("date") < cutoff), rows.filter(F.col("date") >= cutoff)
+        if not head.isEmpty():
             probe, checked = pipeline.fit(head), tail
     residual = F.col("units_sold") - F.greatest("raw_prediction", F.lit(0.0))
     sigma = probe.transform(checked).groupBy("sku").agg(F.coalesce(F.stddev_samp(residual), F.lit(0.0)).alias("sigma"))
     return model, sigma
 
 
-def boosted(model, sigma: DataFrame, future: DataFrame, s: Settings = Settings(), scale: DataFrame | None = None) -> DataFrame:
-    """Forecast rows from a fitted pipeline and future features."""
+def fit_boosted(sales: DataFrame, s: Settings = Settings(), codes: DataFrame | None = None, estimate_sigma: bool = True):
+    """Fit one model over all SKUs and estimate each SKU's error on the held-out last days.
+
+    Returns (fitted pipeline, ``sku, sigma`` table).  Runs Spark jobs: the training matrix, written to the shared folder so that
+    a lost executor costs none of it, the cut-off date and the MLlib fits.
+    """
+    return fit_rows(training_matrix(sales, s, codes), s, estimate_sigma)
+
+
+def boosted(model, sigma: DataFrame, future: DataFrame, s: Settings = Settings(), scale: DataFrame | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Forecast rows from a fitted pipeline and future features; ``carry`` names further columns of ``future`` to keep."""
     from larder.operators.features import feature_columns
 
     ready = future.withColumns({c: F.col(c).cast("double") for c in feature_columns(s)}).dropna(subset=feature_columns(s))
@@ -394,4 +396,4 @@ def boosted(model, sigma: DataFrame, future: DataFrame, s: Settings = Settings()
         rows = rows.withColumn("mase_scale", F.lit(None).cast("double"))
     else:
         rows = rows.join(scale.select("as_of", "sku", "mase_scale"), ["as_of", "sku"], "left")
-    return finish(rows, BOOSTED, s)
+    return with_interval(rows.withColumn("model", F.lit(BOOSTED)), s).select(*FORECAST_COLUMNS, *carry)

@@ -6,12 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.functions.accuracy import bias, coverage, mase, non_zero, smape, wape
-from larder.operators.features import future_features, origin_array, weather_series
-from larder.operators.models import (
-    BOOSTED, UNIVARIATE, Model, at_decisions, boosted, fit_boosted, forecast_all, series_state,
-)
+from larder.operators.features import origin_array
+from larder.operators.models import BOOSTED, EVERY, Model, at_decisions, forecast_all, series_state, training_matrix
 from larder.operators.quality import DataQualityError
-from larder.operators.slices import history_as_of, rolling_origins, tiled_origins
+from larder.operators.slices import rolling_origins
+from larder.plans.anchored import dates_of, fit_at, forecast_at, global_future
 from larder.settings import Settings
 
 METRICS = ("sMAPE", "MASE", "WAPE", "bias")
@@ -51,42 +50,44 @@ def numbered(rows: DataFrame, origins: DataFrame) -> DataFrame:
 
 
 def backtest_predictions(
-    sales: DataFrame, s: Settings = Settings(), models: dict[str, Model] | None = None, folds: int | None = None,
+    sales: DataFrame, s: Settings = Settings(), models: dict[str, Model | None] | None = None, folds: int | None = None,
     horizon: int | None = None, skus: DataFrame | None = None,
 ) -> DataFrame:
-    """Predictions with actuals for every fold, SKU and univariate model, in one lazy plan."""
+    """Predictions with actuals for every fold, SKU and model (all six by default).
+
+    The univariate models are one lazy plan.  ``Gradient Boosting`` among ``models`` is fitted on all SKUs, once per fold.
+    """
     folds, horizon = folds or s.folds, horizon or s.horizon_days
+    chosen = EVERY if models is None else models
     origins = rolling_origins(sales, folds, horizon)
     panel = sales if skus is None else sales.join(skus.select("sku"), "sku", "left_semi")
-    forecast = forecast_all(panel, origin_array(origins), horizon, s, models)
-    return numbered(with_actuals(forecast, panel, first_origin(origins)), origins)
+    alone = {name: fn for name, fn in chosen.items() if name != BOOSTED}
+    parts = []
+    if alone:
+        forecast = forecast_all(panel, origin_array(origins), horizon, s, alone)
+        parts.append(numbered(with_actuals(forecast, panel, first_origin(origins)), origins))
+    if BOOSTED in chosen:
+        rows = boosted_backtest(sales, s, folds, horizon)
+        parts.append(rows if skus is None else rows.join(skus.select("sku"), "sku", "left_semi"))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def run_backtest(sales: DataFrame, s: Settings = Settings(), **kw) -> DataFrame:
-    """Metrics per (fold, SKU, model) over the univariate models."""
+    """Metrics per (fold, SKU, model); arguments as for the predictions."""
     return score(backtest_predictions(sales, s, **kw), kw.get("horizon") or s.horizon_days)
 
 
 def boosted_backtest(sales: DataFrame, s: Settings = Settings(), folds: int | None = None, horizon: int | None = None,
                      estimate_sigma: bool = True) -> DataFrame:
-    """Predictions of the global model: one fit per fold (a driver loop over folds, not over data)."""
+    """Predictions of the global model, fitted at every fold's origin from one training matrix."""
     folds, horizon = folds or s.folds, horizon or s.horizon_days
     origins = rolling_origins(sales, folds, horizon)
-    parts = []
-    for row in origins.orderBy("fold").collect():
-        history = history_as_of(sales, row["origin"])
-        model, sigma = fit_boosted(history, s, estimate_sigma=estimate_sigma)
-        at = F.array(F.lit(row["origin"]))
-        scale = at_decisions(series_state(history, at, s))
-        promos = sales.select("sku", "date", "promo") if "promo" in sales.columns else None
-        weather = sales.select("sku", "date", "temp_c")
-        future = future_features(history, at, horizon, s, promos, weather_series(weather))
-        forecast = boosted(model, sigma, future, s, scale)
-        parts.append(numbered(with_actuals(forecast, sales, F.lit(row["origin"])), origins))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    anchored = origins.select(F.col("origin").alias("as_of"), F.col("origin").alias("anchor"))
+    served = dates_of(anchored)
+    fits = fit_at(training_matrix(sales, s), served, s, estimate_sigma)
+    scale = at_decisions(series_state(sales, origin_array(origins), s))
+    forecast = forecast_at(fits, served, global_future(sales, anchored, horizon, s), s, scale)
+    return numbered(with_actuals(forecast, sales, first_origin(origins)), origins)
 
 
 def summary(metrics: DataFrame, by: str = "model") -> DataFrame:
@@ -122,15 +123,6 @@ def legacy_table(metrics: DataFrame, models=("Naive", "Seasonal Naive", "ETS (Ho
     return improvement_vs_benchmark(table)
 
 
-def replay_accuracy(sales: DataFrame, as_of, lookback_days: int = 28, s: Settings = Settings(), models: dict[str, Model] | None = None) -> DataFrame:
-    """Forecasts of the recent past from tiled origins, one row per forecast with its actual."""
-    first = sales.agg(F.min("date")).scalar()
-    origins = tiled_origins(F.lit(as_of), first, lookback_days, s)
-    chosen = {"Seasonal Naive": UNIVARIATE["Seasonal Naive"]} if models is None else models
-    forecast = forecast_all(sales, origins, s.horizon_days, s, chosen)
-    return with_actuals(forecast, sales, F.date_sub(F.lit(as_of), lookback_days + s.horizon_days))
-
-
 def daily_accuracy(scored: DataFrame) -> DataFrame:
     """Totals per date: signed, absolute and percentage error, and the per-SKU absolute error."""
     day = scored.groupBy(F.col("forecast_date").alias("date")).agg(

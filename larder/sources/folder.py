@@ -5,14 +5,26 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def fresh(spark: SparkSession) -> str:
     """A path that does not exist yet, in ``spark.checkpoint.dir``; a local session without one gets a temporary folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        root = held.get() if held.isDefined() else None
     if not root:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="larder-")
+        spark.sparkContext.setCheckpointDir(root)  # one folder a session
     return f"{root.rstrip('/')}/larder-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` as a table in the shared folder, laid out by the columns ``by``; what follows reads it instead of computing it anew."""
+    path = fresh(df.sparkSession)
+    writer = df.write.partitionBy(*by) if by else df.write
+    writer.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
