@@ -137,6 +137,20 @@ def sales_brand(spark, d):
     return enrich(dense(daily_brand(spark, d)))
 
 
+@shared
+def sales_mixed(spark, d):
+    """Smooth and intermittent series side by side: every type and every brand is a product."""
+    return enrich(dense(daily_brand(spark, d).unionByName(daily_type(spark, d))))
+
+
+block("dense_mixed", "SELECT * FROM dense_brand UNION ALL SELECT * FROM dense_type", "dense_brand", "dense_type")
+
+
+@shared
+def econ_mixed(spark, d):
+    return econ(spark, d).unionByName(econ(spark, d, "type"))
+
+
 @shared
 def gappy_type(spark, d):
     """Observed days only."""
