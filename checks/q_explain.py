@@ -107,12 +107,12 @@ def e13(spark, d):
     return explain.aggregate_drivers(drivers(spark, d))
 
 
-SAY = f"""CASE feature WHEN 'weekend' THEN CASE WHEN value <> 0 THEN 'It is a Friday-to-Sunday trading day' ELSE 'It is a midweek day' END WHEN 'bank_holiday' THEN CASE WHEN value <> 0 THEN 'It is a bank holiday' ELSE 'It is not a bank holiday' END
- WHEN 'school_holiday' THEN CASE WHEN value <> 0 THEN 'It falls in the school holidays' ELSE 'It is term time' END WHEN 'is_closed' THEN CASE WHEN value <> 0 THEN 'The site is closed that day' ELSE 'The site is trading' END
- WHEN 'promo' THEN CASE WHEN value <> 0 THEN 'A promotion is running' ELSE 'No promotion is running' END WHEN 'temp_c' THEN 'Forecast temperature of ' || {w('value')} || '°C (typical is ' || {w('reference_value')} || '°C)'
- WHEN 'dow' THEN 'It is a ' || ['Monday', 'Tuesday', 'Wednesday', 'Thursday', 'Friday', 'Saturday', 'Sunday'][CAST(value AS INTEGER) + 1] WHEN 'lag7' THEN 'Demand 7 days ago was ' || {w('value')} || ' units'
- WHEN 'lag14' THEN 'Demand 14 days ago was ' || {w('value')} || ' units' ELSE 'The 28-day average is ' || {w('value')} || ' units/day' END || ', which ' || CASE WHEN contribution_units > 0 THEN 'increased' ELSE 'reduced' END ||
- ' the forecast by about ' || {w('abs(contribution_units)')} || ' units.'"""
+SAY = f"""CASE feature WHEN 'weekend' THEN CASE WHEN value <> 0 THEN 'Weekend trading (Fri-Sun)' ELSE 'Trading from Monday to Thursday' END WHEN 'bank_holiday' THEN CASE WHEN value <> 0 THEN 'Public holiday' ELSE 'No public holiday' END
+ WHEN 'school_holiday' THEN CASE WHEN value <> 0 THEN 'Schools closed' ELSE 'Schools open' END WHEN 'is_closed' THEN CASE WHEN value <> 0 THEN 'No trading that day' ELSE 'Open as usual' END
+ WHEN 'promo' THEN CASE WHEN value <> 0 THEN 'On promotion' ELSE 'At normal price' END WHEN 'temp_c' THEN 'Temperature ' || {w('value')} || '°C (usually ' || {w('reference_value')} || '°C)'
+ WHEN 'dow' THEN 'Falls on ' || ['Monday', 'Tuesday', 'Wednesday', 'Thursday', 'Friday', 'Saturday', 'Sunday'][CAST(value AS INTEGER) + 1] WHEN 'lag7' THEN 'Sold a week before: ' || {w('value')} || ' units'
+ WHEN 'lag14' THEN 'Sold two weeks before: ' || {w('value')} || ' units' ELSE 'Four-week mean: ' || {w('value')} || ' units/day' END || '; this ' || CASE WHEN contribution_units > 0 THEN 'adds' ELSE 'removes' END ||
+ ' some ' || {w('abs(contribution_units)')} || ' units.'"""
 
 
 @query("m5_driver_sentences", f"SELECT as_of, sku, date, feature, {SAY} AS text FROM drivers", ["drivers"], dates=["as_of", "date"])
@@ -120,17 +120,23 @@ def m5(spark, d):
     return drivers(spark, d).select("as_of", "sku", "date", "feature", explain.describe_driver().alias("text"))
 
 
-@query("m5_narratives", f"""SELECT as_of, sku, date, length(any_value(h)) + CAST(sum(length(t) + 5) AS BIGINT) AS n_chars FROM (SELECT as_of, sku, date, {SAY} AS t, strftime(date, '%d %b') || ' (' || strftime(date, '%A') ||
- CASE WHEN date IN ({P.H_SQL}) THEN ', bank holiday' ELSE '' END || CASE WHEN {P.SCHOOL_SQL.format(d='date')} = 1 THEN ', school holiday' ELSE '' END || CASE WHEN date IN ({P.C_SQL}) THEN ', site closed' ELSE '' END || ')' ||
- ': forecast ' || {w('predicted')} || ' units against a typical midweek level of ' || {w('reference_prediction')} || ' units. The factors that contributed most:' AS h FROM {TOP} WHERE rank <= 10) GROUP BY 1, 2, 3""",
+HEAD = f"""strftime(date, '%d %b') || ' (' || strftime(date, '%A') || CASE WHEN date IN ({P.H_SQL}) THEN ', bank holiday' ELSE '' END ||
+ CASE WHEN {P.SCHOOL_SQL.format(d='date')} = 1 THEN ', school holiday' ELSE '' END || CASE WHEN date IN ({P.C_SQL}) THEN ', site closed' ELSE '' END || ')' ||
+ ': expecting ' || {w('predicted')} || ' units; a neutral day would see ' || {w('reference_prediction')} || '. Main drivers:'"""
+
+
+# Sizes are brought to seven decimals on both sides, so that equal drivers come in the order of their names.
+@query("m5_narratives", f"""SELECT as_of, sku, date, any_value(h) || string_agg(chr(10) || '  - ' || t, '' ORDER BY rank) AS narrative FROM (
+ SELECT as_of, sku, date, {SAY} AS t, {HEAD} AS h, row_number() OVER (PARTITION BY as_of, sku, date ORDER BY round(abs(contribution_units), 7) DESC, feature) AS rank FROM drivers) GROUP BY 1, 2, 3""",
        ["drivers"], dates=["as_of", "date"])
 def m5b(spark, d):
-    """Narratives over all drivers, compared by length: order among equal drivers is free."""
-    return explain.narratives(drivers(spark, d), 10, S).select("as_of", "sku", "date", F.length("narrative").cast("bigint").alias("n_chars"))
+    """Narratives over all drivers, as text."""
+    rounded = drivers(spark, d).withColumn("contribution_units", F.round("contribution_units", 7))
+    return explain.narratives(rounded, 10, S)
 
 
-@query("m6_croston_notes", f"""SELECT origin AS as_of, sku, 'Croston (SBA)' AS model, 'This product sells intermittently, so demand is modelled as a rate rather than a daily pattern. Recent orders averaged ' || {f1('size')} || ' units roughly every ' || {f1('gap')}
- || ' days, giving about ' || printf('%.2f', round_even(size / gap * 0.95, 2)) || ' units per day using the bias-corrected (SBA) Croston method. Calendar and weather effects are not used for this product because there is too little non-zero demand to estimate them reliably.' AS note
+@query("m6_croston_notes", f"""SELECT origin AS as_of, sku, 'Croston (SBA)' AS model, 'Sales come in bursts, so one daily rate is forecast. Typical sale: ' || {f1('size')} || ' units, about every ' || {f1('gap')}
+ || ' days; rate ' || printf('%.2f', round_even(size / gap * 0.95, 2)) || ' units a day (Croston, corrected). Dates, weather and prices play no part.' AS note
  FROM bt_croston""", ["bt_croston"], dates=["as_of"])
 def m6(spark, d):
     sales = brand(spark, d)
@@ -138,8 +144,8 @@ def m6(spark, d):
     return explain.croston_note(models.croston_parameters(state, S))
 
 
-@query("m6_simple_notes", """SELECT as_of, sku, model, arg_min(predicted_demand, step) AS predicted, avg(predicted_demand) AS reference_prediction, CASE model WHEN 'Naive' THEN 'The forecast repeats the most recent day''s demand.'
- WHEN 'Seasonal Naive' THEN 'The forecast repeats the same weekday from the previous week.' ELSE 'Forecast produced by ' || model || '.' END AS note FROM bt_forecast GROUP BY 1, 2, 3""", ["bt_forecast"],
+@query("m6_simple_notes", """SELECT as_of, sku, model, arg_min(predicted_demand, step) AS predicted, avg(predicted_demand) AS reference_prediction, CASE model WHEN 'Naive' THEN 'Last observed day, carried forward.'
+ WHEN 'Seasonal Naive' THEN 'Each weekday as in the last cycle.' ELSE 'Model: ' || model || '.' END AS note FROM bt_forecast GROUP BY 1, 2, 3""", ["bt_forecast"],
        dates=["as_of"], doubles=["predicted", "reference_prediction"])
 def m6b(spark, d):
     return explain.simple_note(h2(spark, d))

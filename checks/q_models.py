@@ -279,8 +279,8 @@ def j12(spark, d):
     return segs(spark, d)
 
 
-DESCRIBE = """segment || ': ' || CASE abc WHEN 'A' THEN 'high-value' WHEN 'B' THEN 'mid-value' ELSE 'low-value' END || ' item with ' ||
- CASE xyz WHEN 'X' THEN 'stable, predictable demand' WHEN 'Y' THEN 'moderately variable demand' ELSE 'erratic or intermittent demand' END"""
+DESCRIBE = """segment || ': ' || CASE abc WHEN 'A' THEN 'top-value' WHEN 'B' THEN 'mid-value' ELSE 'low-value' END || ' product, ' ||
+ CASE xyz WHEN 'X' THEN 'steady demand' WHEN 'Y' THEN 'changeable demand' ELSE 'irregular demand' END"""
 
 
 @query("j13_segment_description", f"SELECT sku, {DESCRIBE} AS text, zero_day_share > 0 AND xyz = 'Z' AS intermittent FROM segs", ["segs"])
@@ -300,10 +300,10 @@ def e19(spark, d):
 
 
 CHOICE_SQL = f"""SELECT sku, CASE WHEN zero_day_share >= 0.25 THEN 'Croston (SBA)' WHEN days < 60 THEN 'Seasonal Naive' ELSE 'Gradient Boosting' END AS model_name,
- CASE WHEN zero_day_share >= 0.25 THEN CAST(round_even(zero_day_share * 100, 0) AS BIGINT) || '% of days have no demand, above the 25% intermittency threshold. A Croston-family method forecasts the demand rate instead of fitting a curve through the zeros; the SBA variant removes the known upward bias of classic Croston.'
- WHEN days < 60 THEN 'Only ' || days || ' days of history are available, fewer than the 60 required to train the machine learning model. The previous week is repeated until more data exists.'
- ELSE 'Demand is ' || CASE WHEN xyz = 'X' THEN 'stable' ELSE 'variable but continuous' END || ' (coefficient of variation ' || printf('%.2f', round_even(demand_cv, 2)) || ', ' ||
- CAST(round_even(zero_day_share * 100, 0) AS BIGINT) || '% zero-demand days). The gradient-boosting model can use day of week, holidays, weather and recent demand for this SKU.' END AS reason,
+ CASE WHEN zero_day_share >= 0.25 THEN CAST(round_even(zero_day_share * 100, 0) AS BIGINT) || '% of days without sales reach the limit of 25%: one daily rate is forecast (Croston, corrected).'
+ WHEN days < 60 THEN 'History of ' || days || ' days is shorter than the 60 that the global model needs; the last cycle is repeated.'
+ ELSE 'Served by the global model: ' || CASE WHEN xyz = 'X' THEN 'steady' ELSE 'changeable but regular' END || ' sales (CV ' || printf('%.2f', round_even(demand_cv, 2)) || ', ' ||
+ CAST(round_even(zero_day_share * 100, 0) AS BIGINT) || '% days without sales).' END AS reason,
  segment, 'rule' AS strategy, '2001-07-02' AS selected_at FROM segs, (SELECT date_diff('day', min(date), {A}) AS days FROM dense_brand)"""
 block("choices", CHOICE_SQL, "segs", "dense_brand")
 
@@ -331,9 +331,9 @@ block("val_scores", """SELECT sku, model, avg(w) AS wape FROM (SELECT as_of, sku
  FROM vl_scored WHERE model IN ('Seasonal Naive', 'Croston (SBA)') GROUP BY 1, 2, 3 HAVING count(*) = 7) GROUP BY 1, 2 HAVING avg(w) IS NOT NULL""", "vl_scored")
 
 
-@query("j15_validated_choices", f"""SELECT s.sku, r.model AS model_name, 'Selected by a 4-fold rolling-origin comparison on history before 2001-07-02: lowest WAPE at ' || printf('%.1f', round_even(r.wape, 1)) || '%'
- || CASE WHEN r.next_model IS NULL THEN '' ELSE ', ' || printf('%.1f', round_even(r.next_wape - r.wape, 1)) || ' percentage points better than the next best (' || r.next_model || ')' END
- || '. Segment ' || s.segment || ' (' || split_part({DESCRIBE}, ': ', 2) || ').' AS reason, s.segment, 'validated' AS strategy, '2001-07-02' AS selected_at FROM segs s JOIN (
+@query("j15_validated_choices", f"""SELECT s.sku, r.model AS model_name, 'Least error of the candidates over 4 past periods before 2001-07-02: WAPE ' || printf('%.1f', round_even(r.wape, 1)) || '%'
+ || CASE WHEN r.next_model IS NULL THEN '' ELSE ', ' || printf('%.1f', round_even(r.next_wape - r.wape, 1)) || ' points below the next (' || r.next_model || ')' END
+ || '; class ' || s.segment || ' (' || split_part({DESCRIBE}, ': ', 2) || ').' AS reason, s.segment, 'validated' AS strategy, '2001-07-02' AS selected_at FROM segs s JOIN (
  SELECT sku, model, wape, lead(model) OVER w AS next_model, lead(wape) OVER w AS next_wape, row_number() OVER w AS rn FROM val_scores WINDOW w AS (PARTITION BY sku ORDER BY wape, model)) r
  ON r.sku = s.sku AND r.rn = 1""", ["segs", "val_scores"])
 def j15(spark, d):

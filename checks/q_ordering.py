@@ -318,38 +318,37 @@ EVENTS = f"""(SELECT concat_ws(', ', CASE WHEN count(*) FILTER (isodow(x) >= 5)
  CASE WHEN count(*) FILTER (x IN ({P.H_SQL})) > 0 THEN 'a bank holiday (' || strftime(min(x) FILTER (x IN ({P.H_SQL})), '%d %b') || ')' END,
  CASE WHEN max({P.SCHOOL_SQL.format(d='x')}) = 1 THEN 'school holidays' END) FROM (SELECT as_of + CAST(h AS INTEGER) AS x FROM unnest(generate_series(0, 6)) AS t(h)))"""
 CHANGE = "((mean - usage) / usage * 100)"
-DEMAND = f"""CASE WHEN coalesce(usage, 0) <= 0 THEN 'Expected demand is ' || {w('mean')} || ' units/day over the next 7 days.'
- WHEN abs({CHANGE}) >= 5 THEN 'Expected demand of ' || {w('mean')} || ' units/day over the next 7 days is ' || {w(f'abs({CHANGE})')} || '% ' || CASE WHEN {CHANGE} > 0 THEN 'higher' ELSE 'lower' END || ' than the recent average of ' || {w('usage')} || ' units/day.'
- ELSE 'Expected demand of ' || {w('mean')} || ' units/day is in line with the recent average of ' || {w('usage')} || ' units/day.' END"""
-HEAD = f"""CASE WHEN q > 0 THEN 'Order ' || {w('q')} || ' units of ' || sku || ' (about £' || printf('%,.2f', round_even(q * unit_cost, 2)) || ').'
- ELSE 'No order needed for ' || sku || ': stock of ' || {w('pos')} || ' units already covers the target of ' || {w('target')} || '.' END"""
+DEMAND = f"""CASE WHEN coalesce(usage, 0) <= 0 THEN 'Forecast: ' || {w('mean')} || ' units a day for 7 days.'
+ WHEN abs({CHANGE}) >= 5 THEN 'Forecast of ' || {w('mean')} || ' units a day for 7 days: ' || {w(f'abs({CHANGE})')} || '% ' || CASE WHEN {CHANGE} > 0 THEN 'above' ELSE 'below' END || ' the recent mean of ' || {w('usage')} || '.'
+ ELSE 'Forecast of ' || {w('mean')} || ' units a day, close to the recent mean of ' || {w('usage')} || '.' END"""
+HEAD = f"""CASE WHEN q > 0 THEN 'Buy ' || {w('q')} || ' x ' || sku || ', roughly £' || printf('%,.2f', round_even(q * unit_cost, 2)) || '.'
+ ELSE 'Nothing to buy for ' || sku || ': ' || {w('pos')} || ' units in stock and on the way reach the target ' || {w('target')} || '.' END"""
 
 
-@query("m8_order_headline_and_demand", f"""SELECT as_of, sku, {DEMAND} AS demand, 'The period ahead includes ' || {EVENTS} || ', which the forecast has taken into account.' AS ahead FROM rec""",
+@query("m8_order_headline_and_demand", f"""SELECT as_of, sku, {DEMAND} AS demand, 'Days ahead with effects in the forecast: ' || {EVENTS} || '.' AS ahead FROM rec""",
        ["rec"], dates=["as_of"])
 def m8(spark, d):
     out = explain.explain_recommendations(recs(spark, d), S)
     return out.select("as_of", "sku", F.col("demand_reason")[0].alias("demand"), F.col("demand_reason")[1].alias("ahead"))
 
 
-@query("m8_order_cover", f"""SELECT as_of, sku, concat_ws('|', 'Current stock of ' || {w('on_hand')} || ' units covers approximately ' || CASE WHEN cover IS NULL THEN 'an indefinite period' ELSE {f1('cover')} || ' days' END || ' of forecast demand.',
- CASE WHEN on_order > 0 THEN 'A further ' || {w('on_order')} || ' units are already on order, giving an inventory position of ' || {w('pos')} || ' units.' END,
- 'The target stock of ' || {w('target')} || ' units covers the ' || (lead + review) || '-day protection period (2-day supplier lead time plus ' || review || CASE WHEN review = 1 THEN ' day' ELSE ' days' END ||
- ' until the next delivery), which needs about ' || {w('expected')} || ' units, plus ' || {w('safety')} || ' units of safety stock for a ' || {w('level * 100')} || '% service level.',
- 'This is a ' || {DESCRIBE} || ', so it is held to a ' || {w('level * 100')} || '% availability target.') AS cover_text FROM rec""", ["rec"], dates=["as_of"])
+@query("m8_order_cover", f"""SELECT as_of, sku, concat_ws('|', 'On hand: ' || {w('on_hand')} || ' units, enough for ' || CASE WHEN cover IS NULL THEN 'any time ahead' ELSE {f1('cover')} || ' days' END || '.',
+ CASE WHEN on_order > 0 THEN 'On order: ' || {w('on_order')} || ' units more, ' || {w('pos')} || ' in all.' END,
+ 'Target: ' || {w('target')} || ' units = ' || {w('expected')} || ' for ' || (lead + review) || ' days (2 of lead time, ' || review || ' to the next delivery) + ' || {w('safety')} || ' of safety stock at ' || {w('level * 100')} || '% service.',
+ 'Class ' || {DESCRIBE} || '; served at ' || {w('level * 100')} || '%.') AS cover_text FROM rec""", ["rec"], dates=["as_of"])
 def m8b(spark, d):
     return explain.explain_recommendations(recs(spark, d), S).select("as_of", "sku", F.array_join("cover_reason", "|").alias("cover_text"))
 
 
 @query("m8_order_constraints_and_risk", f"""SELECT as_of, sku, {HEAD} AS headline, concat_ws('|', CASE WHEN raw > 0 AND (abs(raw - q1) > 1e-9 OR abs(q1 - q2) > 1e-9 OR abs(q2 - q3) > 1e-9 OR abs(q3 - q) > 1e-9) THEN
- 'The unconstrained calculation was ' || {w('raw')} || ' units (target ' || {w('target')} || ' less inventory position ' || {w('pos')} || '); the following adjustments were applied:' END,
- CASE WHEN abs(raw - q1) > 1e-9 THEN 'Reduced to what can be used within the ' || shelf_life_days || '-day usable shelf life after delivery; ordering more would expire before it is sold.' END,
- CASE WHEN abs(q1 - q2) > 1e-9 THEN 'Capped at 14 days of expected demand as a guardrail against an over-stated forecast.' END,
- CASE WHEN abs(q2 - q3) > 1e-9 THEN 'Rounded to whole cases of ' || pack_size || ' (nearest rounding).' END,
- CASE WHEN abs(q3 - q) > 1e-9 THEN 'Raised to the supplier minimum order quantity of ' || min_order_quantity || '.' END) AS constraints,
- concat_ws('|', CASE WHEN stockout_risk <> 'low' THEN 'Stockout risk is ' || stockout_risk || ': there is roughly a ' || {w('prob * 100')} || '% chance demand over the protection period exceeds available stock.' END,
- CASE WHEN waste_risk <> 'low' THEN 'Waste risk is ' || waste_risk || ': about ' || {w('waste')} || ' units may not be used within the ' || shelf_life_days || '-day shelf life.' END,
- CASE WHEN risk = 'low' THEN 'Stockout and waste risks are both low at this quantity (stockout probability ' || {w('prob * 100')} || '%).' END) AS risks FROM rec""", ["rec"], dates=["as_of"])
+ 'Before limits: ' || {w('raw')} || ' units (target ' || {w('target')} || ' minus ' || {w('pos')} || '). Limits applied:' END,
+ CASE WHEN abs(raw - q1) > 1e-9 THEN 'Cut to what sells within ' || shelf_life_days || ' days of usable life.' END,
+ CASE WHEN abs(q1 - q2) > 1e-9 THEN 'Cut to 14 days of forecast demand.' END,
+ CASE WHEN abs(q2 - q3) > 1e-9 THEN 'Set to full packs of ' || pack_size || ' (nearest).' END,
+ CASE WHEN abs(q3 - q) > 1e-9 THEN 'Lifted to the least order of ' || min_order_quantity || '.' END) AS constraints,
+ concat_ws('|', CASE WHEN stockout_risk <> 'low' THEN 'Stockout risk ' || stockout_risk || ': chance ' || {w('prob * 100')} || '% of running short before the next delivery.' END,
+ CASE WHEN waste_risk <> 'low' THEN 'Waste risk ' || waste_risk || ': some ' || {w('waste')} || ' units may outlive their ' || shelf_life_days || ' days.' END,
+ CASE WHEN risk = 'low' THEN 'Low risk of stockout (' || {w('prob * 100')} || '%) and of waste.' END) AS risks FROM rec""", ["rec"], dates=["as_of"])
 def m8c(spark, d):
     out = explain.explain_recommendations(recs(spark, d), S)
     return out.select("as_of", "sku", "headline", F.array_join("constraint_reason", "|").alias("constraints"), F.array_join("risk_reason", "|").alias("risks"))

@@ -150,17 +150,16 @@ def constrain(df: DataFrame, s: Settings = Settings(), enforce_shelf_life: bool
     final = F.when(F.col("q_pack") > 0, F.greatest(F.col("q_pack"), least)).otherwise(0.0)
     steps = settled(steps, {"recommended_order_quantity": final})
     usable = usable_life("shelf_life_days", s.usable_fraction)
-    # Adjustment names and the wording of their notes.
+    # Adjustment names.
     notes = {
         "shelf_life_cap": ("raw_order_quantity", "q_life", F.concat(
-            F.lit("Reduced to what can be used within the "), whole(usable),
-            F.lit("-day usable shelf life after delivery; ordering more would expire before it is sold."))),
+            F.lit("Cut to what sells within "), whole(usable), F.lit(" days of usable life."))),
         "max_days_of_supply": ("q_life", "q_supply", F.lit(
-            f"Capped at {s.max_days_of_supply:.0f} days of expected demand as a guardrail against an over-stated forecast.")),
+            f"Cut to {s.max_days_of_supply:.0f} days of forecast demand.")),
         "pack_rounding": ("q_supply", "q_pack", F.concat(
-            F.lit("Rounded to whole cases of "), F.col("pack_size").cast("string"), F.lit(f" ({s.pack_rounding} rounding)."))),
+            F.lit("Set to full packs of "), F.col("pack_size").cast("string"), F.lit(f" ({s.pack_rounding})."))),
         "min_order_quantity": ("q_pack", "recommended_order_quantity", F.concat(
-            F.lit("Raised to the supplier minimum order quantity of "), F.col("min_order_quantity").cast("string"), F.lit("."))),
+            F.lit("Lifted to the least order of "), F.col("min_order_quantity").cast("string"), F.lit("."))),
     }
     changes = F.array(*[
         F.struct(F.lit(name).alias("name"), F.col(a).alias("before"), F.col(b).alias("after"), text.alias("note"))
