@@ -63,6 +63,17 @@ def a5(spark, d):
     return store.replace_rows(old, new, ["sku", "date"])
 
 
+@query("a5_store_upsert", """SELECT sku, date, CASE WHEN day(date) <= 7 AND year(date) = 1998 THEN units_sold * 2 ELSE units_sold END AS units_sold, promo FROM gappy_type""",
+       ["gappy_type"], dates=["date"], doubles=["units_sold"])
+def a5_store(spark, d):
+    """The panel saved, then the first week of every month of a year saved again: only those months are read and written."""
+    kept, panel = store.Store(spark, folder.fresh(spark)), P.gappy_type(spark, d)
+    kept.save_sales(panel)
+    again = panel.filter((F.dayofmonth("date") <= 7) & (F.year("date") == 1998))
+    kept.save_sales(again.withColumn("units_sold", F.col("units_sold") * 2))
+    return kept.load_table("sales").select("sku", "date", "units_sold", "promo")
+
+
 @query("a6_append_rows", """SELECT o_orderpriority AS sku, count(*) AS lines, sum(o_totalprice * 2) AS quantity FROM orders GROUP BY 1""", doubles=["quantity"])
 def a6(spark, d):
     """Overrides recorded in two batches: appended, nothing replaced."""

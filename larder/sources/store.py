@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+import json
+import re
+import uuid
+
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.operators.kpi import KPI_KEYS
 from larder.operators.ordering import recommendation_table
 from larder.operators.quality import DataQualityError
+from larder.sources.folder import written
 
 # Table columns and keys.
 TABLES = {
@@ -92,44 +97,113 @@ def replace_rows(old: DataFrame | None, new: DataFrame, keys: list[str], version
     return picked.select(*keys, "r.*").select(*new.columns)
 
 
+#: Hash partitions of a table whose key holds no date.
+BUCKETS = 64
+
+
+def part_of(table: str) -> Column:
+    """The partition of a row: the month of the first date in its key, else a bucket of the key."""
+    dates = [k for k in keys_of(table) if k in ("date", "forecast_date", "as_of", "ordered_on")]
+    if dates:
+        return F.coalesce(F.date_format(F.col(dates[0]).cast("date"), "yyyy-MM"), F.lit("none"))
+    return F.pmod(F.xxhash64(*keys_of(table)), F.lit(BUCKETS)).cast("string")
+
+
 class Store:
     """Tables under one folder of the shared file system.
 
-    Saving appends rows with a version stamp; reading keeps the newest row of each key.  Nothing is
-    overwritten, so a job lost half way leaves the last complete state readable.
+    A table is a list of partition folders, kept in a small numbered file; the newest number is the table.  Saving reads and writes
+    only the partitions that the new rows fall in, beside the old ones, and then adds the next number in one step: a job lost half way
+    leaves the last complete state, and of two writers the second starts over on what the first left.  A read scans every row once.
     """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _read(self, table: str) -> DataFrame | None:
+    # -- the list of partition folders ---------------------------------------------------------------
+
+    def _path(self, *parts: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.root, *parts]))
+
+    def _files(self):
+        return self._path().getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def manifest(self, table: str) -> tuple[int, dict[str, list[str]]]:
+        """Newest number and its partitions; 0 and none without data.  One entry per partition, and one per batch of an append-only table."""
+        files, folder = self._files(), self._path(table, "manifest")
+        found = [s.getPath().getName() for s in files.listStatus(folder)] if files.exists(folder) else []
+        numbers = [int(name.removesuffix(".json")) for name in found if name.endswith(".json")]
+        if not numbers:
+            return 0, {}
+        text = self.spark.read.text(f"{self.root}/{table}/manifest/{max(numbers):09d}.json", wholetext=True).first()[0]
+        return max(numbers), json.loads(text)
+
+    def _commit(self, table: str, number: int, entries: dict[str, list[str]]) -> bool:
+        """Add a numbered list; False if someone else took the number."""
+        jvm = self.spark._jvm
+        staged = self._path(table, "manifest", f"staged-{uuid.uuid4().hex}")
+        out = self._files().create(staged, False)
+        out.write(json.dumps(entries, sort_keys=True).encode())
+        out.close()
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(staged.toUri(), self.spark._jsc.hadoopConfiguration())
+        plain = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)  # no overwriting
         try:
-            return self.spark.read.parquet(f"{self.root}/{table}")
-        except AnalysisException:
-            return None
+            context.rename(staged, self._path(table, "manifest", f"{number:09d}.json"), plain)
+        except Py4JJavaError as error:
+            self._files().delete(staged, False)
+            if "FileAlreadyExists" in error.java_exception.getClass().getName():
+                return False
+            raise
+        return True
 
     def tables(self) -> list[str]:
         """Names of the tables that hold data."""
-        return sorted(t for t in TABLES if self._read(t) is not None)
+        return sorted(t for t in TABLES if self.manifest(t)[0])
 
     def load_table(self, table: str) -> DataFrame:
-        rows = self._read(table) if table in TABLES else None
-        if rows is None:
+        entries = self.manifest(table)[1] if table in TABLES else {}
+        if not entries:
             raise DataQualityError(f"no table {table!r}; available: {self.tables()}")
-        keys = keys_of(table)
-        if not keys:
-            return rows
-        return replace_rows(None, rows, keys, "saved_at").drop("saved_at")
+        return self.spark.read.parquet(*[p for part in sorted(entries) for p in entries[part]]).select(*columns_of(table))
 
-    def replace(self, table: str, new: DataFrame) -> None:
-        """Insert or replace by the table's key."""
-        self.append(table, new, stamp=True)
+    def _write(self, table: str, rows: DataFrame) -> str:
+        folder = f"{self.root}/{table}/data/{uuid.uuid4().hex}"
+        rows.hint("rebalance", "part").write.partitionBy("part").parquet(folder)
+        return folder
 
-    def append(self, table: str, new: DataFrame, stamp: bool = False) -> None:
-        rows = new.select(*columns_of(table))
-        if stamp:
-            rows = rows.withColumn("saved_at", F.current_timestamp())
-        rows.write.mode("append").parquet(f"{self.root}/{table}")
+    def replace(self, table: str, new: DataFrame) -> None:
+        """Insert or replace by the table's key; partitions without new rows are not read."""
+        rows = written(new.select(*columns_of(table)).withColumn("part", part_of(table)))
+        touched = [r["part"] for r in rows.select("part").distinct().collect()]
+        while touched:
+            number, entries = self.manifest(table)
+            paths = [p for part in touched for p in entries.get(part, [])]
+            old = self.spark.read.parquet(*paths).select(*columns_of(table)) if paths else None
+            merged = replace_rows(old, rows.drop("part"), keys_of(table))
+            folder = self._write(table, merged.withColumn("part", part_of(table)))
+            if self._commit(table, number + 1, entries | {part: [f"{folder}/part={part}"] for part in touched}):
+                break
+
+    def append(self, table: str, new: DataFrame) -> None:
+        """Add a batch of rows; nothing is replaced."""
+        folder = self._write(table, new.select(*columns_of(table)).withColumn("part", F.lit("rows")))
+        path = f"{folder}/part=rows"
+        if not self._files().exists(self.spark._jvm.org.apache.hadoop.fs.Path(path)):
+            return  # an empty batch
+        while True:
+            number, entries = self.manifest(table)
+            if self._commit(table, number + 1, {"rows": [*entries.get("rows", []), path]}):
+                break
+
+    def expire(self, table: str) -> int:
+        """Delete the folders that the newest list does not name, once no reader needs them; how many went."""
+        number, entries = self.manifest(table)
+        kept = {p.split("/data/")[1].split("/")[0] for paths in entries.values() for p in paths}
+        files, folder = self._files(), self._path(table, "data")
+        gone = [s.getPath() for s in files.listStatus(folder) if s.getPath().getName() not in kept] if number else []
+        for path in gone:
+            files.delete(path, True)
+        return len(gone)
 
     # -- writes ----------------------------------------------------------------------------------
 
@@ -162,9 +236,10 @@ class Store:
     # -- reads -----------------------------------------------------------------------------------
 
     def read(self, query: str, params: dict | None = None) -> DataFrame:
-        """A parameterised query over the stored tables."""
-        for name in self.tables():
-            self.load_table(name).createOrReplaceTempView(name)
+        """A parameterised query over the stored tables it names."""
+        for name in TABLES:
+            if re.search(rf"\b{name}\b", query) and self.manifest(name)[0]:
+                self.load_table(name).createOrReplaceTempView(name)
         return self.spark.sql(query, args=params or {})
 
     def load_overrides(self, run_id: str | None = None) -> DataFrame:
@@ -196,8 +271,6 @@ def checked_overrides(overrides: DataFrame) -> DataFrame:
 
 
 def run_header(kpis: DataFrame, run_id: str, start, end, config: dict | None = None) -> DataFrame:
-    import json
-
     text = json.dumps(config or {}, default=str, sort_keys=True)
     return kpis.select(
         F.lit(run_id).alias("run_id"), "strategy", F.lit(start).cast("date").alias("start_date"),
