@@ -144,6 +144,32 @@ def origin_array(origins: DataFrame, column: str = "origin") -> Column:
     return origins.agg(F.array_sort(F.collect_set(column)).alias("origins")).scalar()
 
 
+def lag_state(sales: DataFrame, origins: Column, s: Settings = Settings()) -> DataFrame:
+    """``as_of, sku, newest, roll.., by_weekday, recent``: what each series' lags are looked up in, per decision.
+
+    A day says only to which decisions it is the newest day, the newest of its weekday or one of the last days; days that matter to
+    none are dropped at once, and a decision gathers seven weekdays and the few days that lags reach.
+    """
+    frame = with_cuts(sales.select("sku", "date", "units_sold"), origins)
+    day, furthest = F.weekday("date"), max(s.lags)
+    again = Window.partitionBy("sku", F.weekday("date")).orderBy("date")
+    frame = frame.withColumns({**{f"roll{n}": rolling_mean(n, upto=0) for n in s.rolls}, "_again": F.lead("date").over(again), "_origins": origins})
+    first, last = F.try_element_at("_origins", F.lit(1)), F.try_element_at("_origins", F.lit(-1))
+    served = (F.col("date") < last) & (F.col("_again").isNull() | (F.col("_again") >= first) | (F.date_add("date", furthest) >= first))
+    after = lambda o: o > F.col("date")
+    weekdays = F.filter("_origins", lambda o: after(o) & (F.col("_again").isNull() | (o <= F.col("_again"))))
+    lately = F.filter("_origins", lambda o: after(o) & (o <= F.date_add("date", furthest)))
+    named = lambda dates, kind: F.transform(dates, lambda o: F.struct(o.alias("as_of"), F.lit(kind).alias("kind")))
+    uses = F.concat(named("cuts", "newest"), named(weekdays, "weekday"), named(lately, "day"))
+    used = frame.filter(served).select("sku", "date", "units_sold", *[f"roll{n}" for n in s.rolls], F.inline(uses))
+    only = lambda kind, value: F.when(F.col("kind") == kind, value)
+    gathered = lambda kind, key: F.map_from_entries(F.collect_list(only(kind, F.struct(key.alias("k"), F.col("units_sold").alias("v")))))
+    return used.groupBy("as_of", "sku").agg(
+        F.max(only("newest", F.col("units_sold"))).alias("newest"), *[F.max(only("newest", F.col(f"roll{n}"))).alias(f"roll{n}") for n in s.rolls],
+        gathered("weekday", day).alias("by_weekday"), gathered("day", F.col("date")).alias("recent"),
+    )
+
+
 def future_features(
     sales: DataFrame, origins: Column, horizon: int, s: Settings = Settings(), promos: DataFrame | None = None,
     weather: DataFrame | None = None, codes: DataFrame | None = None,
@@ -153,24 +179,11 @@ def future_features(
     Lags come from demand seen before ``as_of`` only: the day itself when it was observed, else the
     newest same weekday, else the newest value.  Rolling means are frozen at ``as_of``.
     """
-    furthest = max(s.lags)
-    frame = with_cuts(sales.select("sku", "date", "units_sold"), origins)
-    upto = by_day().rowsBetween(Window.unboundedPreceding, 0)
-    near = Window.partitionBy("sku").orderBy(F.unix_date("date")).rangeBetween(-furthest, 0)
-    weekday = F.weekday("date")
-    frame = frame.withColumns(
-        {
-            "newest": F.last("units_sold").over(upto),
-            "by_weekday": F.array(*[F.last(F.when(weekday == k, F.col("units_sold")), True).over(upto) for k in range(7)]),
-            "recent": F.map_from_entries(F.collect_list(F.struct("date", "units_sold")).over(near)),
-            **{f"roll{n}": rolling_mean(n, upto=0) for n in s.rolls},
-        }
-    )
-    state = frame.filter(F.size("cuts") > 0).withColumn("as_of", F.explode("cuts")).drop("date", "units_sold", "cuts")
+    state = lag_state(sales, origins, s)
     rows = horizon_rows(state, horizon)
     for k in s.lags:
         wanted = F.date_sub("forecast_date", k)
-        same_weekday = F.element_at("by_weekday", F.weekday(wanted) + 1)
+        same_weekday = F.try_element_at("by_weekday", F.weekday(wanted))
         rows = rows.withColumn(f"lag{k}", F.coalesce(F.try_element_at("recent", wanted), same_weekday, "newest"))
     rows = rows.withColumns(calendar_columns("forecast_date", s)).drop("newest", "by_weekday", "recent")
     rows = with_temperature(rows, weather_series(sales) if weather is None else weather, s)
@@ -187,14 +200,21 @@ def future_features(
 
 def trailing_usage(sales: DataFrame, origins: Column, days: int) -> DataFrame:
     """``as_of, sku, usage``: mean demand over the last ``days`` days; of all history when that is empty."""
-    near = Window.partitionBy("sku").orderBy(F.unix_date("date"))
-    frame = with_cuts(sales.select("sku", "date", "units_sold"), origins)
-    ever = F.avg("units_sold").over(by_day().rowsBetween(Window.unboundedPreceding, 0))
-    # Long-run mean at every row; the window mean is taken at the cut, whose distance to the row varies.
-    frame = frame.withColumns(
-        {"ever": ever, "near": F.collect_list(F.struct("date", "units_sold")).over(near.rangeBetween(-days, 0))}
+    upto = by_day().rowsBetween(Window.unboundedPreceding, 0)
+    plain = sales.select("sku", "date", "units_sold")
+    opened = with_cuts(plain, F.transform(origins, lambda o: F.date_sub(o, days))).withColumnRenamed("cuts", "_opened")
+    # Sums up to the last day before the decision, less those up to the last day before its window.
+    frame = with_cuts(opened, origins).withColumns({"total": F.sum("units_sold").over(upto), "n": F.count("units_sold").over(upto)})
+    uses = F.concat(
+        F.transform("cuts", lambda o: F.struct(o.alias("as_of"), F.lit(False).alias("before"))),
+        F.transform("_opened", lambda o: F.struct(F.date_add(o, days).alias("as_of"), F.lit(True).alias("before"))),
+    )
+    used = frame.filter((F.size("cuts") > 0) | (F.size("_opened") > 0)).select("sku", "total", "n", F.inline(uses))
+    at = lambda name, before: F.max(F.when(F.col("before") == before, F.col(name)))
+    per = used.groupBy("as_of", "sku").agg(
+        at("total", False).alias("total"), at("n", False).alias("n"),
+        F.coalesce(at("total", True), F.lit(0.0)).alias("total_before"), F.coalesce(at("n", True), F.lit(0)).alias("n_before"),
     )
-    at = frame.filter(F.size("cuts") > 0).withColumn("as_of", F.explode("cuts"))
-    seen = F.filter("near", lambda x: x["date"] >= F.date_sub(F.col("as_of"), days))
-    total = F.aggregate(seen, F.lit(0.0), lambda acc, x: acc + x["units_sold"])
-    return at.select("as_of", "sku", F.coalesce(F.when(F.size(seen) > 0, total / F.size(seen)), "ever").alias("usage"))
+    seen = F.col("n") - F.col("n_before")
+    recent = F.when(seen > 0, (F.col("total") - F.col("total_before")) / seen)
+    return per.filter(F.col("n").isNotNull()).select("as_of", "sku", F.coalesce(recent, F.col("total") / F.nullif(F.col("n"), F.lit(0))).alias("usage"))

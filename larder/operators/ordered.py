@@ -5,52 +5,45 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 200
+from larder.sources.folder import written
 
 
-def running(
-    df: DataFrame, order: list[Column], totals: dict[str, Column] | None = None, buckets: int = BUCKETS,
-    whole: dict[str, tuple] | None = None,
-) -> DataFrame:
+def running(df: DataFrame, order: list[Column], totals: dict[str, Column] | None = None, whole: dict[str, tuple] | None = None) -> DataFrame:
     """Add ``position`` (from 1) and running totals along a unique ``order``.
 
     ``whole`` adds aggregates over all rows as ``name: (function, column)`` with a function that
     combines with itself (``F.sum``, ``F.min``, ``F.max``).
 
-    Split points are the ``buckets - 1`` order keys with the smallest hash, a fair and repeatable
-    pick, so the ranges between them are close to even whatever the value distribution.  Each range
-    is numbered on its own and shifted by the totals of the ranges before it; that offset table has
-    one row per bucket and is what the broadcast and the one unpartitioned window see.
+    The rows are written once, in the engine's own ranges of the order and with the number of their range.  Each range is numbered on
+    its own and shifted by the totals of the ranges before it; that table has one row per range, which is what the broadcast and the
+    one unpartitioned window see.
     """
     totals, whole = totals or {}, whole or {}
     keyed = df.withColumn("_key", F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)]))
-    splits = keyed.select("_key").orderBy(F.xxhash64("_key"), "_key").limit(buckets - 1)
-    splits = splits.agg(F.array_sort(F.collect_list("_key")).alias("splits")).scalar()
-    ranged = keyed.withColumn("_splits", splits)
-    ranged = ranged.withColumn("_bucket", F.size(F.filter("_splits", lambda k: k < F.col("_key")))).drop("_splits")
+    ranged = written(keyed.repartitionByRange("_key").withColumn("_range", F.spark_partition_id()))
 
     sums = [F.sum(v).alias(f"_sum_{name}") for name, v in totals.items()]
     wholes = [fn(c).alias(f"_part_{name}") for name, (fn, c) in whole.items()]
-    sizes = ranged.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"), *sums, *wholes)
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"), *sums, *wholes)
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy(F.lit(0))
     offsets = sizes.select(
-        "_bucket",
+        "_range",
         *[
             F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before")
             for c in ["_n", *[f"_sum_{name}" for name in totals]]
         ],
         *[fn(f"_part_{name}").over(every).alias(name) for name, (fn, _) in whole.items()],
     )
-    inside = Window.partitionBy("_bucket").orderBy("_key").rowsBetween(Window.unboundedPreceding, 0)
-    placed = ranged.join(F.broadcast(offsets), "_bucket")
+    inside = Window.partitionBy("_range").orderBy("_key").rowsBetween(Window.unboundedPreceding, 0)
+    placed = ranged.join(F.broadcast(offsets), "_range")
     placed = placed.withColumns(
         {
             "position": F.count(F.lit(1)).over(inside) + F.col("_n_before"),
             **{name: F.sum(v).over(inside) + F.col(f"_sum_{name}_before") for name, v in totals.items()},
         }
     )
-    return placed.drop("_key", "_bucket", "_n_before", *[f"_sum_{name}_before" for name in totals])
+    return placed.drop("_key", "_range", "_n_before", *[f"_sum_{name}_before" for name in totals])
 
 
 def sku_codes(sales: DataFrame) -> DataFrame:
