@@ -99,9 +99,9 @@ def enrich(panel: DataFrame) -> DataFrame:
     )
 
 
-SCHOOL_SQL = """CASE WHEN month({d}) IN (7, 8) OR (month({d}) = 12 AND day({d}) >= 20) OR (month({d}) = 1 AND day({d}) <= 2)
- OR (month({d}) = 4 AND day({d}) <= 14) OR (month({d}) = 10 AND day({d}) >= 26) OR (month({d}) = 2 AND day({d}) BETWEEN 12 AND 18)
- OR (month({d}) = 5 AND day({d}) >= 26) THEN 1 ELSE 0 END"""
+# Month, first and last day.
+SCHOOL = ((1, 1, 2), (2, 12, 18), (4, 1, 14), (5, 26, 31), (7, 1, 31), (8, 1, 31), (10, 26, 31), (12, 20, 31))
+SCHOOL_SQL = f"CASE WHEN {' OR '.join(f'(month({{d}}) = {m} AND day({{d}}) BETWEEN {a} AND {b})' for m, a, b in SCHOOL)} THEN 1 ELSE 0 END"
 
 
 def enrich_sql(source: str) -> str:
@@ -213,16 +213,19 @@ def econ(spark, d, kind: str = "brand") -> DataFrame:
 
 
 def moves(spark, d) -> DataFrame:
-    """Movement log per type: one return flag is stock coming in, another is demand."""
+    """Movement log per type: accepted and returned lines (flags A and R) come into stock, all others are demand."""
     li, part = table(spark, d, "lineitem"), table(spark, d, "part")
-    rows = li.join(part, li.l_partkey == part.p_partkey).filter("l_returnflag IN ('A', 'N')")
-    side = lambda f: F.when(F.col("l_returnflag") == f, F.col("l_quantity"))
-    return rows.select(F.col("p_type").alias("sku"), F.col("l_shipdate").cast("date").alias("date"), side("A").alias("received"), side("N").alias("demand"))
+    rows = li.join(part, li.l_partkey == part.p_partkey)
+    into = F.col("l_returnflag").isin("A", "R")
+    quantity = F.col("l_quantity")
+    return rows.select(
+        F.col("p_type").alias("sku"), F.col("l_shipdate").cast("date").alias("date"), F.when(into, quantity).alias("received"), F.when(~into, quantity).alias("demand"),
+    )
 
 
 block("log", """SELECT g.sku, g.date, coalesce(m.received, 0.0) AS received, coalesce(m.demand, 0.0) AS demand FROM
  (SELECT sku, CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date FROM log_raw GROUP BY sku) g
  LEFT JOIN log_raw m ON m.sku = g.sku AND m.date = g.date""", "log_raw")
-block("log_raw", """SELECT p_type AS sku, CAST(l_shipdate AS DATE) AS date, coalesce(sum(CASE WHEN l_returnflag = 'A' THEN l_quantity END), 0.0) AS received,
- coalesce(sum(CASE WHEN l_returnflag = 'N' THEN l_quantity END), 0.0) AS demand
- FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag IN ('A', 'N') GROUP BY 1, 2""")
+block("log_raw", """SELECT p_type AS sku, CAST(l_shipdate AS DATE) AS date, coalesce(sum(CASE WHEN l_returnflag IN ('A', 'R') THEN l_quantity END), 0.0) AS received,
+ coalesce(sum(CASE WHEN l_returnflag NOT IN ('A', 'R') THEN l_quantity END), 0.0) AS demand
+ FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2""")

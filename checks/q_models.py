@@ -11,6 +11,7 @@ from checks.registry import block, query, shared
 from larder.functions import accuracy
 from larder.operators import features, models, segments, slices
 from larder.plans import backtest, service
+from larder.sources import exports, folder
 
 S = P.S
 A = "DATE '2001-07-02'"
@@ -106,6 +107,22 @@ def j10(spark, d):
     return models.contract_violations(h2(spark, d), 7)
 
 
+block("bt_broken", f"""SELECT as_of, sku, model, step, forecast_date, CASE WHEN {P.NUMBER_SQL} % 7 = 1 AND step = 3 THEN -1.0 ELSE predicted_demand END AS predicted_demand,
+ CASE WHEN {P.NUMBER_SQL} % 4 = 2 AND step >= 6 THEN predicted_demand + 1 ELSE least(lower_bound, -1) END AS lower_bound, upper_bound FROM bt_forecast WHERE NOT ({P.NUMBER_SQL} % 5 = 0 AND step = 4)""", "bt_forecast")
+
+
+@query("j10_contract_seeded", """SELECT as_of, sku, model, count(*) AS days, CAST(date_diff('day', min(forecast_date), max(forecast_date)) + 1 AS INTEGER) AS span, count(*) FILTER (predicted_demand < 0) AS bad_values,
+ count(*) FILTER (lower_bound > predicted_demand OR upper_bound < predicted_demand) AS crossed FROM bt_broken GROUP BY 1, 2, 3 HAVING count(*) <> 7 OR bad_values + crossed > 0""", ["bt_broken"], dates=["as_of"])
+def j10_seeded(spark, d):
+    """All forecasts, with a day missing, a negative value or a crossed bound in those of some products."""
+    rows = h2(spark, d).filter(~((P.number() % 5 == 0) & (F.col("step") == 4)))
+    broken = {
+        "lower_bound": F.when((P.number() % 4 == 2) & (F.col("step") >= 6), F.col("predicted_demand") + 1).otherwise(F.least("lower_bound", F.lit(-1.0))),
+        "predicted_demand": F.when((P.number() % 7 == 1) & (F.col("step") == 3), -1.0).otherwise(F.col("predicted_demand")),
+    }
+    return models.contract_violations(rows.withColumns(broken), 7)
+
+
 @query("j11_total_demand", "SELECT as_of, sku, model, sum(predicted_demand) FILTER (step <= 3) AS total_demand FROM bt_forecast GROUP BY 1, 2, 3", ["bt_forecast"],
        dates=["as_of"], doubles=["total_demand"])
 def j11(spark, d):
@@ -490,3 +507,42 @@ def j15_every(spark, d):
     """Validated routing of every product among the global model, Holt-Winters, seasonal naive and Croston (SBA)."""
     chosen = service.choose_models(P.sales_mixed(spark, d), P.econ_mixed(spark, d), P.AS_OF, TREES, "validated", 4)
     return chosen.withColumn("candidate_scores", F.to_json("candidate_scores"))
+
+
+# -- exports and registries -------------------------------------------------------------------------------
+
+
+@query("a18_metrics_as_csv", "SELECT * FROM bt_metrics", ["bt_metrics"], dates=["as_of"], doubles=METRIC_DOUBLES)
+def a18_csv(spark, d):
+    """Backtest metrics written as CSV and read back."""
+    path, metrics = folder.fresh(spark), k1(spark, d)
+    exports.export(metrics, path, "csv")
+    return spark.read.schema(metrics.schema).option("header", True).csv(path)
+
+
+@query("a18_predictions_as_json", """SELECT fold, as_of, sku, model, step, forecast_date, predicted_demand, actual FROM bt_scored JOIN bt_origins ON origin = as_of""",
+       ["bt_scored", "bt_origins"], dates=["as_of", "forecast_date"], doubles=["predicted_demand", "actual"])
+def a18_json(spark, d):
+    """All predictions written as JSON and read back."""
+    path, rows = folder.fresh(spark), k1b(spark, d)
+    exports.export(rows, path, "json")
+    return spark.read.schema(rows.schema).json(path)
+
+
+@query("a19_choice_registry", "SELECT * FROM choices", ["choices"])
+def a19(spark, d):
+    """Model choices saved and loaded."""
+    path = folder.fresh(spark)
+    exports.save_choices(service.choose_models(brand(spark, d), P.econ(spark, d), P.AS_OF, S), path)
+    return exports.load_choices(spark, path).drop("candidate_scores")
+
+
+@query("a20_saved_global_model", f"SELECT {A} AS as_of, count(*) AS rows, 42 AS seed, {len(features.feature_columns(S))} AS features FROM sales_brand WHERE date < {A}", ["sales_brand"], dates=["as_of"])
+def a20(spark, d):
+    """A fitted global model saved with what it was fitted on, and loaded."""
+    history, path = slices.history_as_of(P.sales_brand(spark, d), P.AS_OF), folder.fresh(spark)
+    model, _ = models.fit_boosted(history, TREES, estimate_sigma=False)
+    info = history.agg(F.lit(P.AS_OF).alias("as_of"), F.count(F.lit(1)).alias("rows"), F.lit(TREES.seed).alias("seed"))
+    exports.save_global_model(model, info, path)
+    loaded, about = exports.load_global_model(spark, path)
+    return about.withColumn("features", F.lit(loaded.stages[-1].numFeatures))

@@ -222,11 +222,12 @@ def e12(spark, d):
     return ordering.overview_metrics(recs(spark, d))
 
 
-@query("g4_attention_list", "SELECT as_of, sku, prob AS stockout_probability FROM rec WHERE risk <> 'low' AND as_of = DATE '2001-06-01' ORDER BY prob DESC, sku LIMIT 6", ["rec"],
+@query("g4_attention_list", """SELECT as_of, sku, prob AS stockout_probability, CAST(place AS INTEGER) AS place FROM (
+ SELECT *, row_number() OVER (PARTITION BY as_of ORDER BY prob DESC, sku) AS place FROM rec WHERE risk <> 'low') WHERE place <= 6""", ["rec"],
        dates=["as_of"], doubles=["stockout_probability"])
 def g4(spark, d):
-    rows = recs(spark, d).filter(F.col("as_of") == F.lit("2001-06-01").cast("date"))
-    return ordering.attention(rows).select("as_of", "sku", "stockout_probability")
+    """The six riskiest products of all nine decision dates."""
+    return ordering.attention(recs(spark, d)).select("as_of", "sku", "stockout_probability", "place")
 
 
 @query("p4_days_of_cover", "SELECT sku, as_of, cover AS days_of_cover, risk FROM rec ORDER BY cover", ["rec"], dates=["as_of"], doubles=["days_of_cover"])

@@ -162,6 +162,12 @@ def b22(spark, d):
     return quality.require_past_only(past, P.AS_OF).groupBy("sku").agg(F.count(F.lit(1)).alias("days"))
 
 
+@query("b22_leaking_rows", "SELECT sku, count(*) AS rows, min(date) AS first_date, max(date) AS last_date FROM daily_type WHERE date >= DATE '2001-07-02' GROUP BY sku", ["daily_type"], dates=["first_date", "last_date"])
+def b22_leaks(spark, d):
+    """The whole panel as history of a decision in its middle: everything from that day on leaks."""
+    return quality.leaking_rows(P.daily_type(spark, d), P.AS_OF)
+
+
 @query("b23_unknown_keys", "SELECT DISTINCT sku FROM daily_brand ANTI JOIN terms_brand USING (sku)", ["daily_brand", "terms_brand"])
 def b23(spark, d):
     return quality.unknown_keys(P.daily_brand(spark, d), P.terms(spark, d))

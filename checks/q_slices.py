@@ -92,9 +92,9 @@ SC_SQL = """(SELECT * FROM (VALUES ('Base case', 0.0, NULL, 0.0, NULL), ('Hot we
 
 
 @query("c10_d13_scenario_features", f"""SELECT sku, date, scenario, CAST(coalesce(fixed, temp_c) + delta AS DOUBLE) AS temp_c, CAST(coalesce(forced, promo) AS INTEGER) AS promo
- FROM sales_type, {SC_SQL} WHERE date >= {A}""", ["sales_type"], dates=["date"], doubles=["temp_c"])
+ FROM sales_type, {SC_SQL}""", ["sales_type"], dates=["date"], doubles=["temp_c"])
 def c10(spark, d):
-    future = P.sales_type(spark, d).filter(F.col("date") >= F.lit(P.AS_OF)).select("sku", "date", "temp_c", "promo")
+    future = P.sales_type(spark, d).select("sku", "date", "temp_c", "promo")
     return slices.scenario_features(slices.with_scenarios(future, SCENARIOS)).select("sku", "date", "scenario", "temp_c", "promo")
 
 

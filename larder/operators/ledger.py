@@ -46,38 +46,53 @@ def perishable_ledger(log: DataFrame, shelf_life: str = "shelf_life_days") -> Da
     """Perishable stock, oldest served first; a batch expires ``shelf_life`` days after receipt.
 
     With A(t) units received up to day t and Dep(t) units gone (sold or expired):
-    Dep(t) = min(A(t), max(Dep(t-1), A(t-L)) + demand(t)).  One fold per SKU keeps that single
-    number; every other column follows from it.  ``log`` must have consecutive days per SKU.
+    Dep(t) = min(A(t), max(Dep(t-1), A(t-L)) + demand(t)).  A day is a map x -> min(u, max(x + c, l)), and maps of this form compose to
+    one of the same form.  So each month is composed on its own, the months of a SKU are passed through in order, and every month
+    puts out its days from the state it opens with: no task walks a series day by day, and what a group holds is a month of days or a
+    SKU's months.  ``log`` must have consecutive days per SKU.
     """
     w = Window.partitionBy("sku").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    number = F.row_number().over(Window.partitionBy("sku").orderBy("date"))
-    rows = log.withColumns({"total_in": F.sum("received").over(w), "day": number})
-    entry = F.struct("day", "date", "received", "demand", "total_in")
-    per = rows.groupBy("sku", shelf_life).agg(F.array_sort(F.collect_list(entry)).alias("days"))
-    per = per.withColumn("inflow", F.transform("days", lambda d: d["total_in"]))
-    aged = lambda day: F.coalesce(F.when(day > F.col(shelf_life), F.get("inflow", day - F.col(shelf_life) - 1)), F.lit(0.0))
-    start = F.struct(F.lit(0.0).alias("gone"), F.array().cast("array<double>").alias("trace"))
+    none = F.lit(0.0)
+    # What has expired by a day at the latest is what was received a shelf life before: receipts come back on that day.
+    lines = log.select("sku", shelf_life, "date", "received", "demand", none.alias("aging"), F.lit(True).alias("own"))
+    again = log.filter("received > 0").select("sku", shelf_life, F.date_add("date", F.col(shelf_life)).alias("date"), none, none, F.col("received"), F.lit(False))
+    both = lines.union(again).groupBy("sku", shelf_life, "date").agg(*[F.sum(c).alias(c) for c in ("received", "demand", "aging")], F.max("own").alias("own"))
+    rows = both.withColumns({"total_in": F.sum("received").over(w), "aged": F.sum("aging").over(w)}).filter("own")
+
+    entry = F.struct("date", "received", "demand", "total_in", "aged")
+    months = rows.groupBy("sku", shelf_life, F.trunc("date", "month").alias("month")).agg(F.array_sort(F.collect_list(entry)).alias("days"))
+    same = F.struct(F.lit(float("inf")).alias("u"), none.alias("c"), F.lit(float("-inf")).alias("l"))
+    composed = F.aggregate("days", same, lambda m, d: F.struct(
+        F.least(d["total_in"], F.greatest(m["u"] + d["demand"], d["aged"] + d["demand"])).alias("u"), (m["c"] + d["demand"]).alias("c"),
+        F.greatest(m["l"] + d["demand"], d["aged"] + d["demand"]).alias("l"),
+    ))
+    maps = months.select("sku", "month", composed.alias("m")).groupBy("sku").agg(F.array_sort(F.collect_list(F.struct("month", "m"))).alias("maps"))
+    start = F.struct(none.alias("gone"), F.array().cast("array<struct<month:date,opening:double>>").alias("out"))
+    opened = F.aggregate("maps", start, lambda acc, x: F.struct(
+        F.least(x["m"]["u"], F.greatest(acc["gone"] + x["m"]["c"], x["m"]["l"])).alias("gone"),
+        F.concat(acc["out"], F.array(F.struct(x["month"].alias("month"), acc["gone"].alias("opening")))).alias("out"),
+    ), lambda acc: acc["out"])
+    months = months.join(maps.select("sku", F.inline(opened)), ["sku", "month"])
+
+    first = F.struct(F.col("opening").alias("gone"), F.array().cast("array<double>").alias("trace"))
 
     def step(acc, d):
-        gone = F.least(d["total_in"], F.greatest(acc["gone"], aged(d["day"])) + d["demand"])
+        gone = F.least(d["total_in"], F.greatest(acc["gone"], d["aged"]) + d["demand"])
         return F.struct(gone.alias("gone"), F.concat(acc["trace"], F.array(gone)).alias("trace"))
 
-    per = per.withColumn("trace", F.aggregate("days", start, step, lambda acc: acc["trace"]))
+    months = months.withColumn("trace", F.aggregate("days", first, step, lambda acc: acc["trace"]))
 
-    def line(d):
-        i = d["day"] - 1
-        past = F.coalesce(F.when(i > 0, F.get("trace", i - 1)), F.lit(0.0))
-        opened = F.coalesce(F.when(i > 0, F.get("inflow", i - 1)), F.lit(0.0)) - past
-        expired = F.greatest(past, aged(d["day"]))
-        gone = F.get("trace", i)
+    def line(d, i):
+        past = F.when(i > 0, F.get("trace", i - 1)).otherwise(F.col("opening"))
+        expired, gone = F.greatest(past, d["aged"]), F.get("trace", i)
         return F.struct(
-            d["date"].alias("date"), opened.alias("opening_stock"), d["received"].alias("received"),
+            d["date"].alias("date"), (d["total_in"] - d["received"] - past).alias("opening_stock"), d["received"].alias("received"),
             (expired - past).alias("expired_units"), d["demand"].alias("demand"), (gone - expired).alias("served"),
             (d["demand"] - (gone - expired)).alias("stockout_units"), (d["total_in"] - gone).alias("closing_stock"),
             gone.alias("gone"), d["total_in"].alias("total_in"),
         )
 
-    return per.select("sku", shelf_life, F.inline(F.transform("days", line)))
+    return months.select("sku", shelf_life, F.inline(F.transform("days", line)))
 
 
 def batch_allocation(log: DataFrame) -> DataFrame:

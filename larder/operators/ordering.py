@@ -272,8 +272,11 @@ def order_overview(view: DataFrame, table: DataFrame) -> DataFrame:
 
 
 def attention(recs: DataFrame, n: int = 6) -> DataFrame:
-    """The riskiest products, a top-k report."""
-    return recs.filter("risk <> 'low'").orderBy(F.desc("stockout_probability"), "sku").limit(n)
+    """The ``n`` riskiest products of each decision date, riskiest first."""
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.partitionBy("as_of").orderBy(F.desc("stockout_probability"), "sku"))
+    return recs.filter("risk <> 'low'").withColumn("place", place).filter(F.col("place") <= n).orderBy("as_of", "place")
 
 
 def overview_metrics(recs: DataFrame) -> DataFrame:

@@ -143,6 +143,12 @@ def require_past_only(history: DataFrame, as_of: dt.date) -> DataFrame:
     return history.filter(F.when(F.col("date") < F.lit(as_of), F.lit(True)).otherwise(F.raise_error(late).cast("boolean")))
 
 
+def leaking_rows(history: DataFrame, as_of: dt.date) -> DataFrame:
+    """Per SKU, the rows that a decision at ``as_of`` must not see: how many, the first and the last."""
+    late = history.filter(~F.coalesce(F.col("date") < F.lit(as_of), F.lit(False)))
+    return late.groupBy("sku").agg(F.count(F.lit(1)).alias("rows"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
+
+
 def require_no_outcomes(future: DataFrame, outcomes=("units_sold",)) -> DataFrame:
     """Refuse a future frame that carries observed demand."""
     leaked = [c for c in outcomes if c in future.columns]
