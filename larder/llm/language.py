@@ -1,8 +1,8 @@
 """Language identification by cross-parsing entropy.
 
 For each language a suffix automaton of labelled text is built.  A text is parsed into phrases, each the longest that occurs in
-the labelled text; the language that needs the fewest phrases is closest.  The automata become dense tables and many pieces of
-text walk through them side by side, one step of all languages at a time.
+the labelled text; the language that needs the fewest phrases is closest.  The automata become one table and many texts walk
+through it side by side, one step of all languages at a time, each from its first letter to its last.
 """
 
 from __future__ import annotations
@@ -17,16 +17,16 @@ from pyspark.sql import functions as F
 
 from larder.llm.common import settle
 
-# Characters of labelled text a language: the fit's bound.  Costs 2 * 65536 * alphabet * 4 bytes a language at most, and 3 * 65536 * 12 for others.
+# Characters of labelled text a language: the fit's bound.
 SAMPLE = 60_000
 # Bits of the hash that name a range, coarse and fine.
 RANGES = (10, 20)
 # The commonest characters have a column in the dense table; transitions of all others are looked up in a sorted list.
 ALPHABET = 62
-# Texts are parsed in blocks of so many letters and spaces; a phrase ends at a block's end.
-BLOCK = 1024
-# Blocks that walk side by side.
-ABREAST = 4096
+# Bytes of the dense table of all languages at most.
+TABLE_BYTES = 256 << 20
+# Letters and spaces of texts that are read side by side (more only for one text), and how many of each are coded at once.
+RUN, BLOCK = 16_000_000, 1024
 UNKNOWN = "und"
 
 
@@ -65,7 +65,7 @@ def sample(docs: DataFrame, chars: int = SAMPLE) -> dict[str, str]:
         reached = running(ranged.groupBy("lang", "range").agg(F.sum("n").alias("n")), "range", chars)
         picked = settle(ranged.join(reached, ["lang", "range"], "left_semi").select("lang", "h", "n"))
     chosen = settle(running(picked, "h", chars))
-    texts = known.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.first("text").alias("text"))
+    texts = known.join(chosen, ["lang", "h"]).groupBy("lang", "h").agg(F.first("text").alias("text"))
     texts = texts.select("lang", "h", F.substring(letters(F.col("text")), 1, chars).alias("text"))
     out: dict[str, list[str]] = {}
     for row in sorted(texts.collect(), key=lambda r: (r["lang"], r["h"])):
@@ -109,31 +109,40 @@ def automaton(symbols: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, np.ndar
 
 
 class Parser:
-    """The automata of all languages in one table."""
+    """The automata of all languages in one table.
 
-    def __init__(self, texts: dict[str, str], alphabet: int = ALPHABET):
+    The commonest symbols have a column of a dense table, as many as ``TABLE_BYTES`` allow for all languages together; the transitions of
+    the others are in a sorted list.  Where a transition is kept changes no result.
+    """
+
+    def __init__(self, texts: dict[str, str], alphabet: int | None = None):
         self.langs = sorted(texts)
         seen, counts = np.unique(np.frombuffer("".join(texts.values()).encode("utf-32-le"), np.uint32), return_counts=True)
         self.symbols = len(seen) + 1
-        self.width = min(len(seen), alphabet) + 1
         self.code = np.zeros(0x110000, np.int32)  # 0: a character of no sample
         self.code[seen[np.argsort(-counts, kind="stable")]] = np.arange(1, self.symbols)
         self.first = np.zeros((len(self.langs), self.symbols), np.int32)
-        tables, keys, ends, self.roots, base = [], [], [], [], 0
+        built, self.roots, base = [], [], 0
         for k, lang in enumerate(self.langs):
             size, state, symbol, there = automaton(self.codes(texts[lang]))
-            table = np.zeros((size, self.width), np.int32)
-            dense, root = symbol < self.width, state == 1
-            table[state[dense], symbol[dense]] = there[dense] + base
+            root = state == 1
             self.first[k, symbol[root]] = there[root] + base
-            tables.append(table)
-            keys.append((state[~dense] + base) * self.symbols + symbol[~dense])
-            ends.append(there[~dense] + base)
+            built.append([(x + y).astype(np.int32) for x, y in ((state, base), (symbol, 0), (there, base))])
             self.roots.append(base + 1)
             base += size
-        self.table = np.concatenate(tables).ravel()
-        order = np.argsort(np.concatenate(keys), kind="stable")
-        self.keys, self.ends = np.concatenate(keys)[order], np.concatenate(ends)[order].astype(np.int32)
+        if alphabet is None:
+            alphabet = min(ALPHABET, TABLE_BYTES // (4 * max(1, base)))
+        self.width = min(len(seen), alphabet) + 1
+        self.table = np.zeros(base * self.width, np.int32)
+        keys, ends = [np.empty(0, np.int64)], [np.empty(0, np.int32)]
+        while built:
+            state, symbol, there = built.pop()
+            dense = symbol < self.width
+            self.table[state[dense] * np.int64(self.width) + symbol[dense]] = there[dense]
+            keys.append(state[~dense] * np.int64(self.symbols) + symbol[~dense])
+            ends.append(there[~dense])
+        order = np.argsort(keys := np.concatenate(keys), kind="stable")
+        self.keys, self.ends = keys[order], np.concatenate(ends)[order]
         self.bits = {lang: np.log2(max(2, len(texts[lang]))) for lang in self.langs}
 
     def next(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -150,41 +159,35 @@ class Parser:
     def codes(self, text: str) -> np.ndarray:
         return self.code[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
 
-    def phrases(self, blocks: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Phrases each language (rows) needs for each block (columns).  ``blocks``: codes, one block a row, sizes descending."""
+    def costs(self, texts: list[str]) -> np.ndarray:
+        """Phrases for each language (rows) and text (columns).
+
+        All texts are read side by side, a character a step, each from its first character to its last; the longest stand first, so
+        those that are still read are the first columns.
+        """
+        order = sorted(range(len(texts)), key=lambda k: -len(texts[k]))
+        sizes = np.array([len(texts[k]) for k in order], np.int64)
         roots = np.array(self.roots, np.int32)[:, None]
-        state = np.repeat(roots, len(blocks), axis=1)
+        state = np.repeat(roots, len(texts), axis=1)
         count = np.zeros(state.shape, np.int64)
-        live = np.searchsorted(-sizes, -np.arange(int(sizes[0]) if len(sizes) else 0), side="left")
-        for at, n in enumerate(live):
-            c = blocks[:n, at]
-            here = state[:, :n]
-            there = self.next(here, c)
-            dead = there == 0
-            count[:, :n] += dead & (here != roots)  # a phrase ended before this symbol
-            there = np.where(dead, self.first[:, c], there)
-            lost = there == 0  # a symbol the language lacks is a phrase of its own
-            count[:, :n] += lost
-            state[:, :n] = np.where(lost, roots, there)
-        return count + (state != roots)
-
-    def costs(self, texts: list[str]) -> np.ndarray:
-        """Phrases for each language (rows) and text (columns)."""
-        total = np.zeros((len(self.langs), len(texts)), np.int64)
-        owner, pieces = [], []
-        for k, text in enumerate(texts):
-            codes = self.codes(text)
-            for i in range(0, len(codes), BLOCK):
-                owner.append(k)
-                pieces.append(codes[i : i + BLOCK])
-        order = sorted(range(len(pieces)), key=lambda i: -len(pieces[i]))
-        for i in range(0, len(order), ABREAST):
-            run = order[i : i + ABREAST]
-            sizes = np.array([len(pieces[j]) for j in run])
-            blocks = np.zeros((len(run), sizes[0]), np.int32)
-            for r, j in enumerate(run):
-                blocks[r, : sizes[r]] = pieces[j]
-            np.add.at(total, (slice(None), [owner[j] for j in run]), self.phrases(blocks, sizes))
+        for start in range(0, int(sizes.max(initial=0)), BLOCK):
+            live = np.searchsorted(-sizes, -np.arange(start, min(start + BLOCK, int(sizes[0]))), side="left")
+            blocks = np.zeros((int(live[0]), BLOCK), np.int32)
+            for row in range(len(blocks)):
+                codes = self.codes(texts[order[row]][start : start + BLOCK])
+                blocks[row, : len(codes)] = codes
+            for at, n in enumerate(live):
+                c = blocks[:n, at]
+                here = state[:, :n]
+                there = self.next(here, c)
+                dead = there == 0
+                count[:, :n] += dead & (here != roots)  # a phrase ended before this symbol
+                there = np.where(dead, self.first[:, c], there)
+                lost = there == 0  # a symbol the language lacks is a phrase of its own
+                count[:, :n] += lost
+                state[:, :n] = np.where(lost, roots, there)
+        total = np.empty_like(count)
+        total[:, order] = count + (state != roots)
         return total
 
 
@@ -196,17 +199,14 @@ def _parser(texts: tuple[tuple[str, str], ...]) -> Parser:
 def _predicted(batches: Iterator[pa.RecordBatch], texts: tuple[tuple[str, str], ...]) -> Iterator[pa.RecordBatch]:
     parser = _parser(texts) if texts else None
     for batch in batches:
-        langs, scores = [], []
-        run: list[str] = []
-        values = batch.column("text").to_pylist()
-        size = 0
-        for i, value in enumerate(values):
-            run.append(simplified(value) if value else "")
+        langs, scores, run, size = [], [], [], 0
+        for i, value in enumerate(batch.column("text")):
+            run.append(simplified(value.as_py() or ""))
             size += len(run[-1])
-            if size >= BLOCK * ABREAST or i == len(values) - 1:
-                for lang, score in _best(parser, run):
-                    langs.append(lang)
-                    scores.append(score)
+            if size >= RUN or i == len(batch) - 1:
+                best = _best(parser, run)
+                langs += [lang for lang, _ in best]
+                scores += [score for _, score in best]
                 run, size = [], 0
         yield pa.record_batch([batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
