@@ -147,9 +147,8 @@ def _masked(spans: Column) -> Column:
 def redact(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """``docs`` with every span of ``scan`` replaced by ``[REDACTED]``; columns, rows and texts without secrets stay as they are."""
     packed = docs.select(F.struct(*[docs[c] for c in docs.columns if c != "text"]).alias("doc"), "doc_id", "text")
-    found = _with_spans(packed)
-    narrow = settle(_with_spans(docs.select("doc_id", "text")).where("_row IS NOT NULL").select("_row", "_strong", "_weak"))
-    some = found.where("_row IS NOT NULL").join(_linked(narrow, scope), "_row", "left")
+    found = settle(_with_spans(packed))  # the patterns pass over every text once
+    some = found.where("_row IS NOT NULL").join(_linked(found, scope), "_row", "left")
     none = found.where("_row IS NULL").withColumn("_linked", F.array().cast(_SPAN))
     rows = none.unionByName(some.select(none.columns))
     every = F.array_sort(F.concat("_strong", F.coalesce("_linked", F.array().cast(_SPAN))))
