@@ -233,10 +233,10 @@ def _slices(texts: list[str | None]) -> Iterator[list[str]]:
         yield run
 
 
-def _digests(batches: Iterator[pa.RecordBatch], path: str | None) -> Iterator[pa.RecordBatch]:
+def _digests(batches: Iterator[pa.RecordBatch], path: str | None, keep: bool) -> Iterator[pa.RecordBatch]:
     model = pieces(path or public_tokenizers.path(MODEL))
     for batch in batches:
-        counts, id_digests, text_digests = [], [], []
+        counts, id_digests, text_digests, kept = [], [], [], []
         longest, whole = "", ("", b"")
         for run in _slices(batch.column("text").to_pylist()):
             split = [model.split(text) for text in run]
@@ -248,16 +248,19 @@ def _digests(batches: Iterator[pa.RecordBatch], path: str | None) -> Iterator[pa
                 decoded = b"".join([p[2] for p in parts])[1:]
                 id_digests.append(hashlib.sha256(ids.encode()).hexdigest())
                 text_digests.append(hashlib.sha256(decoded).hexdigest())
+                if keep:
+                    kept.append(np.array(ids.split(","), np.int32) if ids else np.empty(0, np.int32))
                 if len(text) > len(longest):
                     longest, whole = text, (ids, decoded)
         if longest:
             theirs = model.library.encode(longest)
             if ",".join(map(str, theirs)) != whole[0] or model.library.decode(theirs).encode() != whole[1]:
                 raise ValueError("a whole text differs from the library's encoding or decoding")
-        yield pa.record_batch(
-            [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(id_digests, pa.string()), pa.array(text_digests, pa.string())],
-            names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-        )
+        columns = [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(id_digests, pa.string()), pa.array(text_digests, pa.string())]
+        names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+        if keep:
+            columns, names = [*columns, pa.array(kept, pa.list_(pa.int32()))], [*names, "ids"]
+        yield pa.record_batch(columns, names=names)
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], path: str | None) -> Iterator[pa.RecordBatch]:
@@ -276,11 +279,12 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda it: _encoded(it, path), "doc_id long, ids array<int>")
 
 
-def encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) for every row of ``docs`` (doc_id, text; others are ignored).
+def encode_decode(docs: DataFrame, path: str | None = None, keep_ids: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids]) for every row of ``docs`` (doc_id, text; others are ignored).
 
     Null and empty texts have no ids and digests of nothing.  Rows that repeat are each encoded.  ``path``: a model file on the
-    executors, by default the public 32k vocabulary.
+    executors, by default the public 32k vocabulary.  ``keep_ids`` adds the ids themselves.
     """
     columns = docs.select(F.col("doc_id").cast("long"), "text")
-    return columns.mapInArrow(lambda it: _digests(it, path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if keep_ids else "")
+    return columns.mapInArrow(lambda it: _digests(it, path, keep_ids), schema)

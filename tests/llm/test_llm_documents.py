@@ -415,19 +415,30 @@ def test_phrases_are_the_longest_matches():
     parser = language.Parser(texts)
 
     def phrases(text, known):
-        n = 0
-        for start in range(0, len(text), language.BLOCK):
-            block, p = text[start : start + language.BLOCK], 0
-            while p < len(block):
-                q = p + 1
-                while q <= len(block) and block[p:q] in known:
-                    q += 1
-                p, n = max(p + 1, q - 1), n + 1
+        n, p = 0, 0
+        while p < len(text):
+            q = p + 1
+            while q <= len(text) and text[p:q] in known:
+                q += 1
+            p, n = max(p + 1, q - 1), n + 1
         return n
 
     samples = [language.simplified(syllables(k, lang, 5 * k)) for k in range(1, 60, 7) for lang in ("aa", "bb", "cc")]
+    samples += [language.simplified(syllables(90, "aa", 1500)), texts["bb"][100:1700] + texts["bb"][200:1800], "", texts["aa"] * 3]
+    assert max(map(len, samples)) > 5000
     known = {chr(i) for i in parser.code.nonzero()[0]}
     masked = ["".join(c if c in known else "\0" for c in s) for s in samples]
     costs = parser.costs(samples)
     for k, lang in enumerate(parser.langs):
         assert costs[k].tolist() == [phrases(s, texts[lang]) for s in masked]
+
+
+def test_many_languages_share_a_bounded_table(monkeypatch):
+    monkeypatch.setattr(language, "TABLE_BYTES", 2 << 20)
+    rng = random.Random(1)
+    sounds = [[chr(0x400 + rng.randrange(300)) + chr(0x61 + rng.randrange(26)) for _ in range(5)] for _ in range(150)]
+    say = lambda k, n: "".join(rng.choice(sounds[k]) for _ in range(n))
+    parser = language.Parser({f"l{k:03}": say(k, 400) for k in range(150)})
+    assert parser.table.nbytes <= 3 << 20 and len(parser.keys) > 0
+    found = language._best(parser, [say(k, 60) for k in range(150)])
+    assert [lang for lang, _ in found] == [f"l{k:03}" for k in range(150)]
