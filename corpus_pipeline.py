@@ -1,4 +1,9 @@
-"""A training corpus from raw documents: toxic texts go, near duplicates go, secrets are masked, sources are mixed, texts become ids."""
+"""A training corpus from raw documents: toxic texts go, near duplicates go, secrets are masked, sources are mixed, texts become ids.
+
+All stages take null and empty texts, rows without doc_id, repeated rows, empty tables and further columns of any name.  A null or empty
+text scores as clean, is no duplicate, holds no secret and has no ids.  A row without doc_id is no duplicate; rows that repeat a kept
+doc_id all stay.  Of a group of duplicates the smallest doc_id stays.  Without labels nothing is toxic.
+"""
 
 from __future__ import annotations
 
@@ -34,8 +39,8 @@ def blend(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every text as digests and counts."""
-    return pieces.encode_decode(docs)
+    """Ids of every text, their number and digests."""
+    return pieces.encode_decode(docs, keep_ids=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
