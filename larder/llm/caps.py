@@ -1,11 +1,16 @@
 """Near-duplicate vectors by spherical-cap filters.
 
-A filter is a direction; its cap holds the vectors close to it.  ``CODE`` directions are drawn evenly over the whole sphere, so what
-a pair has in common with them depends on its angle alone, wherever its energy lies.  A vector is listed under *every* direction
-whose cap it is in; the caps are as wide as it takes for a pair at the threshold to share none with a probability of ``MISS``, over the
-draw of the directions.  Closer pairs share more.  Vectors of up to ``FEW`` components are listed by cells instead, without any loss: the
-middle of a linked pair is near to both, and a vector is listed in every cell that its middles can lie in.  Vectors that share a list
-meet in a tile and are verified in double precision.
+A filter is a direction; its cap holds the vectors close to it.  The directions are a product code: a vector is turned by a random
+rotation and cut into two blocks, each block has ``size`` random codewords, and every pair of codewords is a direction, ``size`` squared
+in all.  A vector is listed under *every* direction whose cap it is in: the list is decoded by branch and bound over the blocks, from
+the inner products with single codewords.  There are ``TABLES`` such codes with rotations of their own.  Rotations make what a pair
+has in common depend on its angle alone, wherever its energy lies.
+
+Caps are as wide as it takes for a pair at the threshold to share none of one table with a probability of ``MISS``, which is measured on
+random pairs; it shares none of any table with ``MISS ** TABLES``, about 5e-7.  Closer pairs share more.  The codes grow with the
+rows, so that lists stay short and the pairs compared grow as the rows do, not as their square.  Vectors of up to ``FEW`` components,
+whose sphere has no room for a code, are listed by cells instead, without any loss: the middle of a linked pair is near to both, and a
+vector is listed in every cell that its middles can lie in.  Vectors that share a list meet in a tile and are verified in double precision.
 
 A pair counts in the first list the two share.  Equal vectors are one class.  A tile puts out one row a vector: its number of links
 there and one linked vector that spans its component, never pairs.
@@ -25,57 +30,110 @@ from pyspark.sql import functions as F
 from larder.llm.common import components, settle
 from larder.llm.vectors import matrix, usable
 
-CODE, MISS, SEED = 4096, 1e-9, 20
+TABLES, MISS, SEED = 12, 0.3, 20
+# Codewords of a block: the least and the most; in between their square is at least so many times the rows.
+SMALLEST, LARGEST, SPREAD = 256, 4096, 4
+# Random pairs on which the caps are measured, and the codewords of each block that are looked at for a pair.
+PAIRS, BEST = 4000, 48
 # Vectors with at most so many components are listed by cells.
 FEW = 8
 # Vectors of a list that meet in one tile; more are dealt into a grid of tiles.
 TILE = 1024
-# Vectors compared with all directions at once; lists of a tile that are compared at once.
-ROWS, COLUMNS = 1024, 4096
+# Vectors listed at once; lists of a tile that are compared at once.
+ROWS, COLUMNS = 512, 4096
+
+
+def codewords(rows: int) -> int:
+    """Codewords a block for so many vectors."""
+    size = SMALLEST
+    while size < LARGEST and size * size < SPREAD * rows:
+        size *= 2
+    return size
+
+
+def padded(dim: int) -> int:
+    return max(16, 1 << (dim - 1).bit_length())
 
 
 @functools.lru_cache(maxsize=4)
-def code(dim: int) -> np.ndarray:
-    """Unit vectors, one a column."""
-    v = np.random.default_rng([SEED, dim]).standard_normal((dim, CODE))
-    return (v / np.linalg.norm(v, axis=0)).astype(np.float32)
+def code(width: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The codewords of both blocks, one a column, of a length that makes a direction of any two."""
+    out = []
+    for block in range(2):
+        v = np.random.default_rng([SEED, block, width, size]).standard_normal((width // 2, size))
+        out.append((v / np.linalg.norm(v, axis=0) / math.sqrt(2)).astype(np.float32))
+    return out[0], out[1]
 
 
-def both_in(cut: float, apart: float, dim: int) -> float:
-    """The share of the sphere from which two vectors ``apart`` radians from each other both have a cosine of ``cut`` at least.
+@functools.lru_cache(maxsize=64)
+def signs(table: int, width: int) -> np.ndarray:
+    return np.random.default_rng([SEED, table, width, 7]).choice(np.float32([-1, 1]), (3, width))
 
-    A direction's shadow on their plane has the length r and the angle phi from their middle: r * cos(|phi| + apart / 2) >= cut,
-    and r exceeds x with probability (1 - x^2)^((dim - 2) / 2).
-    """
-    widest = math.acos(cut) - apart / 2
-    if widest <= 0:
-        return 0.0
-    phi = (np.arange(4000) + 0.5) * (widest / 4000)
-    return float((np.maximum(0.0, 1 - (cut / np.cos(phi + apart / 2)) ** 2) ** ((dim - 2) / 2)).mean() * widest / math.pi)
+
+def rotated(unit: np.ndarray, table: int) -> np.ndarray:
+    """The vectors after a table's rotation: random signs and a Hadamard transform, three times."""
+    width = padded(unit.shape[1])
+    x = np.zeros((len(unit), width), np.float32)
+    x[:, : unit.shape[1]] = unit
+    for flip in signs(table, width):
+        x = x * flip
+        half = 1
+        while half < width:
+            pairs = x.reshape(len(x), -1, 2, half)
+            x = np.stack([pairs[:, :, 0] + pairs[:, :, 1], pairs[:, :, 0] - pairs[:, :, 1]], axis=2).reshape(len(x), width)
+            half *= 2
+        x /= np.float32(math.sqrt(width))
+    return x
+
+
+def products(x: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Inner products of rotated vectors with the codewords of each block; a direction's is the sum of two."""
+    first, second = code(x.shape[1], size)
+    return x[:, : len(first)] @ first, x[:, len(first) :] @ second
 
 
 @functools.lru_cache(maxsize=64)
-def least_cosine(dim: int, least: float, miss: float = MISS) -> float:
-    """The cosine to a direction from which on a vector is in its cap: a pair at ``least`` shares no cap with probability ``miss``."""
-    apart, wanted = math.acos(max(-1.0, min(1.0, least))), 1 - miss ** (1 / CODE)
-    low, high = 0.0, 1.0
-    if both_in(low, apart, dim) < wanted:
-        return -1.0
-    for _ in range(60):
-        middle = (low + high) / 2
-        low, high = (middle, high) if both_in(middle, apart, dim) >= wanted else (low, middle)
-    return low
-
-
-def by_caps(unit: np.ndarray, cut: float) -> tuple[np.ndarray, np.ndarray]:
-    """(row, direction) of every cap that a row is in, in order."""
+def least_product(width: int, size: int, least: float, miss: float = MISS) -> float:
+    """The inner product with a direction from which on a vector is in its cap.
+
+    The best direction of a random pair at ``least`` is looked for among the best codewords of its middle.
+    """
+    rng = np.random.default_rng([SEED, width, size])
+    a, z = rng.standard_normal((2, PAIRS, width))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    z -= (z * a).sum(axis=1, keepdims=True) * a
+    apart = math.sqrt(max(0.0, 1 - least**2))
+    b = least * a + apart * z / np.linalg.norm(z, axis=1, keepdims=True)
+    best = np.empty(PAIRS)
+    for start in range(0, PAIRS, ROWS):
+        (a1, a2), (b1, b2) = (products(v[start : start + ROWS].astype(np.float32), size) for v in (a, b))
+        top1, top2 = (np.argpartition(-(x + y), BEST, axis=1)[:, :BEST] for x, y in ((a1, b1), (a2, b2)))
+        mine, other = (
+            np.take_along_axis(x, top1, 1)[:, :, None] + np.take_along_axis(y, top2, 1)[:, None, :] for x, y in ((a1, a2), (b1, b2))
+        )
+        best[start : start + ROWS] = np.minimum(mine, other).max(axis=(1, 2))
+    return float(np.quantile(best, miss))
+
+
+def decoded(first: np.ndarray, second: np.ndarray, cut: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, direction) of all sums of a product of each block that reach ``cut``: a branch is left where the best of the other block is too little."""
+    row, k = np.nonzero(first >= cut - second.max(axis=1, keepdims=True))
+    at, j = np.nonzero(second[row] >= (cut - first[row, k])[:, None])
+    return row[at], k[at] * first.shape[1] + j
+
+
+def by_caps(unit: np.ndarray, cut: float, size: int, tables: int = TABLES) -> tuple[np.ndarray, np.ndarray]:
+    """(row, list) of every cap of every table that a row is in, in order."""
     rows, names = [], []
-    directions = code(unit.shape[1])
     for start in range(0, len(unit), ROWS):
-        i, k = np.nonzero(unit[start : start + ROWS].astype(np.float32) @ directions >= cut)
-        rows.append(i + start)
-        names.append(k)
-    return np.concatenate(rows), np.concatenate(names)
+        part = unit[start : start + ROWS]
+        for table in range(tables):
+            row, direction = decoded(*products(rotated(part, table), size), cut)
+            rows.append(row + start)
+            names.append(direction + table * size * size)
+    row, name = np.concatenate(rows), np.concatenate(names)
+    order = np.lexsort((name, row))
+    return row[order], name[order]
 
 
 def by_cells(unit: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -95,13 +153,13 @@ def by_cells(unit: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
     return rows[order], names[order]
 
 
-def lists(unit: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+def lists(unit: np.ndarray, least: float, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, list) of every list of each row of unit vectors, in order."""
     dim = unit.shape[1]
-    return by_cells(unit, least) if dim <= FEW else by_caps(unit, least_cosine(dim, least))
+    return by_cells(unit, least) if dim <= FEW else by_caps(unit, least_product(padded(dim), size, least), size)
 
 
-def _listed(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+def _listed(batches: Iterator[pa.RecordBatch], least: float, size: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         dims = batch.column("dim").to_numpy()
         found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
@@ -109,7 +167,7 @@ def _listed(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Reco
             mine = np.flatnonzero(dims == dim)
             v = matrix(batch.column("v").take(pa.array(mine)), int(dim))
             v /= np.abs(v).max(axis=1, keepdims=True)
-            rows, names = lists(v / np.linalg.norm(v, axis=1, keepdims=True), least)
+            rows, names = lists(v / np.linalg.norm(v, axis=1, keepdims=True), least, size)
             found.append((mine[rows], names))
         rows, names = (np.concatenate(x) for x in zip(*found, strict=True))
         ends = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=len(batch)))])
@@ -132,6 +190,7 @@ def _meet(lists: pa.Array) -> np.ndarray:
 
 
 def _cosines(v: np.ndarray) -> np.ndarray:
+    v = v / np.abs(v).max(axis=1, keepdims=True)  # components near the ends of the doubles have squares that are none
     norm = np.linalg.norm(v, axis=1)
     return (v @ v.T) / norm[:, None] / norm[None, :]
 
@@ -197,13 +256,19 @@ def near_duplicates(rows: DataFrame, least: float = 0.98) -> DataFrame:
     hashed = settle(plain.withColumn("h", F.when(F.col("usable"), F.md5(F.concat_ws(",", F.col("label").cast("string"), F.col("v").cast("array<string>")).cast("binary")))))
     classes = hashed.where("usable").groupBy("h").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("n"), F.first("label").alias("label"), F.first("v").alias("v"))
     classes = settle(classes.withColumn("dim", F.size("v")))
+    size = codewords(classes.count())
     listed = settle(
-        classes.select("id", "n", "label", "dim", "v").mapInArrow(lambda it: _listed(it, least), "id long, n long, label long, dim int, v array<double>, filters array<int>")
+        classes.select("h", "id", "n", "label", "dim", "v").mapInArrow(
+            lambda it: _listed(it, least, size), "h string, id long, n long, label long, dim int, v array<double>, filters array<int>"
+        )
     )
+    # Lists of one vector are dropped before vectors are sent to their lists.
     cell = ["label", "dim", "filter"]
-    exploded = listed.select("*", F.posexplode("filters").alias("place", "filter")).withColumn("earlier", F.slice("filters", F.lit(1), F.col("place")))
-    heavy = settle(exploded.select(*cell).groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("chunks")).where("chunks > 1"))
-    dealt = exploded.join(heavy, cell, "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    named = listed.select("h", "label", "dim", F.posexplode("filters").alias("place", "filter"))
+    shared = settle(named.groupBy(*cell).agg(F.count(F.lit(1)).alias("members")).where("members > 1").select(*cell, F.ceil(F.col("members") / TILE).cast("int").alias("chunks")))
+    kept = named.join(shared, cell).groupBy("h").agg(F.collect_list(F.struct("filter", "place", "chunks")).alias("cells"))
+    dealt = listed.join(kept, "h").select("id", "n", "label", "dim", "v", "filters", F.inline("cells"))
+    dealt = dealt.withColumn("earlier", F.slice("filters", F.lit(1), F.col("place"))).drop("filters", "place")
     dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("id", "filter"), F.col("chunks")).cast("int"))
     gridded = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     gridded = gridded.select("id", "n", "v", "earlier", "chunk", *cell, F.least("chunk", "other").alias("ti"), F.greatest("chunk", "other").alias("tj"))

@@ -108,19 +108,56 @@ def test_links_do_not_depend_on_where_the_energy_lies(spark, monkeypatch, tile):
     assert got == expected
 
 
-@pytest.mark.parametrize("dim", [9, 64])
-def test_caps_lose_as_many_pairs_as_stated(dim):
-    rng = np.random.default_rng(dim)
-    a, z = rng.standard_normal((2, 8000, dim))
+def pairs_at(cosine, dim, n, mask=None, seed=1):
+    rng = np.random.default_rng([dim, seed])
+    a, z = rng.standard_normal((2, n, dim)) * (1 if mask is None else mask)
     a /= np.linalg.norm(a, axis=1, keepdims=True)
     z -= (z * a).sum(axis=1, keepdims=True) * a
-    b = 0.98 * a + (1 - 0.98**2) ** 0.5 * z / np.linalg.norm(z, axis=1, keepdims=True)
+    return a, cosine * a + (1 - cosine**2) ** 0.5 * z / np.linalg.norm(z, axis=1, keepdims=True)
+
+
+def lost(a, b, size, tables=caps.TABLES):
+    """How many of the pairs share no list."""
+    cut = caps.least_product(caps.padded(a.shape[1]), size, 0.98)
+    mine, other = ({*(rows * (tables * size * size) + names).tolist()} for rows, names in (caps.by_caps(v, cut, size, tables) for v in (a, b)))
+    return len(a) - len({x // (tables * size * size) for x in mine & other})
+
+
+@pytest.mark.parametrize(("dim", "size"), [(9, 256), (64, 256), (64, 1024), (100, 512)])
+def test_caps_lose_as_many_pairs_as_stated(dim, size):
+    a, b = pairs_at(0.98, dim, 3000)
+    assert 0.25 < lost(a, b, size, 1) / len(a) < 0.35
+    assert lost(a, b, size) == 0
+    for mask in (np.arange(dim) < dim // 2, np.where(np.arange(dim) < dim // 2, 1.0, 0.05), np.geomspace(1, 1e-3, dim)):
+        assert lost(*pairs_at(0.98, dim, 1500, mask), size) == 0
 
-    def lost(cut):
-        return len(a) - len(np.unique(np.intersect1d(*(rows * caps.CODE + names for rows, names in (caps.by_caps(v, cut) for v in (a, b)))) // caps.CODE))
 
-    assert 0.005 < lost(caps.least_cosine(dim, 0.98, 0.01)) / len(a) < 0.02
-    assert lost(caps.least_cosine(dim, 0.98)) == 0
+def test_lists_are_all_directions_within_the_cap():
+    x = caps.rotated(pairs_at(0.98, 40, 20)[0], 3)
+    assert np.allclose(np.linalg.norm(x, axis=1), 1, atol=1e-5)
+    first, second = caps.products(x, 256)
+    rows, names = caps.decoded(first, second, 0.45)
+    every = (first[:, :, None] + second[:, None, :] >= 0.45).reshape(len(x), -1)
+    assert sorted(zip(rows.tolist(), names.tolist(), strict=True)) == sorted(zip(*(i.tolist() for i in np.nonzero(every)), strict=True))
+
+
+def test_pairs_compared_grow_as_the_rows_do():
+    rng = np.random.default_rng(5)
+    share = []
+    for n in (8_000, 32_000):
+        size = caps.codewords(n)
+        unit = rng.standard_normal((n, 64))
+        unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+        counts = np.unique(caps.by_caps(unit, caps.least_product(64, size, 0.98), size, 2)[1], return_counts=True)[1].astype(float)
+        share.append((counts * (counts - 1) / 2).sum() / n)
+    assert share[1] < 2 * share[0]  # a fixed code would take four times as many a row
+
+
+def test_cosines_of_huge_and_tiny_vectors(spark):
+    rows = [(k + 10 * j, [x * scale for x in (1.0, 2.0, 3.0 + 0.01 * k, 1.0, 0.5, 4.0, 1.0, 2.0, 1.0, 7.0)], j) for j, scale in enumerate((1e160, 1e-160, 1.0)) for k in range(3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in caps.near_duplicates(df, 0.98).collect()}
+    assert got == {k + 10 * j: (2, 10 * j) for j in range(3) for k in range(3)}
 
 
 def test_nearest_equal_brute_force(spark, monkeypatch):
