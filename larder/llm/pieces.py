@@ -27,9 +27,11 @@ MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 # Memory of a worker, not of the result: longer units are not remembered; a full memory becomes the older one, of which only
 # units that are met again are carried over.
-LONGEST_REMEMBERED, REMEMBERED = 48, 500_000
+LONGEST_REMEMBERED, REMEMBERED = 48, 150_000
 # Units up to this length are merged side by side, so many at a time; longer ones by a heap.
 SHORT_UNIT, ROWS = 64, 4096
+# Rows whose ids are held at once.
+KEPT_ROWS = 1024
 # Slots (a power of two) of the table that finds what two symbols make.
 SLOTS = 21
 # Characters of text whose units are looked up together.
@@ -235,7 +237,8 @@ def _slices(texts: list[str | None]) -> Iterator[list[str]]:
 
 def _digests(batches: Iterator[pa.RecordBatch], path: str | None, keep: bool) -> Iterator[pa.RecordBatch]:
     model = pieces(path or public_tokenizers.path(MODEL))
-    for batch in batches:
+    step = KEPT_ROWS if keep else 2**31
+    for batch in (b.slice(i, step) for b in batches for i in range(0, len(b), step)):
         counts, id_digests, text_digests, kept = [], [], [], []
         longest, whole = "", ("", b"")
         for run in _slices(batch.column("text").to_pylist()):
