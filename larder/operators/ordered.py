@@ -8,19 +8,24 @@ from pyspark.sql import functions as F
 from larder.sources.folder import written
 
 
-def running(df: DataFrame, order: list[Column], totals: dict[str, Column] | None = None, whole: dict[str, tuple] | None = None) -> DataFrame:
+def running(
+    df: DataFrame, order: list[Column], totals: dict[str, Column] | None = None, ranges: int | None = None,
+    whole: dict[str, tuple] | None = None,
+) -> DataFrame:
     """Add ``position`` (from 1) and running totals along a unique ``order``.
 
     ``whole`` adds aggregates over all rows as ``name: (function, column)`` with a function that
     combines with itself (``F.sum``, ``F.min``, ``F.max``).
 
-    The rows are written once, in the engine's own ranges of the order and with the number of their range.  Each range is numbered on
+    The rows are written once, in the engine's own ranges of the order (as many as it sees fit, or ``ranges``) and with the number of
+    their range.  Each range is numbered on
     its own and shifted by the totals of the ranges before it; that table has one row per range, which is what the broadcast and the
     one unpartitioned window see.
     """
     totals, whole = totals or {}, whole or {}
     keyed = df.withColumn("_key", F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)]))
-    ranged = written(keyed.repartitionByRange("_key").withColumn("_range", F.spark_partition_id()))
+    laid = keyed.repartitionByRange(ranges, "_key") if ranges else keyed.repartitionByRange("_key")
+    ranged = written(laid.withColumn("_range", F.spark_partition_id()))
 
     sums = [F.sum(v).alias(f"_sum_{name}") for name, v in totals.items()]
     wholes = [fn(c).alias(f"_part_{name}") for name, (fn, c) in whole.items()]
