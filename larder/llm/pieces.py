@@ -27,7 +27,7 @@ MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 # Memory of a worker, not of the result: longer units are not remembered; a full memory becomes the older one, of which only
 # units that are met again are carried over.
-LONGEST_REMEMBERED, REMEMBERED = 48, 150_000
+LONGEST_REMEMBERED, REMEMBERED = 48, 500_000
 # Units up to this length are merged side by side, so many at a time; longer ones by a heap.
 SHORT_UNIT, ROWS = 64, 4096
 # Rows whose ids are held at once.
@@ -79,6 +79,7 @@ class Pieces:
         self.slots[at] = np.arange(len(at))
         self.crowded = np.zeros(1 << SLOTS, bool)
         self.crowded[at[self.slots[at] != np.arange(len(at))]] = True
+        self.remembered: int | None = None  # units; None: ``REMEMBERED``
         self.known: dict[str, tuple[int, str, bytes]] = {}
         self.older: dict[str, tuple[int, str, bytes]] = {}
         self.passing: list[str] = []  # units to forget after their texts
@@ -195,7 +196,7 @@ class Pieces:
             self.known.pop(unit, None)
         known = self.known
         wanted = {u for units in texts for u in units if u not in known}
-        if len(known) + len(wanted) > REMEMBERED:
+        if len(known) + len(wanted) > (self.remembered or REMEMBERED):
             self.known, self.older, wanted = {}, known, set().union(*texts)
         older, new = self.older, []
         for unit in wanted:
@@ -235,8 +236,9 @@ def _slices(texts: list[str | None]) -> Iterator[list[str]]:
         yield run
 
 
-def _digests(batches: Iterator[pa.RecordBatch], path: str | None, keep: bool) -> Iterator[pa.RecordBatch]:
+def _digests(batches: Iterator[pa.RecordBatch], path: str | None, keep: bool, remember: int | None) -> Iterator[pa.RecordBatch]:
     model = pieces(path or public_tokenizers.path(MODEL))
+    model.remembered = remember
     step = KEPT_ROWS if keep else 2**31
     for batch in (b.slice(i, step) for b in batches for i in range(0, len(b), step)):
         counts, id_digests, text_digests, kept = [], [], [], []
@@ -282,12 +284,13 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda it: _encoded(it, path), "doc_id long, ids array<int>")
 
 
-def encode_decode(docs: DataFrame, path: str | None = None, keep_ids: bool = False) -> DataFrame:
+def encode_decode(docs: DataFrame, path: str | None = None, keep_ids: bool = False, remember: int | None = None) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids]) for every row of ``docs`` (doc_id, text; others are ignored).
 
     Null and empty texts have no ids and digests of nothing.  Rows that repeat are each encoded.  ``path``: a model file on the
-    executors, by default the public 32k vocabulary.  ``keep_ids`` adds the ids themselves.
+    executors, by default the public 32k vocabulary.  ``keep_ids`` adds the ids themselves.  ``remember``: units that a
+    worker remembers, for memory against time (``REMEMBERED`` by default).
     """
     columns = docs.select(F.col("doc_id").cast("long"), "text")
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if keep_ids else "")
-    return columns.mapInArrow(lambda it: _digests(it, path, keep_ids), schema)
+    return columns.mapInArrow(lambda it: _digests(it, path, keep_ids, remember), schema)
