@@ -40,7 +40,7 @@ def blend(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text, their number and digests."""
-    return pieces.encode_decode(docs, keep_ids=True)
+    return pieces.encode_decode(docs, keep_ids=True, remember=150_000)  # workers still hold what earlier stages took
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
