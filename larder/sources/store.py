@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from larder.operators.kpi import KPI_KEYS
 from larder.operators.ordering import recommendation_table
 from larder.operators.quality import DataQualityError
+from larder.operators.repair import keep_first
 from larder.sources.folder import written
+from larder.sources.sales import SALES_SCHEMA
 
 # Table columns and keys.
 TABLES = {
@@ -29,6 +31,13 @@ TABLES = {
         ("date", "sku", "units_sold", "temp_c", "bank_holiday", "school_holiday", "weekend", "dow", "promo"),
         ("date", "sku"),
     ),
+    "sales_feed": (
+        (
+            "date", "sku", "units_sold", "ingest_seq", "category", "shelf_life_days", "temp_c", "bank_holiday", "school_holiday",
+            "weekend", "dow", "promo",
+        ),
+        ("date", "sku"),
+    ),
     "inventory_snapshots": (
         (
             "date", "sku", "strategy", "opening_stock", "received", "expired_units", "demand", "served",
@@ -83,6 +92,12 @@ def keys_of(table: str) -> list[str]:
     return list(TABLES[table][1])
 
 
+def kinds_of(table: str) -> dict[str, str]:
+    """Types of the columns of a sales table."""
+    days = {f.name: f.dataType.simpleString() for f in SALES_SCHEMA} | {"ingest_seq": "bigint"}
+    return {c: days[c] for c in columns_of(table)}
+
+
 def replace_rows(old: DataFrame | None, new: DataFrame, keys: list[str], version: str | None = None) -> DataFrame:
     """Union where the newest row of each key wins.
 
@@ -171,15 +186,22 @@ class Store:
         rows.hint("rebalance", "part").write.partitionBy("part").parquet(folder)
         return folder
 
-    def replace(self, table: str, new: DataFrame) -> None:
-        """Insert or replace by the table's key; partitions without new rows are not read."""
+    def replace(self, table: str, new: DataFrame, first: str | None = None) -> None:
+        """Insert or replace by the table's key; partitions without new rows are not read.
+
+        With ``first``, a column, the row with its smallest value stays instead of the newest (a table keyed by SKU and date).
+        """
         rows = written(new.select(*columns_of(table)).withColumn("part", part_of(table)))
         touched = [r["part"] for r in rows.select("part").distinct().collect()]
         while touched:
             number, entries = self.manifest(table)
             paths = [p for part in touched for p in entries.get(part, [])]
             old = self.spark.read.parquet(*paths).select(*columns_of(table)) if paths else None
-            merged = replace_rows(old, rows.drop("part"), keys_of(table))
+            fresh = rows.drop("part")
+            if first is None:
+                merged = replace_rows(old, fresh, keys_of(table))
+            else:
+                merged = keep_first(fresh if old is None else old.unionByName(fresh), first)
             folder = self._write(table, merged.withColumn("part", part_of(table)))
             if self._commit(table, number + 1, entries | {part: [f"{folder}/part={part}"] for part in touched}):
                 break
