@@ -4,7 +4,7 @@ import importlib
 
 from checks.registry import ORACLES, QUERIES, oracle_sql, queries
 
-for _name in ("q_sources", "q_quality", "q_slices", "q_features", "q_models", "q_ordering", "q_ledger", "q_explain", "q_stored"):
+for _name in ("q_sources", "q_quality", "q_slices", "q_features", "q_models", "q_ordering", "q_ledger", "q_explain", "q_stored", "q_recorded"):
     importlib.import_module(f"checks.{_name}")
 
 __all__ = ["ORACLES", "QUERIES", "oracle_sql", "queries"]
