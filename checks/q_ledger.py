@@ -296,18 +296,20 @@ def interp(x: str, y: str) -> str:
  (SELECT {x} AS x, {y} AS y FROM frontier WHERE strategy = '{CANDIDATE}' AND {x} >= p.{x} ORDER BY 1 LIMIT 1) c)"""
 
 
-block("matched_raw", f"""SELECT p.*, {interp('unit_service_level', 'waste_units')} AS w, {interp('unit_service_level', 'total_cost')} AS c, {interp('unit_service_level', 'average_inventory_units')} AS inv,
- {interp('unit_service_level', 'setting_value')} AS st, {interp('waste_units', 'unit_service_level')} AS sl FROM frontier p WHERE strategy = '{BASELINE}'""", "frontier")
+MATCHED_RAW = f"""SELECT p.*, {interp('unit_service_level', 'waste_units')} AS w, {interp('unit_service_level', 'total_cost')} AS c, {interp('unit_service_level', 'average_inventory_units')} AS inv,
+ {interp('unit_service_level', 'setting_value')} AS st, {interp('waste_units', 'unit_service_level')} AS sl FROM frontier p WHERE strategy = '{BASELINE}'"""
+block("matched_raw", MATCHED_RAW, "frontier")
 
 
 def cut(base: str, other: str) -> str:
     return half_even(f"(CASE WHEN {base} > 0 THEN ({base} - {other}) / {base} * 100 END)", 1)
 
 
-block("matched", f"""SELECT setting_value AS reference_setting, {half_even('unit_service_level', 2)} AS matched_service_level_pct, {half_even('st', 4)} AS matched_ai_service_level_setting,
+MATCHED_SQL = f"""SELECT setting_value AS reference_setting, {half_even('unit_service_level', 2)} AS matched_service_level_pct, {half_even('st', 4)} AS matched_ai_service_level_setting,
  {r1('waste_units')} AS waste_units_baseline, {r1('w')} AS waste_units_ai, {cut('waste_units', 'w')} AS waste_reduction_pct, {r1('total_cost', 2)} AS total_cost_baseline, {r1('c', 2)} AS total_cost_ai,
  {cut('total_cost', 'c')} AS cost_reduction_pct, {r1('average_inventory_units')} AS avg_inventory_baseline, {r1('inv')} AS avg_inventory_ai, {cut('average_inventory_units', 'inv')} AS inventory_reduction_pct
- FROM matched_raw WHERE w IS NOT NULL""", "matched_raw")
+ FROM matched_raw WHERE w IS NOT NULL"""
+block("matched", MATCHED_SQL, "matched_raw")
 MATCHED = ["reference_setting", "matched_service_level_pct", "matched_ai_service_level_setting", "waste_units_baseline", "waste_units_ai", "waste_reduction_pct", "total_cost_baseline", "total_cost_ai",
            "cost_reduction_pct", "avg_inventory_baseline", "avg_inventory_ai", "inventory_reduction_pct"]
 

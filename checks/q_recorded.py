@@ -1,4 +1,4 @@
-"""Costs and comparisons over ledgers of the recorded order lines.
+"""Costs and comparisons over ledgers of the recorded order lines.
 
 Two records of the same demand (open lines): one whose stock comes from accepted lines only, one that takes returned lines back into stock too.
 """
@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks import panels as P
-from checks.q_ledger import COMPARE, COST, E6, E6_SQL, KPI_SQL, KPIS
-from checks.registry import block, query, shared
+from checks.q_ledger import COMPARE, COST, E6, E6_SQL, KPI_SQL, KPIS, MATCHED, MATCHED_RAW, MATCHED_SQL
+from checks.registry import block, half_even, query, shared
 from larder.operators import kpi, ledger
 from larder.plans import decisions, recorded
 from larder.settings import BASELINE, CANDIDATE
@@ -40,20 +40,24 @@ block("rec_comparison", COMPARE.replace("pair_kpis", "rec_kpis"), "rec_kpis")
 
 
 @shared
-def records(spark, d):
-    """The cost ledger of both records, written once for all queries of this module."""
+def log(spark, d):
+    """Receipts and demand per day of both records."""
     li, part = P.table(spark, d, "lineitem"), P.table(spark, d, "part")
     rows = li.join(part, li.l_partkey == part.p_partkey).select(
         F.col("p_type").alias("sku"), F.col("l_shipdate").cast("date").alias("date"), F.col("l_returnflag").alias("flag"), F.col("l_quantity").alias("quantity"))
     flag, quantity = F.col("flag"), F.col("quantity")
     demand = F.when(~flag.isin("A", "R"), quantity)
-    log = recorded.split_by(rows, {BASELINE: (F.when(flag == "A", quantity), demand), CANDIDATE: (F.when(flag.isin("A", "R"), quantity), demand)})
-    return written(recorded.recorded_ledger(log, P.econ(spark, d, "type"), S))
+    return recorded.split_by(rows, {BASELINE: (F.when(flag == "A", quantity), demand), CANDIDATE: (F.when(flag.isin("A", "R"), quantity), demand)})
+
+
+@shared
+def records(spark, d):
+    """The cost ledger of both records, written once for all queries of this module."""
+    return written(recorded.recorded_ledger(log(spark, d), P.econ(spark, d, "type"), S))
 
 
 def record_kpis(spark, d):
-    led = records(spark, d)
-    return kpi.compute_kpis(led, ["strategy"], recorded.recorded_orders(led, S))
+    return recorded.recorded_kpis(records(spark, d), S)
 
 
 FLOW = [*recorded.FLOWS, "on_order"]
@@ -151,3 +155,65 @@ def d8(spark, d):
        ["rec_ledger"], dates=["ordered_on", "arrives_on"], doubles=["quantity", "order_value"])
 def a12(spark, d):
     return recorded.recorded_orders(records(spark, d), S)
+
+
+# -- a grid of shelf lives over both records ------------------------------------------------------------------
+
+LIVES = (1, 2, 3, 4, 6, 8)
+block("grid_in", f"""SELECT l.* REPLACE (v.n AS life), coalesce(b.total_in, 0.0) AS aged FROM rec_log l, (VALUES {', '.join(f'({n})' for n in LIVES)}) AS v(n)
+ LEFT JOIN rec_log b ON b.strategy = l.strategy AND b.sku = l.sku AND b.t = l.t - v.n""", "rec_log")
+block("grid_walk", """grid_walk(strategy, life, sku, t, opening_stock, received, expired_units, demand, served, gone, total_in, date) AS (
+ SELECT strategy, life, sku, CAST(0 AS BIGINT), 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, CAST(NULL AS DATE) FROM (SELECT DISTINCT strategy, life, sku FROM grid_in)
+ UNION ALL SELECT l.strategy, l.life, l.sku, l.t, p.total_in - p.gone, l.received, greatest(p.gone, l.aged) - p.gone, l.demand, least(l.demand, l.total_in - greatest(p.gone, l.aged)),
+ greatest(p.gone, l.aged) + least(l.demand, l.total_in - greatest(p.gone, l.aged)), l.total_in, l.date FROM grid_walk p JOIN grid_in l ON l.strategy = p.strategy AND l.life = p.life AND l.sku = p.sku AND l.t = p.t + 1)""", "grid_in")
+block("grid_ledger", """SELECT *, closing_stock * holding_cost_per_unit_per_day AS holding_cost, expired_units * (unit_cost + 0.05) AS waste_cost, stockout_units * stockout_cost_per_unit AS stockout_cost,
+ closing_stock * unit_cost AS inventory_value, CASE WHEN stockout_units > 1e-9 THEN 1 ELSE 0 END AS stockout_day,
+ CASE WHEN received > 0 THEN 12.5 / count(*) FILTER (received > 0) OVER (PARTITION BY strategy, life, date) ELSE 0 END AS ordering_cost
+ FROM (SELECT w.*, w.demand - w.served AS stockout_units, w.total_in - w.gone AS closing_stock, unit_cost, holding_cost_per_unit_per_day, stockout_cost_per_unit FROM grid_walk w JOIN econ_type USING (sku) WHERE t > 0)""",
+      "grid_walk", "econ_type")
+block("grid_kpis", f"SELECT strategy, 'shelf_life_days' AS setting_name, CAST(life AS DOUBLE) AS setting_value, {REC_KPI} FROM grid_ledger GROUP BY 1, 3", "grid_ledger")
+block("grid", "SELECT strategy, setting_name, setting_value, " + ", ".join(f"{half_even(k, 3)} AS {k}" for k in KPIS) + " FROM grid_kpis", "grid_kpis")
+block("grid_matched_raw", MATCHED_RAW.replace("frontier", "grid"), "grid")
+block("grid_matched", MATCHED_SQL.replace("matched_raw", "grid_matched_raw"), "grid_matched_raw")
+
+
+@shared
+def grid(spark, d):
+    """KPIs of every (record, shelf life), written once."""
+    led = recorded.recorded_ledger(log(spark, d), P.econ(spark, d, "type"), S, LIVES)
+    return written(recorded.recorded_frontier(led, S))
+
+
+@query("n6_d14_h3_recorded_frontier", "SELECT * FROM grid", ["grid"], doubles=[*KPIS, "setting_value"])
+def n6(spark, d):
+    return grid(spark, d)
+
+
+@query("n3_d9_recorded_interpolation", "SELECT setting_value, w AS at_waste_units, c AS at_total_cost FROM grid_matched_raw", ["grid_matched_raw"], doubles=["setting_value", "at_waste_units", "at_total_cost"])
+def n3(spark, d):
+    side = F.col("strategy")
+    at = kpi.interpolate(grid(spark, d), side == BASELINE, side == CANDIDATE, "unit_service_level", ["waste_units", "total_cost"])
+    return at.select("setting_value", "at_waste_units", "at_total_cost")
+
+
+@query("n4_recorded_matched_service", "SELECT * FROM grid_matched", ["grid_matched"], doubles=MATCHED)
+def n4(spark, d):
+    return kpi.matched_service(grid(spark, d))
+
+
+@query("n5_recorded_matched_waste", f"""SELECT setting_value AS reference_setting, {half_even('waste_units', 1)} AS matched_waste_units, {half_even('unit_service_level', 2)} AS service_level_baseline, {half_even('sl', 2)} AS service_level_ai,
+ {half_even('(sl - unit_service_level)', 2)} AS service_level_gain_pp FROM grid_matched_raw WHERE sl IS NOT NULL""", ["grid_matched_raw"],
+       doubles=["reference_setting", "matched_waste_units", "service_level_baseline", "service_level_ai", "service_level_gain_pp"])
+def n5(spark, d):
+    return kpi.matched_waste(grid(spark, d))
+
+
+@query("n8_recorded_cost_saved", "SELECT reference_setting, total_cost_baseline - total_cost_ai AS total_cost_saved FROM grid_matched", ["grid_matched"], doubles=["reference_setting", "total_cost_saved"])
+def n8(spark, d):
+    return kpi.add_cost_saved(n4(spark, d)).select("reference_setting", "total_cost_saved")
+
+
+@query("p5_recorded_off_scale", f"SELECT setting_value, waste_units FROM grid WHERE strategy = '{BASELINE}' AND waste_units > 0.5 * (SELECT max(waste_units) FROM grid WHERE strategy = '{CANDIDATE}')",
+       ["grid"], doubles=["setting_value", "waste_units"])
+def p5(spark, d):
+    return kpi.off_scale(grid(spark, d), factor=0.5).select("setting_value", "waste_units")
