@@ -1,6 +1,6 @@
 """Costs and comparisons over ledgers of the recorded order lines.
 
-Two records of the same demand (open lines): one whose stock comes from accepted lines only, one that takes returned lines back into stock too.
+Two records of the same demand (open lines): the stock of one comes from the accepted lines, that of the other from the returned lines.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ S = P.S
 REC_KPI = KPI_SQL.replace("recommended_order", "received")
 
 # The recursion walks the days of a record; what expires by a day was received a shelf life before.
-block("rec_raw", f"""SELECT strategy, p_type AS sku, CAST(l_shipdate AS DATE) AS date, coalesce(sum(CASE WHEN l_returnflag = 'A' OR l_returnflag = 'R' AND strategy = '{CANDIDATE}' THEN l_quantity END), 0.0) AS received,
+block("rec_raw", f"""SELECT strategy, p_type AS sku, CAST(l_shipdate AS DATE) AS date, coalesce(sum(CASE WHEN l_returnflag = CASE strategy WHEN '{BASELINE}' THEN 'A' ELSE 'R' END THEN l_quantity END), 0.0) AS received,
  coalesce(sum(CASE WHEN l_returnflag NOT IN ('A', 'R') THEN l_quantity END), 0.0) AS demand FROM lineitem JOIN part ON l_partkey = p_partkey, (VALUES ('{BASELINE}'), ('{CANDIDATE}')) AS v(strategy) GROUP BY 1, 2, 3""")
 block("rec_log", f"""SELECT g.strategy, g.sku, g.date, coalesce(m.received, 0.0) AS received, coalesce(m.demand, 0.0) AS demand, CAST(3 + {P.NUMBER_SQL.replace('sku', 'g.sku')} % 5 AS INTEGER) AS life,
  row_number() OVER w AS t, sum(coalesce(m.received, 0.0)) OVER w AS total_in, coalesce(sum(coalesce(m.received, 0.0)) OVER (w ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING), 0.0) AS on_order FROM
@@ -47,7 +47,7 @@ def log(spark, d):
         F.col("p_type").alias("sku"), F.col("l_shipdate").cast("date").alias("date"), F.col("l_returnflag").alias("flag"), F.col("l_quantity").alias("quantity"))
     flag, quantity = F.col("flag"), F.col("quantity")
     demand = F.when(~flag.isin("A", "R"), quantity)
-    return recorded.split_by(rows, {BASELINE: (F.when(flag == "A", quantity), demand), CANDIDATE: (F.when(flag.isin("A", "R"), quantity), demand)})
+    return recorded.split_by(rows, {BASELINE: (F.when(flag == "A", quantity), demand), CANDIDATE: (F.when(flag == "R", quantity), demand)})
 
 
 @shared
