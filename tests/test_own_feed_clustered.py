@@ -196,3 +196,33 @@ def test_clustered_panel(spark, panel, tmp_path):
     finally:
         spark.sql("DROP TABLE IF EXISTS test_clustered")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+# -- an ordering strategy of one's own ------------------------------------------------------------
+
+
+def test_own_ordering_strategy(spark, panel):
+    """Fill up to twice a fixed quantity on review days, for two quantities, beside nothing else."""
+    from larder.plans import decisions
+    from larder.sources.sales import economics
+
+    start, end = dt.date(2025, 3, 3), dt.date(2025, 4, 6)
+    skus = panel.select("sku", "shelf_life_days").distinct().withColumn("shelf_life_days", F.lit(60))
+    terms_of = economics(skus, spark.createDataFrame([("Smooth", 1, 0)], "sku string, pack_size int, min_order_quantity int"), S)
+    grid = F.array(*[F.struct(F.lit("Fill up").alias("strategy"), F.lit("quantity").alias("setting_name"), F.lit(v).alias("setting_value")) for v in (300.0, 800.0)])
+    nothing = F.lit(None).cast("double")
+    terms = skus.select("sku", F.explode(decisions.review_dates(start, end, S)).alias("date"), F.inline(grid)).select(
+        "sku", "date", "strategy", "setting_name", "setting_value", (F.col("setting_value") * 2).alias("target"),
+        nothing.alias("reorder_point"), nothing.alias("life_demand"), nothing.alias("most"))
+    led = decisions.run_replay(panel, terms, terms_of, grid, start, end, S).cache()
+    assert {(r[0], r[1]) for r in led.select("strategy", "setting_value").distinct().collect()} == {("Fill up", 300.0), ("Fill up", 800.0)}
+    days = led.groupBy("setting_value", "sku").count().collect()
+    assert len(days) == 4 and {r["count"] for r in days} == {35}
+    # On a review day the stock before the day's sales and all orders under way reach the target, or exceed it and nothing is ordered.
+    position = F.col("available_stock") + F.col("on_order")
+    reviewed = led.filter("is_review_day = 1")
+    assert reviewed.filter((F.col("recommended_order") > 0) & (F.abs(position - F.col("setting_value") * 2) > 1e-6)).count() == 0
+    assert reviewed.filter((F.col("recommended_order") == 0) & (position < F.col("setting_value") * 2 - 1e-6)).count() == 0
+    assert led.filter("is_review_day = 0 AND recommended_order > 0").count() == 0
+    points = {r["setting_value"]: r["stockout_units"] for r in decisions.frontier(led, S).collect()}
+    assert points[800.0] <= points[300.0] and led.filter("recommended_order > 0").count() > 4
