@@ -213,6 +213,10 @@ class Pieces:
         self.passing = [u for u in new if len(u) > LONGEST_REMEMBERED]
         return self.known
 
+    def forget(self) -> None:
+        """Drop all units; workers live on and serve other stages."""
+        self.known, self.older, self.passing = {}, {}, []
+
     def split(self, text: str) -> list[str]:
         """Units of a text, with the space in front that encoding adds."""
         return self.units(" " + text.replace(SPACE, " ")) if text else []
@@ -239,6 +243,14 @@ def _slices(texts: list[str | None]) -> Iterator[list[str]]:
 def _digests(batches: Iterator[pa.RecordBatch], path: str | None, keep: bool, remember: int | None) -> Iterator[pa.RecordBatch]:
     model = pieces(path or public_tokenizers.path(MODEL))
     model.remembered = remember
+    try:
+        yield from _digested(batches, model, keep)
+    finally:
+        if remember is not None:
+            model.forget()
+
+
+def _digested(batches: Iterator[pa.RecordBatch], model: Pieces, keep: bool) -> Iterator[pa.RecordBatch]:
     step = KEPT_ROWS if keep else 2**31
     for batch in (b.slice(i, step) for b in batches for i in range(0, len(b), step)):
         counts, id_digests, text_digests, kept = [], [], [], []
@@ -289,7 +301,7 @@ def encode_decode(docs: DataFrame, path: str | None = None, keep_ids: bool = Fal
 
     Null and empty texts have no ids and digests of nothing.  Rows that repeat are each encoded.  ``path``: a model file on the
     executors, by default the public 32k vocabulary.  ``keep_ids`` adds the ids themselves.  ``remember``: units that a
-    worker remembers, for memory against time (``REMEMBERED`` by default).
+    worker remembers until its task ends, for memory against time; by default it keeps ``REMEMBERED`` from task to task.
     """
     columns = docs.select(F.col("doc_id").cast("long"), "text")
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if keep_ids else "")

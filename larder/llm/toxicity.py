@@ -19,7 +19,6 @@ from dataclasses import dataclass
 
 import ahocorasick
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -30,6 +29,8 @@ from larder.llm.common import settle
 # Bounds of the fit: labelled rows (expected; a hash draws them), terms considered.
 LABELLED, CANDIDATES = 12_000, 4_000
 SHORTEST, LONGEST = 3, 10
+# Terms whose counts a task holds at once, and texts it holds as strings: memory of a worker, not of the result.
+COUNTED, HELD = 50_000, 512
 # A term must explain so many toxic documents, and one clean document outweighs so many toxic ones.
 SUPPORT, CLEAN_COST = 3, 4
 # Evidence of its own: so many unlike toxic documents, at least so many of them, and no clean one.
@@ -131,18 +132,31 @@ def _terms(words: str) -> set[str]:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of each term's texts by label; a term may come in several rows, which add up."""
     counts = (Counter(), Counter())
+
+    def counted() -> pa.RecordBatch:
+        terms = list(counts[0].keys() | counts[1].keys())
+        columns = [pa.array(terms, pa.string()), pa.array([counts[1][t] for t in terms], pa.int64()), pa.array([counts[0][t] for t in terms], pa.int64())]
+        return pa.record_batch(columns, names=["term", "toxic", "clean"])
+
     for batch in batches:
-        for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-            counts[toxic].update(_terms(fold(text)[0]))
-    terms = list(counts[0].keys() | counts[1].keys())
-    columns = [pa.array(terms, pa.string()), pa.array([counts[1][t] for t in terms], pa.int64()), pa.array([counts[0][t] for t in terms], pa.int64())]
-    yield pa.record_batch(columns, names=["term", "toxic", "clean"])
+        for text, toxic in zip(batch.column("text"), batch.column("toxic"), strict=True):
+            counts[toxic.as_py()].update(_terms(fold(text.as_py())[0]))
+            if len(counts[0]) + len(counts[1]) > COUNTED:
+                yield counted()
+                counts = (Counter(), Counter())
+    yield counted()
+
+
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, at most ``HELD`` at a time."""
+    return (b.slice(i, HELD) for b in batches for i in range(0, len(b), HELD))
 
 
 def _found(batches: Iterator[pa.RecordBatch], lexicon: Lexicon) -> Iterator[pa.RecordBatch]:
     """For each labelled row the terms it has, and their words with a neighbour on either side."""
-    for batch in batches:
+    for batch in _held(batches):
         terms, phrases, xs, ys, kinds = [], [], [], [], []
         for text in batch.column("text").to_pylist():
             words, n = fold(text)
@@ -244,7 +258,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
 
 
 def _scored(batches: Iterator[pa.RecordBatch], lexicon: Lexicon) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _held(batches):
         scores = [score(t, lexicon) for t in batch.column("text").to_pylist()]
         yield pa.record_batch([batch.column("doc_id"), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
@@ -262,8 +276,8 @@ def score_all(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 def drop_toxic(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """``docs`` without the rows whose text scores at or above the threshold; all columns stay."""
 
-    @F.pandas_udf("double")
-    def toxicity(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: score(t, lexicon)).astype("float64")
+    @F.arrow_udf("double")
+    def toxicity(texts: pa.Array) -> pa.Array:
+        return pa.array([score(t.as_py(), lexicon) for t in texts], pa.float64())
 
     return docs.where(toxicity(F.col("text")) < THRESHOLD)
