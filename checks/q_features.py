@@ -249,8 +249,10 @@ def f5(spark, d):
 def f6(spark, d):
     li, part = P.table(spark, d, "lineitem"), P.table(spark, d, "part")
     v = li.join(part, li.l_partkey == part.p_partkey).groupBy(F.concat("p_name", F.col("p_partkey").cast("string")).alias("sku"))
-    v = v.agg(F.sum("l_extendedprice").alias("v"))
-    return ordered.running(v, [-F.col("v"), F.col("sku")], {"value_so_far": F.col("v")}).drop("v")
+    # Prices are decimals held as doubles: decimal sums don't depend on the order of rows, and equal values stay equal.
+    v = v.agg(F.sum(F.col("l_extendedprice").cast("decimal(28,10)")).alias("v"))
+    ranked = ordered.running(v, [-F.col("v"), F.col("sku")], {"value_so_far": F.col("v")})
+    return ranked.select("sku", "position", F.col("value_so_far").cast("double").alias("value_so_far"))
 
 
 @query("f7_trailing_mean", """SELECT date, avg(units) OVER (ORDER BY date ROWS 6 PRECEDING) AS units_mean, units FROM (SELECT date, sum(units_sold) AS units FROM daily_brand GROUP BY date)""",

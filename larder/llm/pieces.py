@@ -11,6 +11,7 @@ library in its Arrow batch, and the longest text of each batch as a whole; a dif
 from __future__ import annotations
 
 import functools
+import gc
 import hashlib
 import heapq
 import re
@@ -214,8 +215,10 @@ class Pieces:
         return self.known
 
     def forget(self) -> None:
-        """Drop all units; workers live on and serve other stages."""
+        """Drop all units and give memory back; workers live on beside other stages."""
         self.known, self.older, self.passing = {}, {}, []
+        gc.collect()
+        pa.default_memory_pool().release_unused()
 
     def split(self, text: str) -> list[str]:
         """Units of a text, with the space in front that encoding adds."""
