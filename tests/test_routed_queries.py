@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from decimal import Decimal
 
 import pytest
@@ -43,6 +44,23 @@ def test_routed_queries_serve_products_of_the_global_model(spark, folder, monkey
     assert saved.count() == 14 and {r["model"] for r in saved.filter("sku = 'Brand#1'").collect()} == {models.BOOSTED}
 
 
+def jobs_until_now(spark) -> int:
+    group = str(uuid.uuid4())
+    spark.sparkContext.setJobGroup(group, "count")
+    spark.range(1).count()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return max(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_saved_forecasts_take_few_jobs(spark, folder, monkeypatch):
+    """Sixty rounds of depth 6, twice: a job for each level of a tree would be 720."""
+    monkeypatch.setattr(q_models, "S", q_models.S.but(gbt_rounds=60))
+    first = jobs_until_now(spark)
+    rows = q_models.a9(spark, folder).collect()
+    assert jobs_until_now(spark) - first < 400
+    assert {(r["sku"], r["model"]) for r in rows} == {("Brand#1", models.BOOSTED), ("Brand#2", models.CROSTON_SBA)} and len(rows) == 14
+
+
 def test_values_are_summed_exactly_and_equal_ones_rank_by_name(spark, folder):
     rows = [tuple(r) for r in q_features.f6(spark, folder).orderBy("position").collect()]
     big = Decimal("1000000003.01")
