@@ -61,6 +61,18 @@ def test_saved_forecasts_take_few_jobs(spark, folder, monkeypatch):
     assert {(r["sku"], r["model"]) for r in rows} == {("Brand#1", models.BOOSTED), ("Brand#2", models.CROSTON_SBA)} and len(rows) == 14
 
 
+def test_recent_accuracy_takes_few_jobs(spark, folder, monkeypatch):
+    """Four origins with two fits each, sixty rounds of depth 6: a job for each level of a tree would be 2,880."""
+    monkeypatch.setattr(q_models, "S", q_models.S.but(gbt_rounds=60))
+    first = jobs_until_now(spark)
+    (row,) = q_models.e11(spark, folder).collect()
+    assert jobs_until_now(spark) - first < 1200
+    # The two brands sell 20 to 26 every day and 3 every fourth.
+    assert (row["days"], row["start"], row["end"]) == (28, dt.date(2001, 6, 4), dt.date(2001, 7, 1))
+    assert row["total_actual"] == sum(20.0 + i % 7 + (3.0 if i % 4 == 0 else 0.0) for i in range(123, 151))
+    assert row["total_predicted"] == pytest.approx(row["total_actual"], rel=0.05)
+
+
 def test_values_are_summed_exactly_and_equal_ones_rank_by_name(spark, folder):
     rows = [tuple(r) for r in q_features.f6(spark, folder).orderBy("position").collect()]
     big = Decimal("1000000003.01")
